@@ -102,12 +102,12 @@ class Memo(dict):
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate, which for file sources is the files' size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """A number of partitions that grows with the input."""
-    return max(least, -(-input_bytes(df) // bytes_each))
+def parts_for(df: DataFrame, bytes_each: int, most: int = 20_000) -> int:
+    """A number of partitions that grows with the input, up to what one shuffle can well have; beyond it partitions grow and sorts spill."""
+    return min(most, max(1, -(-input_bytes(df) // bytes_each)))
 
 
 def any_of(columns: list[Column]) -> Column:
