@@ -68,11 +68,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of WINDOW words: its Rabin-Karp hash and the least hash of the INNER-word windows in it."""
+def window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The Rabin-Karp hashes of all windows of WINDOW words, those of INNER words, and for each of the former the least of the latter in it."""
     n = len(words)
     if n < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.uint64),) * 3
     hashes = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, n)
     up, down = _powers.to(n)
     sums = np.zeros(n + 1, np.uint64)
@@ -86,25 +86,23 @@ def window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         step = min(width, span - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    return whole, least
+    return whole, inner, least
 
 
 def _least_rows(batches):
-    """(m, ord, tag, twice): the distinct least hashes of each document, and whether one is least at two places."""
+    """(m, ord, tag, twice): the distinct least hashes of each document, and whether one stands at two places."""
     target = pa_schema("m long, ord long, tag long, twice boolean")
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             ms, ords, tags, twices = [], [], [], []
             for text, ord_, tag in zip(*(batch.slice(at, SLICE).column(c).to_pylist() for c in ("text", "ord", "tag")), strict=True):
-                _, least = window_hashes(words_of(text))
+                _, inner, least = window_hashes(words_of(text))
                 if len(least):
-                    # a hash that is least for more windows than hold one place of it is least at two places
-                    m, n = np.unique(least, return_counts=True)
-                    runs = np.unique(least[np.concatenate(([True], least[1:] != least[:-1]))], return_counts=True)[1]
+                    m, by = np.unique(least), np.sort(inner)
                     ms.append(m)
                     ords.append(np.full(len(m), ord_))
                     tags.append(np.full(len(m), tag))
-                    twices.append((runs > 1) | (n > WINDOW - INNER + 1))
+                    twices.append(np.searchsorted(by, m, "right") - np.searchsorted(by, m) > 1)
             if ms:
                 yield pa.record_batch([*(pa.array(np.concatenate(x).view(np.int64)) for x in (ms, ords, tags)), pa.array(np.concatenate(twices))], schema=target)
 
@@ -116,7 +114,7 @@ def _window_rows(batches):
         columns = [batch.column(c).to_pylist() for c in ("text", "ord", "tag", "ms")]
         hashes, where, row = [], [], []
         for i, (text, ms) in enumerate(zip(columns[0], columns[3], strict=True)):
-            whole, least = window_hashes(words_of(text))
+            whole, _, least = window_hashes(words_of(text))
             at = np.flatnonzero(np.isin(least, np.array(ms, np.int64).view(np.uint64)))
             hashes.append(whole[at])
             where.append(at)
