@@ -1 +1 @@
-
+"""Readers of tables and raw payloads, and sinks."""
