@@ -1,23 +1,35 @@
-"""Text functions as Column builders; Python runs only for letters beyond ASCII (F1)."""
+"""Text functions as Column builders, without Python in the tasks."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Texts that mean no data.
 NO_DATA = ("", "-", "–", "n/a", "N/A")
 
 
-def _nfkd(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))
+def _decomposing() -> tuple[str, str, str]:
+    """Letters that NFKD parts into an ASCII letter or digit and marks, all that it maps to an ASCII letter or digit, and these."""
+    marked, source, target = [], [], []
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0xFF10, 0xFF5B)]:
+        parts = unicodedata.normalize("NFKD", chr(code).lower())
+        if len(chr(code).lower()) == 1 and parts[0].isascii() and parts[0].isalnum() and all(unicodedata.combining(c) for c in parts[1:]):
+            source.append(chr(code))
+            target.append(parts[0])
+            if len(parts) > 1:
+                marked.append(chr(code))
+    return "".join(marked), "".join(source), "".join(target)
 
 
-_decomposed = F.pandas_udf(_nfkd, T.StringType())
+_MARKED, _SOURCE, _TARGET = _decomposing()
+
+
+def _decomposed(x: Column) -> Column:
+    """Marks come out as underscores, as ascii_key() makes of them."""
+    return F.translate(F.regexp_replace(x, f"([{_MARKED}])", "$1_"), _SOURCE, _TARGET)
 
 
 def ascii_key(x: Column) -> Column:
@@ -25,7 +37,7 @@ def ascii_key(x: Column) -> Column:
 
 
 def normalize_part(x: Column) -> Column:
-    """Lower-case key of letters and digits joined by underscores; other letters are decomposed first (F1)."""
+    """Lower-case key of letters and digits joined by underscores; letters with marks are decomposed first, others go (F1)."""
     return F.when(x.rlike(r"[^\x00-\x7F]"), ascii_key(_decomposed(x))).otherwise(ascii_key(x))
 
 
