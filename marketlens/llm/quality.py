@@ -148,7 +148,7 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """All columns of the rows that judge() keeps; no shuffle of texts."""
     measured = cut(docs.select(features(F.col("text").cast("string")).alias("f")).select("f.*"), "quality")
-    table = F.broadcast(_lookup(docs.sparkSession, {v: p for v, p in _posteriors(measured).items() if p >= KEEP_FROM}))
+    table = F.broadcast(_lookup(docs.sparkSession, {v: p for v, p in _posteriors(measured).items() if p >= KEEP_FROM}).select(F.col("votes").alias("__votes")))
     judged = docs.withColumn("__f", features(F.col("text").cast("string")))
-    kept = judged.where(~_failed("__f.")).join(table, F.col("__f.votes") == F.col("votes"), "left_semi")
+    kept = judged.where(~_failed("__f.")).join(table, F.col("__f.votes") == F.col("__votes"), "left_semi")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
