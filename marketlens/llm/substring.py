@@ -10,6 +10,7 @@ words hashed by XXH64). Counting all of them would move several times the corpus
    batch only the first occurrence is sent; later ones are removed by what the batch itself shows, as runs. So a
    passage that fills the corpus costs one row for each batch.
 
+Of rows with the same whole text only the first goes through step 2; the others lose every word (from 20 words on).
 Overlapping removed windows merge into maximal intervals as they are applied.
 
 Defined cases: null and empty text have no words; null doc_id comes after all others (the id 2^63-1 is reserved for
@@ -26,7 +27,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,7 @@ LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SLICE = 1024
+WHOLE = 1 << 30
 
 
 @functools.lru_cache(1)
@@ -91,7 +93,7 @@ def window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _least_rows(batches):
     """(m, ord, tag, twice): the distinct least hashes of each document, and whether one stands at two places."""
-    target = pa_schema("m long, ord long, tag long, twice boolean")
+    target = pa_schema("m long, ord long, tag int, twice boolean")
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             ms, ords, tags, twices = [], [], [], []
@@ -100,16 +102,16 @@ def _least_rows(batches):
                 if len(least):
                     m, by = np.unique(least), np.sort(inner)
                     ms.append(m)
-                    ords.append(np.full(len(m), ord_))
-                    tags.append(np.full(len(m), tag))
+                    ords.append(np.full(len(m), ord_, np.int64))
+                    tags.append(np.full(len(m), tag, np.int32))
                     twices.append(np.searchsorted(by, m, "right") - np.searchsorted(by, m) > 1)
             if ms:
-                yield pa.record_batch([*(pa.array(np.concatenate(x).view(np.int64)) for x in (ms, ords, tags)), pa.array(np.concatenate(twices))], schema=target)
+                yield pa.record_batch([pa.array(np.concatenate(ms).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (ords, tags, twices))], schema=target)
 
 
 def _window_rows(batches):
-    """(key, local, ord, tag, pos, len): candidate windows, one for each first occurrence in the batch, and runs of windows that the batch shows to be repeats."""
-    target = pa_schema("key long, local boolean, ord long, tag long, pos int, len int")
+    """(key, local, ord, at, len): candidate windows, one for each first occurrence in the batch, and as local rows the runs of windows that the batch shows to be repeats. at: place and tag."""
+    target = pa_schema("key long, local boolean, ord long, at long, len int")
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("text", "ord", "tag", "ms")]
         hashes, where, row = [], [], []
@@ -119,19 +121,18 @@ def _window_rows(batches):
             hashes.append(whole[at])
             where.append(at)
             row.append(np.full(len(at), i))
-        if not hashes:
+        if not sum(map(len, hashes)):
             continue
         h, pos, row = np.concatenate(hashes), np.concatenate(where).astype(np.int64), np.concatenate(row)
         ords, tags = np.array(columns[1], np.int64), np.array(columns[2], np.int64)
         order = np.lexsort((pos, ords[row], h))
         hs, ps, rs = h[order], pos[order], row[order]
-        new = np.concatenate(([True], hs[1:] != hs[:-1])) if len(hs) else np.zeros(0, bool)
-        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(hs) else first_none()
+        new = np.concatenate(([True], hs[1:] != hs[:-1]))
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (ords[rs] > ords[rs[first]]) | (ps > ps[first])
         sent = ~later
-        yield pa.record_batch(
-            [hs[sent].view(np.int64), pa.array(np.zeros(sent.sum(), bool)), ords[rs[sent]], tags[rs[sent]], ps[sent].astype(np.int32), np.ones(sent.sum(), np.int32)], schema=target
-        )
+        n = int(sent.sum())
+        yield pa.record_batch([pa.array(hs[sent].view(np.int64)), pa.array(np.zeros(n, bool)), pa.array(ords[rs[sent]]), pa.array(ps[sent] << 32 | tags[rs[sent]]), pa.nulls(n, pa.int32())], schema=target)
         p, r = ps[later], rs[later]
         order = np.lexsort((p, r))
         p, r = p[order], r[order]
@@ -139,35 +140,48 @@ def _window_rows(batches):
             start = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1))))
             length = np.diff(np.concatenate((start, [len(p)])))
             r, p = r[start], p[start]
-            yield pa.record_batch([tags[r], pa.array(np.ones(len(r), bool)), ords[r], tags[r], p.astype(np.int32), length.astype(np.int32)], schema=target)
-
-
-def first_none() -> np.ndarray:
-    return np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(p << 32 | tags[r]), pa.array(np.ones(len(r), bool)), pa.array(ords[r]), pa.array(p << 32 | tags[r]), pa.array(length.astype(np.int32))], schema=target)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """ord orders documents, (ord, tag) tells rows apart."""
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), _tag(text).alias("tag"), text.alias("text"))
+
+
+def _tag(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(ord, tag) of the rows whose whole text a row of smaller ord has."""
+    texts = keyed.where(F.col("text").isNotNull()).select("ord", "tag", F.md5("text").alias("digest"))
+    firsts = texts.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("last > first").select("digest", "first")
+    return texts.join(firsts, "digest").where("ord > first").select("ord", "tag").distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(ord, tag, starts, lens): the runs of removed windows of each document that has some."""
     keyed = _keyed(docs)
-    least = cut(keyed.mapInArrow(_least_rows, "m long, ord long, tag long, twice boolean"), "least")
+    copies = cut(_copies(keyed), "copies")
+    least = cut(keyed.mapInArrow(_least_rows, "m long, ord long, tag int, twice boolean"), "least")
     repeated = least.groupBy("m").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("m")
-    inside = least.join(repeated, "m").groupBy("ord", "tag").agg(F.collect_list("m").alias("ms"))
-    found = keyed.join(inside, ["ord", "tag"]).select("text", "ord", "tag", "ms").mapInArrow(_window_rows, "key long, local boolean, ord long, tag long, pos int, len int")
-    groups = found.groupBy("key", "local").agg(F.min(F.struct("ord", "pos")).alias("first"), F.collect_list(F.struct("ord", "pos", "tag", "len")).alias("all"))
-    later = groups.where("local or size(all) > 1").select("local", "first", F.explode("all").alias("x")).where("local or struct(x.ord, x.pos) > first")
-    return later.groupBy("x.ord", "x.tag").agg(F.collect_list("x.pos").alias("starts"), F.collect_list("x.len").alias("lens"))
+    inside = least.join(repeated, "m").groupBy("ord", "tag").agg(F.collect_list("m").alias("ms")).join(copies, ["ord", "tag"], "left_anti")
+    found = keyed.join(inside, ["ord", "tag"]).select("text", "ord", "tag", "ms").mapInArrow(_window_rows, "key long, local boolean, ord long, at long, len int")
+    # a key has one row for each batch that has it
+    groups = found.groupBy("key", "local").agg(F.min(F.struct("ord", "at")).alias("first"), F.collect_list(F.struct("ord", "at", "len")).alias("all"))
+    pos = "cast(shiftright({0}.at, 32) as int)"
+    rows = groups.where("local or size(all) > 1").select("local", "first", F.explode("all").alias("x"))
+    later = rows.where(f"local or x.ord > first.ord or {pos.format('x')} > {pos.format('first')}")
+    runs = later.select("x.ord", F.expr("cast(x.at & 4294967295L as int)").alias("tag"), F.expr(pos.format("x")).alias("start"), F.coalesce("x.len", F.lit(1)).alias("len"))
+    single = runs.groupBy("ord", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("len").alias("lens"))
+    return single.unionByName(copies.select("ord", "tag", F.array(F.lit(0)).alias("starts"), F.array(F.lit(WHOLE)).alias("lens")))
 
 
 def kept_words(text: str | None, starts: list[int] | None, lens: list[int] | None) -> tuple[int, list[bytes]]:
     """Number of words and the words left after the removed windows' maximal intervals are taken out."""
     words = words_of(text)
-    if not starts:
+    if not starts or len(words) < WINDOW:
         return len(words), words
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, np.array(starts), 1)
@@ -202,7 +216,7 @@ def strip(docs: DataFrame) -> DataFrame:
     """All columns of docs; where words go, text is the kept words joined by a space and n_chars, if there, its length."""
     found = removals(docs).select(F.col("ord").alias("__ord"), F.col("tag").alias("__tag"), F.col("starts").alias("__starts"), F.col("lens").alias("__lens"))
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("__o", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__t", F.coalesce(F.xxhash64(text), F.lit(0)))
+    keyed = docs.withColumn("__o", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__t", _tag(text))
     joined = keyed.join(found, (F.col("__o") == F.col("__ord")) & (F.col("__t") == F.col("__tag")), "left")
     new = joined.withColumn("__new", F.when(F.col("__starts").isNotNull(), _cut_text(text, "__starts", "__lens")).otherwise(text))
     out = [F.col("__new").alias("text") if c == "text" else F.length("__new").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
