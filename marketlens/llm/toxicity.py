@@ -6,7 +6,8 @@ prefixes of words of toxic documents, weighed by smoothed log-odds of their docu
 other documents. A hit within an exception phrase (a hit with its neighbouring word that occurs in documents labelled
 clean) does not count. The sum of weights, divided by the root of the number of words, goes through a logistic curve.
 
-Bounds: at most CANDIDATES stems are counted and STEMS kept; the curve is fitted on at most SAMPLE labelled rows.
+Bounds: the model is fitted on at most LABELLED labelled documents, those whose ids have the least hashes; at most
+CANDIDATES stems are counted and STEMS kept.
 Defined cases: null and empty text score as a text without hits; null doc_id is not held out and has no label;
 repeated rows get a row each; without labelled toxic rows nothing is a hit and every score is the share of toxic labels
 (zero without any label); further columns are ignored.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, map_batches
 
-CANDIDATES, STEMS, EXCEPTIONS, SAMPLE = 50_000, 4_000, 2_000, 100_000
+CANDIDATES, STEMS, EXCEPTIONS, LABELLED = 50_000, 4_000, 2_000, 100_000
 LEAST_WEIGHT, LEAST_DOCS, LEAST_LETTERS, MOST_LETTERS = 2.5, 5, 4, 8
 THRESHOLD = 0.7
 #: Look-alike letters and substitutions, each with the letter meant.
@@ -135,7 +136,7 @@ def learn(labelled: DataFrame) -> dict:
     in_toxic = {r.key: r.n for r in _count(toxic, lambda text: {f"{w} {a}" for w, a, _ in hits_of(fold(text), stems)} & wanted).collect()}
     exceptions = frozenset(p for p, n in clean_phrases.items() if n / n0 > 2 * in_toxic.get(p, 0) / n1)
     density = F.arrow_udf(lambda a: pa.array([density_of(x.as_py(), stems, exceptions) for x in a], pa.float64()), "double")
-    sample = labelled.orderBy(F.xxhash64("text")).limit(SAMPLE).select(density("text").alias("d"), "toxic").collect()
+    sample = labelled.select(density("text").alias("d"), "toxic").collect()  # two numbers for each labelled document
     return {"stems": stems, "exceptions": exceptions, "curve": _logistic(np.array([r.d for r in sample]), np.array([r.toxic for r in sample])), "prior": prior}
 
 
@@ -169,8 +170,8 @@ def score(model: dict):
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Learns from the labelled rows of docs that are not held out."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    known = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    return learn(documents(docs).join(known, "doc_id").select("text", "toxic"))
+    known = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    return learn(documents(docs).join(F.broadcast(known), "doc_id").select("text", "toxic"))
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
