@@ -15,6 +15,7 @@ ignored; special tokens in a text are matched as the library matches them.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import itertools
@@ -34,25 +35,23 @@ from .common import as_batch, documents, pa_schema
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 LONG, LEAF, AGREE = 4096, 2048, 4
-MEMO = 800_000
-SLICE_BYTES, SLICE_ROWS = 8 << 20, 4096
+MEMO = 300_000
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
 #: Characters with the Unicode property White_Space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space between words goes (word_bpe) or, as in the byte-level pattern, its last blank stays with the next word.
 DROPPING = re.compile(f"[^{SPACE}]+")
 KEEPING = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Texts without these part at single blanks and line ends alone.
-ODD = re.compile(f"[{SPACE}][{SPACE}]|[\0\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n]$").search
-ENDED = re.compile("(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,])", re.S).fullmatch
+ODD = "[\\t\\x0b-\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n]$"
 
 
-def _plain(text: str) -> bool:
-    """Whether every blank and line end of a text stands alone between other characters."""
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text:
-        return False
-    if text.isascii() and not ("\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text):
-        return text[-1:] not in (" ", "\n")
-    return ODD(text) is None
+def _odd(texts: pa.Array) -> np.ndarray:
+    """Whether some blank or line end of a text does not stand alone between other characters."""
+    found = pc.match_substring_regex(texts, ODD)
+    for pair in ("  ", "\n\n", " \n", "\n ", "\0"):
+        found = pc.or_(found, pc.match_substring(texts, pair))
+    return found.to_numpy(zero_copy_only=False)
 
 
 class Encoder:
@@ -60,27 +59,22 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
+        self.path = path
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
         self.dropping = self.library.normalizer is not None
         self.units = (DROPPING if self.dropping else KEEPING).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {"": b""}
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.tokens = pa.array([self.library.id_to_token(i) for i in range(size)], pa.string())
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row and each text's place among them (one more place than texts)."""
         texts = texts.fill_null("")
-        if self.dropping:
-            odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
-        else:
-            odd = np.array([not _plain(t) for t in texts.to_pylist()], bool)
+        odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) if self.dropping else _odd(texts)
         usual = texts.filter(pa.array(~odd)) if odd.any() else texts
         if self.dropping:
             parts = pc.ascii_split_whitespace(usual)
@@ -112,27 +106,48 @@ class Encoder:
         return np.frombuffer(b"".join(found), "<u4")[at], ends[places]
 
     def values(self, units: list[str]) -> list[bytes]:
-        """Each unit's ids as little-endian bytes, from the memo or the library."""
+        """Ids as little-endian bytes of distinct units, from the memo or the library. The memo has two generations of MEMO units at most."""
         found = list(map(self.memo.get, units))
-        new = [u for u, x in zip(units, found, strict=True) if x is None]
-        if not new:
+        missed = [i for i, x in enumerate(found) if x is None]
+        if not missed:
             return found
-        known = dict(zip(units, found, strict=True))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-        ended = {u: m.groups() for u in new if (m := ENDED(u))}
-        if self.dropping:  # lower-cased by the library; ASCII alone has no marks that case could tell apart
-            ended |= {u: tuple(x.lower() for x in ended.get(u, (u,))) for u in new if u.isascii() and not u.islower() and "<|" not in u}
-        roots = list(dict.fromkeys(x for u in new for x in ended.get(u, (u,)) if known.get(x) is None and x not in self.memo))
-        short = [u for u in roots if len(u) <= LONG]
+        got: dict[str, bytes] = {}
+        split: dict[str, tuple[str, str]] = {}
+        roots: dict[str, None] = {}
+        for i in missed:
+            u = units[i]
+            if (known := self.old.get(u)) is not None:
+                got[u] = known
+                continue
+            root, end = (u[:-1], u[-1]) if len(u) > 1 and u[-1] in ".," and u[-2].isalpha() else (u, "")
+            if self.dropping and root.isascii() and "<|" not in root:
+                root = root.lower()  # as the library does; ASCII alone has no marks that case could tell apart
+            if root is not u and root != u or end:
+                split[u] = root, end
+                if end:
+                    roots[end] = None
+            roots[root] = None
+        new = [r for r in roots if r not in got and self._known(r) is None]
+        short = [u for u in new if len(u) <= LONG]
         for at in range(0, len(short), 4096):
             some = short[at : at + 4096]
-            encoded = self.library.encode_batch_fast(some, add_special_tokens=False)
-            known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
-        known.update((u, self.long(u)) for u in roots if len(u) > LONG)
-        known.update({u: b"".join(known.get(x) or self.memo.get(x, b"") for x in parts) for u, parts in ended.items()})
-        self.memo.update((u, known[u]) for u in {*new, *roots} if len(u) <= LONG)
-        return [known[u] for u in units]
+            ids = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+            data, ends = array.array("I", itertools.chain.from_iterable(ids)).tobytes(), itertools.accumulate(map(len, ids), initial=0)
+            got.update((u, data[4 * a : 4 * b]) for u, (a, b) in zip(some, itertools.pairwise(ends), strict=True))
+        long = {u: self.long(u) for u in new if len(u) > LONG}
+        value = lambda x: got[x] if x in got else long[x] if x in long else self._known(x)
+        for u, (root, end) in split.items():
+            got[u] = value(root) + (value(end) if end else b"")
+        for i in missed:
+            found[i] = value(units[i])
+        self.memo.update((u, x) for u, x in got.items() if len(u) <= LONG)
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        return found
+
+    def _known(self, unit: str) -> bytes | None:
+        x = self.memo.get(unit)
+        return self.old.get(unit) if x is None else x
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         ids, places = self.flat(pa.array(texts, pa.string()))
@@ -161,6 +176,20 @@ class Encoder:
                 out.append((text, [text[i : i + LEAF] for i in range(0, len(text), LEAF)]))
         return out
 
+    @functools.cached_property
+    def bare(self):
+        """The tokenizer without its normaliser, for text that is normalised already."""
+        from tokenizers import Tokenizer, normalizers
+
+        out = Tokenizer.from_file(self.path)
+        out.normalizer = normalizers.Sequence([])
+        return out
+
+    @functools.cached_property
+    def tokens(self) -> pa.Array:
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        return pa.array([self.library.id_to_token(i) for i in range(size)], pa.string())
+
     def leaf(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """ids and, for each, the character after its last; -1 where a token ends within a character."""
         e = self.bare.encode(text, add_special_tokens=False)
