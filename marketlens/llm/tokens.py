@@ -2,7 +2,7 @@
 
 Documents are ranged by doc_id over files and sorted within; each file's stripes hold the ids run-length encoded
 (ORC's version 2 for integers), with row indexes and a Bloom filter on doc_id, so that readers split by stripe and
-skip by metadata. A row also has its file's number and the ids before it in that file; the ids before a whole file
+skip by metadata. A row also has its file's number, its number of ids and the ids before it in that file; the ids before a whole file
 come from one sum for each file, so nothing is counted in one task.
 
 Defined cases: null text is empty and gives the end id alone; null doc_id comes first; rows with the same doc_id are
@@ -27,7 +27,7 @@ from .common import documents, parts_for, scratch
 END = 2
 FILE_BYTES = 32 << 20
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD"}
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("file", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("file", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
 def with_end(ids: np.ndarray, places: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end: int = END)
             for part in slices(batch):
                 ids, places = with_end(*made.flat(part.column("text")), end)
                 lists = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.view("<i4")))
-                yield pa.record_batch([part.column("doc_id"), pa.array(np.full(len(lists), file, np.int32)), pa.array(before + places[:-1]), lists], names=SCHEMA.names)
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.full(len(lists), file, np.int32)), pa.array(before + places[:-1]), pa.array(np.diff(places)), lists], names=SCHEMA.names)
                 before += int(places[-1])
 
     rows = documents(docs).withColumn("tag", F.xxhash64("text"))
@@ -64,8 +64,8 @@ def offsets(rows: DataFrame, group: str, size: str, offset: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids from the files."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    sums = rows.select("file", F.size("ids").cast("long").alias("n_ids"))
-    table = offsets(sums.groupBy("file").agg(F.sum("n_ids").alias("n_ids")), "file", "n_ids", "file_start").select("file", "file_start")
+    sums = rows.groupBy("file").agg(F.sum("n_ids").alias("n_ids"))  # reads no ids
+    table = offsets(sums, "file", "n_ids", "file_start").select("file", "file_start")
     return rows.join(F.broadcast(table), "file").select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "ids")
 
 
