@@ -35,8 +35,8 @@ from .common import as_batch, documents, pa_schema
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 LONG, LEAF, AGREE = 4096, 2048, 4
-MEMO = 300_000
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
+MEMO = 500_000
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 4096
 #: Characters with the Unicode property White_Space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space between words goes (word_bpe) or, as in the byte-level pattern, its last blank stays with the next word.
