@@ -111,19 +111,34 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _rooted(classes: DataFrame) -> DataFrame:
+    """fp, first, root for each distinct fingerprint of classes."""
+    roots = components(links(classes.select("fp")))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long), component_id, root: one row for each row of docs."""
     prints = cut(documents(docs).select("doc_id", F.coalesce(fingerprint("text"), F.lit(0)).cast("long").alias("fp")), "fingerprints")
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     found = cut(rooted.join(smallest, "root").select("fp", "root", "component_id"), "components")
     return prints.join(found, "fp", "left").select("doc_id", "fp", "component_id", "root")
 
 
+def _text_digest() -> Column:
+    """Tells texts of one doc_id apart; null text has a digest of its own."""
+    return F.coalesce(F.md5(F.col("text").cast("string")), F.lit("null"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """All columns of one row of each component: its smallest doc_id."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("__keep"))
-    kept = cut(kept.select("__keep"), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id"])
+    """All columns of one row of each component: its smallest doc_id, nulls last, and of that the smallest text digest."""
+    prints = documents(docs).select(F.coalesce(fingerprint("text"), F.lit(0)).cast("long").alias("fp"), "doc_id", _text_digest().alias("digest"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "digest")).alias("first")
+    rooted = _rooted(cut(prints.groupBy("fp").agg(first), "classes"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    # equal texts have one root, so no two roots keep the same doc_id and digest
+    kept = cut(kept.select(F.col("root").alias("__root"), F.col("first.doc_id").alias("__keep"), F.col("first.digest").alias("__kept_digest")), "kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__kept_digest"))
+    rows = docs.withColumn("__digest", _text_digest()).join(kept, same).dropDuplicates(["__root"])
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

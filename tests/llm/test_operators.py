@@ -119,6 +119,15 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_simhash_keeps_one_of_each_component(spark):
+    """Null ids are as many documents as they have texts, and one id may stand on texts of two components."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(None, a), (None, a), (None, b), (5, c), (None, c.upper()), (7, d), (7, e), (3, e), (9, ""), (9, None)]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted((x for x in kept if x[0] != 9), key=str) == sorted([(None, a), (None, b), (5, c), (7, d), (3, e)], key=str)
+    assert len(kept) == 6
+
+
 def test_simhash_loses_no_link(spark):
     rng, points = random.Random(5), []
     for _ in range(60):
