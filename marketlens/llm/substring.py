@@ -16,7 +16,8 @@ Overlapping removed windows merge into maximal intervals as they are applied.
 Defined cases: null and empty text have no words; null doc_id comes after all others (the id 2^63-1 is reserved for
 it); rows with the same doc_id are one document for the order, so identical rows remove nothing from each other;
 rows keep their number; further columns are ignored. Two different windows with equal 64-bit hashes would be taken
-as equal: below one expected case up to about 6e9 windows.
+as equal: below one expected case up to about 6e9 windows. Texts of one ord are told apart by a tag: zero where the
+ord has one text, else the text's 64-bit hash (below one expected case up to about 6e9 texts of one ord).
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SLICE = 1024
 WHOLE = 1 << 30
+BUCKETS = 1 << 18
 
 
 @functools.lru_cache(1)
@@ -93,7 +95,7 @@ def window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _least_rows(batches):
     """(m, ord, tag, twice): the distinct least hashes of each document, and whether one stands at two places."""
-    target = pa_schema("m long, ord long, tag int, twice boolean")
+    target = pa_schema("m long, ord long, tag long, twice boolean")
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             ms, ords, tags, twices = [], [], [], []
@@ -103,15 +105,15 @@ def _least_rows(batches):
                     m, by = np.unique(least), np.sort(inner)
                     ms.append(m)
                     ords.append(np.full(len(m), ord_, np.int64))
-                    tags.append(np.full(len(m), tag, np.int32))
+                    tags.append(np.full(len(m), tag, np.int64))
                     twices.append(np.searchsorted(by, m, "right") - np.searchsorted(by, m) > 1)
             if ms:
                 yield pa.record_batch([pa.array(np.concatenate(ms).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (ords, tags, twices))], schema=target)
 
 
 def _window_rows(batches):
-    """(key, local, ord, at, len): candidate windows, one for each first occurrence in the batch, and as local rows the runs of windows that the batch shows to be repeats. at: place and tag."""
-    target = pa_schema("key long, local boolean, ord long, at long, len int")
+    """(key, local, ord, tag, pos, len): candidate windows, one for each first occurrence in the batch, and as local rows the runs of windows that the batch shows to be repeats; their key only spreads them."""
+    target = pa_schema("key long, local boolean, ord long, tag long, pos int, len int")
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("text", "ord", "tag", "ms")]
         hashes, where, row = [], [], []
@@ -132,7 +134,7 @@ def _window_rows(batches):
         later = (ords[rs] > ords[rs[first]]) | (ps > ps[first])
         sent = ~later
         n = int(sent.sum())
-        yield pa.record_batch([pa.array(hs[sent].view(np.int64)), pa.array(np.zeros(n, bool)), pa.array(ords[rs[sent]]), pa.array(ps[sent] << 32 | tags[rs[sent]]), pa.nulls(n, pa.int32())], schema=target)
+        yield pa.record_batch([pa.array(hs[sent].view(np.int64)), pa.array(np.zeros(n, bool)), pa.array(ords[rs[sent]]), pa.array(tags[rs[sent]]), pa.array(ps[sent].astype(np.int32)), pa.nulls(n, pa.int32())], schema=target)
         p, r = ps[later], rs[later]
         order = np.lexsort((p, r))
         p, r = p[order], r[order]
@@ -140,42 +142,68 @@ def _window_rows(batches):
             start = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1))))
             length = np.diff(np.concatenate((start, [len(p)])))
             r, p = r[start], p[start]
-            yield pa.record_batch([pa.array(p << 32 | tags[r]), pa.array(np.ones(len(r), bool)), pa.array(ords[r]), pa.array(p << 32 | tags[r]), pa.array(length.astype(np.int32))], schema=target)
+            yield pa.record_batch([pa.array(p << 32 ^ ords[r] ^ tags[r]), pa.array(np.ones(len(r), bool)), pa.array(ords[r]), pa.array(tags[r]), pa.array(p.astype(np.int32)), pa.array(length.astype(np.int32))], schema=target)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """ord orders documents, (ord, tag) tells rows apart."""
-    text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), _tag(text).alias("tag"), text.alias("text"))
+def _ord() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
+def _hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _marks(docs: DataFrame) -> DataFrame:
+    """ord, hash and digest of each row's text."""
+    return cut(docs.select(_ord().alias("ord"), _hash().alias("hash"), F.unhex(F.md5(F.col("text").cast("string"))).alias("digest")), "marks")
+
+
+def _bucket(ord_: str) -> Column:
+    return F.pmod(F.xxhash64(ord_), F.lit(BUCKETS)).cast("int")
+
+
+def _shared(marks: DataFrame) -> DataFrame:
+    """Buckets with an ord that stands on several texts: at most BUCKETS rows, however many such ords there are."""
+    several = marks.groupBy("ord").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least != most")
+    return cut(several.select(_bucket("ord").alias("__bucket")).distinct(), "shared")
+
+
+def _tagged(rows: DataFrame, shared: DataFrame, ord_: str, hash_: str, tag: str) -> DataFrame:
+    """rows with the tag that tells apart the texts of an ord; it is zero, and so costs little, for ords outside the shared buckets."""
+    found = rows.join(F.broadcast(shared), _bucket(ord_) == F.col("__bucket"), "left")
+    return found.withColumn(tag, F.when(F.col("__bucket").isNotNull(), F.col(hash_)).otherwise(F.lit(0).cast("long"))).drop("__bucket", hash_)
 
 
-def _tag(text: Column) -> Column:
-    return F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+def _keyed(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """ord orders documents, (ord, tag) tells rows of different texts apart."""
+    rows = docs.select(_ord().alias("ord"), _hash().alias("hash"), F.col("text").cast("string").alias("text"))
+    return _tagged(rows, shared, "ord", "hash", "tag").select("ord", "tag", "text")
 
 
-def _copies(keyed: DataFrame) -> DataFrame:
+def _copies(marks: DataFrame, shared: DataFrame) -> DataFrame:
     """(ord, tag) of the rows whose whole text a row of smaller ord has."""
-    texts = keyed.where(F.col("text").isNotNull()).select("ord", "tag", F.md5("text").alias("digest"))
+    texts = _tagged(marks.where(F.col("digest").isNotNull()), shared, "ord", "hash", "tag")
     firsts = texts.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("last > first").select("digest", "first")
     return texts.join(firsts, "digest").where("ord > first").select("ord", "tag").distinct()
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(ord, tag, starts, lens): the runs of removed windows of each document that has some."""
-    keyed = _keyed(docs)
-    copies = cut(_copies(keyed), "copies")
-    least = cut(keyed.mapInArrow(_least_rows, "m long, ord long, tag int, twice boolean"), "least")
+def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ord, tag, starts, lens), the runs of removed windows of each document that has some; and the shared buckets that its tags go by."""
+    marks = _marks(docs)
+    shared = _shared(marks)
+    keyed = _keyed(docs, shared)
+    copies = cut(_copies(marks, shared), "copies")
+    least = cut(keyed.mapInArrow(_least_rows, "m long, ord long, tag long, twice boolean"), "least")
     repeated = least.groupBy("m").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("m")
     inside = least.join(repeated, "m").groupBy("ord", "tag").agg(F.collect_list("m").alias("ms")).join(copies, ["ord", "tag"], "left_anti")
-    found = keyed.join(inside, ["ord", "tag"]).select("text", "ord", "tag", "ms").mapInArrow(_window_rows, "key long, local boolean, ord long, at long, len int")
+    found = keyed.join(inside, ["ord", "tag"]).select("text", "ord", "tag", "ms").mapInArrow(_window_rows, "key long, local boolean, ord long, tag long, pos int, len int")
     # a key has one row for each batch that has it
-    groups = found.groupBy("key", "local").agg(F.min(F.struct("ord", "at")).alias("first"), F.collect_list(F.struct("ord", "at", "len")).alias("all"))
-    pos = "cast(shiftright({0}.at, 32) as int)"
+    groups = found.groupBy("key", "local").agg(F.min(F.struct("ord", "pos")).alias("first"), F.collect_list(F.struct("ord", "tag", "pos", "len")).alias("all"))
     rows = groups.where("local or size(all) > 1").select("local", "first", F.explode("all").alias("x"))
-    later = rows.where(f"local or x.ord > first.ord or {pos.format('x')} > {pos.format('first')}")
-    runs = later.select("x.ord", F.expr("cast(x.at & 4294967295L as int)").alias("tag"), F.expr(pos.format("x")).alias("start"), F.coalesce("x.len", F.lit(1)).alias("len"))
+    later = rows.where("local or x.ord > first.ord or x.pos > first.pos")
+    runs = later.select("x.ord", "x.tag", F.col("x.pos").alias("start"), F.coalesce("x.len", F.lit(1)).alias("len"))
     single = runs.groupBy("ord", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("len").alias("lens"))
-    return single.unionByName(copies.select("ord", "tag", F.array(F.lit(0)).alias("starts"), F.array(F.lit(WHOLE)).alias("lens")))
+    return single.unionByName(copies.select("ord", "tag", F.array(F.lit(0)).alias("starts"), F.array(F.lit(WHOLE)).alias("lens"))), shared
 
 
 def kept_words(text: str | None, starts: list[int] | None, lens: list[int] | None) -> tuple[int, list[bytes]]:
@@ -203,7 +231,8 @@ def _digests(batches):
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row for each row of docs."""
-    joined = _keyed(docs).join(removals(docs), ["ord", "tag"], "left").select("ord", "text", "starts", "lens")
+    found, shared = removals(docs)
+    joined = _keyed(docs, shared).join(found, ["ord", "tag"], "left").select("ord", "text", "starts", "lens")
     return joined.mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -214,9 +243,10 @@ def _cut_text(texts: pa.Array, starts: pa.Array, lens: pa.Array) -> pa.Array:
 
 def strip(docs: DataFrame) -> DataFrame:
     """All columns of docs; where words go, text is the kept words joined by a space and n_chars, if there, its length."""
-    found = removals(docs).select(F.col("ord").alias("__ord"), F.col("tag").alias("__tag"), F.col("starts").alias("__starts"), F.col("lens").alias("__lens"))
+    found, shared = removals(docs)
+    found = found.select(F.col("ord").alias("__ord"), F.col("tag").alias("__tag"), F.col("starts").alias("__starts"), F.col("lens").alias("__lens"))
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("__o", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__t", _tag(text))
+    keyed = _tagged(docs.withColumn("__o", _ord()).withColumn("__h", _hash()), shared, "__o", "__h", "__t")
     joined = keyed.join(found, (F.col("__o") == F.col("__ord")) & (F.col("__t") == F.col("__tag")), "left")
     new = joined.withColumn("__new", F.when(F.col("__starts").isNotNull(), _cut_text(text, "__starts", "__lens")).otherwise(text))
     out = [F.col("__new").alias("text") if c == "text" else F.length("__new").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]

@@ -294,6 +294,23 @@ def test_substrings(spark, docs, none):
     assert stripped.columns == docs.columns and stripped.count() == docs.count() and substring.digest(none).count() == 0 and substring.strip(none).count() == 0
 
 
+def test_substrings_tell_texts_of_one_id_apart(spark):
+    """Two texts of one doc_id whose 64-bit hashes have equal low halves share no runs: neither where one holds a passage, nor where it is a copy."""
+    low = lambda t: xxhash.xxh64_intdigest(t, 42) & 0x7FFFFFFF
+    held = {low(f"{PASSAGE} end{i}"): f"{PASSAGE} end{i}" for i in range(200_000)}
+    clean = (" ".join(f"clean{j}x{k}" for k in range(30)) for j in itertools.count())
+    other = next(t for t in clean if low(t) in held)
+    twin = held[low(other)]
+    assert twin != other and low(twin) == low(other)
+    for first in (f"{PASSAGE} elsewhere", twin):
+        for shared in (None, 900):
+            rows = [(1, first), (shared, twin), (shared, other), (shared, "few words"), (shared, None), (2, f"an own {PASSAGE}")]
+            table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+            same(substring.digest(table), removed(rows))
+            stripped = [r.text for r in substring.strip(table).collect()]
+            assert len(stripped) == len(rows) and other in stripped and stripped.count(twin) == (first == twin)
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     plain, bad = ["table", "river", "morning", "letter", "window", "garden", "winter", "summer"], ["scumbag", "moronic", "vermin"]
