@@ -157,7 +157,7 @@ def unambiguous_lexicon(spark, sf):
                  max(quality) OVER (PARTITION BY cluster) AS best_quality FROM k WHERE len(cluster) >= 12)
     SELECT doc_id, best AS inherited_from, CAST(best_quality AS INTEGER) AS quality, size FROM b WHERE size >= 2 AND quality IS NULL AND best IS NOT NULL""")
 def cluster_propagate(spark, sf):
-    """Undecided members of a cluster inherit from its best decided one."""
+    """Undecided documents inherit from the best decided one with the same first 80 characters (W6). This is not M16, whose whole-title key and update are matching.cluster_key() and propagate_clusters()."""
     docs = table(spark, sf, "documents").where("text is not null").select("doc_id", text.ascii_key(F.substring("text", 1, 80)).alias("cluster"))
     rows = docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     return resolution.propagate(rows, "cluster", "quality", "doc_id").select("doc_id", "inherited_from", F.col("best").cast("int").alias("quality"), "size")
