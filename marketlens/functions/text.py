@@ -65,14 +65,15 @@ def split_card_id(x: Column) -> tuple[Column, Column]:
     return F.coalesce(F.nullif(F.regexp_extract(x, "^(.+)-([^-]*)$", 1), F.lit("")), x), F.regexp_extract(x, "^(.+)-([^-]*)$", 2)
 
 
-def plain_text(html: Column, limit: int = 2000) -> Column:
-    """Text of an HTML page: no scripts, styles or tags, six entities decoded, white space collapsed."""
+def plain_text(html: Column, limit: int | None = None) -> Column:
+    """Text of an HTML page: no scripts, styles or tags, six entities decoded, white space collapsed (F18); the whole of it unless a limit is given."""
     x = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
     x = F.regexp_replace(x, "<[^>]*>", " ")
     for entity, value in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
         x = F.replace(x, F.lit(entity), F.lit(value))
     x = F.regexp_replace(x, "&[a-zA-Z0-9#]+;", " ")
-    return F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, limit)
+    x = F.trim(F.regexp_replace(x, r"\s+", " "))
+    return x if limit is None else F.substring(x, 1, limit)
 
 
 def links(html: Column) -> Column:

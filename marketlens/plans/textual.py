@@ -47,8 +47,8 @@ def extract_numbers(spark, sf):
     b AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&[a-zA-Z0-9#]+;', ' ', 'g') AS x FROM a)
     SELECT page_id, substr(trim(regexp_replace(x, '[ \t\n\x0b\f\r]+', ' ', 'g')), 1, 2000) AS plain FROM b""")
 def plain_text(spark, sf):
-    """Text of pages."""
-    return table(spark, sf, "pages").select("page_id", text.plain_text(F.col("html")).alias("plain"))
+    """The first 2000 characters of the text of pages, as in the SQL (F18); text.plain_text() alone has no limit."""
+    return table(spark, sf, "pages").select("page_id", text.plain_text(F.col("html"), 2000).alias("plain"))
 
 
 @query("link_extract", r"""

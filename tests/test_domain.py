@@ -40,6 +40,11 @@ def test_text_functions(spark):
     assert one(spark, text.looks_like_code(F.col("x")), x="cp6") and not one(spark, text.looks_like_code(F.col("x")), x="promo")
 
 
+def test_plain_text_is_whole(spark):
+    assert one(spark, text.plain_text(F.col("x")), x="<p>" + "word " * 1000 + "</p>") == ("word " * 1000).strip()
+    assert one(spark, text.plain_text(F.col("x"), 2000), x="<p>" + "word " * 1000 + "</p>") == "word " * 400
+
+
 def test_values(spark):
     assert one(spark, values.parse_money(F.col("x")), x="$1,234.50") == 1234.5 and one(spark, values.parse_money(F.col("x")), x="n/a") is None and one(spark, values.parse_money(F.col("x")), x="abc") is None
     assert one(spark, values.grade_value(F.col("x")), x="GEM MT 10 (3)") == 10 and one(spark, values.grade_value(F.col("x"), clean=False), x="GEM MT 10 (3)") == 3 and one(spark, values.grade_value(F.col("x")), x="AUTH") is None
