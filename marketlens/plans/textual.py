@@ -136,9 +136,7 @@ _NARROW = "CASE WHEN len(list_filter({0}, lambda x: {1})) BETWEEN 1 AND len({0})
     SELECT p_brand, CAST(len(pool) AS INTEGER) AS left_over, CASE WHEN len(pool) = 1 THEN pool[1].id END AS proven FROM d""")
 def staged_narrowing(spark, sf):
     """A pool is narrowed by each criterion only where some and not all of it are left."""
-    pools = table(spark, sf, "part").groupBy("p_brand").agg(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), F.col("p_type").alias("type"), F.col("p_retailprice").alias("price"))).alias("pool"))
-    done = resolution.narrow(pools, "pool", [lambda x: x["size"] > 45, lambda x: x["type"] == "SMALL", lambda x: x["price"] < 0])
-    return done.select("p_brand", F.size("pool").alias("left_over"), F.when(F.size("pool") == 1, F.col("pool")[0]["id"]).alias("proven"))
+    return resolution.narrow_groups(table(spark, sf, "part"), "p_brand", "p_partkey", [F.col("p_size") > 45, F.col("p_type") == "SMALL", F.col("p_retailprice") < 0])
 
 
 @query("unambiguous_lexicon", """

@@ -46,13 +46,15 @@ def latest_vs_not_exists(spark, sf):
     SELECT suppkey, sibling, affinity, has_rows FROM r WHERE rn = 1""")
 def ranked_spec_affinity(spark, sf):
     """Sibling expansion, then the best sibling by data, affinity and recency."""
-    s = table(spark, sf, "supplier")
-    b = s.select(F.col("s_suppkey").alias("sibling"), "s_nationkey", F.col("s_acctbal").alias("acctbal"))
-    pairs = s.select(F.col("s_suppkey").alias("suppkey"), "s_nationkey").join(b, "s_nationkey")
-    affinity = F.when(F.col("suppkey") == F.col("sibling"), 0).when(F.col("suppkey") % 5 == F.col("sibling") % 5, 1).otherwise(2)
-    having = table(spark, sf, "lineitem").where("l_discount >= 0.1 and l_quantity >= 49").select(F.col("l_suppkey").alias("sibling"), F.lit(True).alias("has_rows")).distinct()
-    flagged = pairs.withColumn("affinity", affinity).join(having, "sibling", "left").withColumn("has_rows", F.coalesce("has_rows", F.lit(False)))
-    return latest.top_by(flagged, ["suppkey"], [F.desc("has_rows"), F.asc("affinity"), F.desc("acctbal"), F.desc("sibling")]).select("suppkey", "sibling", "affinity", "has_rows")
+    having = table(spark, sf, "lineitem").where("l_discount >= 0.1 and l_quantity >= 49").select(F.col("l_suppkey").alias("s_suppkey"), F.lit(True).alias("has_rows")).distinct()
+    s = table(spark, sf, "supplier").where("s_nationkey is not null").select("s_suppkey", "s_nationkey", "s_acctbal")
+    s = s.join(having, "s_suppkey", "left").withColumn("has_rows", F.coalesce("has_rows", F.lit(False)))
+    # of equal data and affinity only the best sibling can win; where that is the row itself, it wins as own
+    best = s.groupBy("s_nationkey", (F.col("s_suppkey") % 5).alias("part"), "has_rows").agg(F.max(F.struct(F.col("s_acctbal").alias("acctbal"), F.col("s_suppkey").alias("sibling"))).alias("b"))
+    others = s.select(F.col("s_suppkey").alias("suppkey"), "s_nationkey").join(best, "s_nationkey").where("suppkey != b.sibling")
+    others = others.select("suppkey", "b.sibling", F.when(F.col("suppkey") % 5 == F.col("part"), 1).otherwise(2).alias("affinity"), "has_rows", "b.acctbal")
+    own = s.select(F.col("s_suppkey").alias("suppkey"), F.col("s_suppkey").alias("sibling"), F.lit(0).alias("affinity"), "has_rows", F.col("s_acctbal").alias("acctbal"))
+    return latest.top_by(own.unionByName(others), ["suppkey"], [F.desc("has_rows"), F.asc("affinity"), F.desc("acctbal"), F.desc("sibling")]).select("suppkey", "sibling", "affinity", "has_rows")
 
 
 @query("variant_metrics", f"""
