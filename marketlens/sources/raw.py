@@ -103,13 +103,21 @@ def infobox_image(wikitext: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(wikitext, r"\|\s*bild\s*=\s*([^\n|}]+)", 1)), F.lit(""))
 
 
-def canonical_titles(titles: DataFrame, redirects: DataFrame, steps: int = 5) -> DataFrame:
-    """title, canonical: at most `steps` redirects are followed."""
+def canonical_titles(titles: DataFrame, redirects: DataFrame) -> DataFrame:
+    """title, canonical: redirects are followed to their end, in a cycle to the first title met again.
+
+    Each round's rows are checkpointed; spark.checkpoint.dir names the folder.
+    """
     hops = redirects.select(F.col("source").alias("canonical"), "target")
-    out = titles.select("title", F.col("title").alias("canonical"))
-    for _ in range(steps):
-        out = out.join(hops, "canonical", "left").select("title", F.coalesce("target", "canonical").alias("canonical"))
-    return out
+    out = titles.select("title", F.col("title").alias("canonical"), F.array().cast("array<string>").alias("seen"))
+    while True:
+        moves = F.col("target").isNotNull() & ~F.array_contains("seen", F.col("canonical"))
+        step = out.join(hops, "canonical", "left").withColumn("moves", F.coalesce(moves, F.lit(False)))
+        seen = F.when(F.col("moves"), F.concat("seen", F.array("canonical"))).otherwise(F.col("seen"))
+        step = step.select("title", F.when(F.col("moves"), F.col("target")).otherwise(F.col("canonical")).alias("canonical"), seen.alias("seen"), "moves").checkpoint()
+        out = step.drop("moves")
+        if step.where("moves").isEmpty():
+            return out.drop("seen")
 
 
 def asset_url(base: str, set_code: Column, local_id: Column, width: int = 3) -> Column:

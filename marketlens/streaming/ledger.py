@@ -50,15 +50,15 @@ def rebuild_latest(ledger: DataFrame, batch: DataFrame, state: DataFrame | None,
 
 
 def converge(step: Callable[[], DataFrame], keys: list[str], passes: int = 3) -> DataFrame:
-    """Repeats a step until its keys no longer change, at most `passes` times."""
+    """Repeats a step until its keys no longer change, at most `passes` times; an error where they still do."""
     before = None
     for _ in range(passes):
         rows = step()
         now = rows.select(F.count("*"), F.sum(F.xxhash64(*keys).cast("decimal(38,0)"))).head()
         if now == before:
-            break
+            return rows
         before = now
-    return rows
+    raise RuntimeError(f"no convergence after {passes} passes")
 
 
 def known_pages(pages: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -207,6 +207,19 @@ def test_sources(spark, tmp_path):
     assert [r.spec_id for r in rows.collect()] == [5] and [r.path for r in rejected.collect()] == ["b"]
 
 
+def test_redirects_are_followed_to_their_end(spark):
+    titles = spark.createDataFrame([("t0",), ("x",), ("a",), ("end",), (None,)], "title string")
+    hops = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(8)] + [("x", "a"), ("a", "b"), ("b", "a")], "source string, target string")
+    assert {r.title: r.canonical for r in raw.canonical_titles(titles, hops).collect()} == {"t0": "t8", "x": "a", "a": "a", "end": "end", None: None}
+
+
+def test_convergence_fails_aloud(spark):
+    calls = []
+    with pytest.raises(RuntimeError):
+        ledger.converge(lambda: (calls.append(1), spark.range(len(calls)))[1], ["id"])
+    assert len(calls) == 3
+
+
 def test_publish_moves_the_pointer_last(spark, tmp_path):
     folder = f"file://{tmp_path}/out"
     publish.publish(spark, folder, {"t": spark.range(3)})
