@@ -1,13 +1,15 @@
 """Operator 6: BPE encoding and decoding with tree concatenation for long unsplit text.
 
 Text is parted into units at white space, where every tokenizer used here parts it anyway, so a text's ids are its
-units' ids in a row. A unit's ids come from the tokenizers library and are remembered in a bounded memo.
+units' ids in a row. A unit's ids come from the tokenizers library; a task remembers units in flat arrays of at most
+MEMO_BYTES.
 
 A unit of more than LONG characters is unsplit text. Its normalised form is cut into leaves, rows that Spark deals
 to tasks; each leaf is encoded by itself. Neighbours then join in a tree: a window around the join is encoded again
 and doubled until it shares AGREE tokens in a row with the left side and AGREE with the right side. Every two
 neighbouring tokens of the result stand next to each other in an encoding made by the library, and a BPE encoding is
 the one sequence whose neighbours are all compatible; where a window reaches both ends, it is the whole encoding.
+A text's joins run in one task, which has to hold that text anyway, as it is one row.
 
 Defined cases: null text is empty and has no ids; repeated rows and null doc_id get a row each; further columns are
 ignored; special tokens in a text are matched as the library matches them.
@@ -35,7 +37,7 @@ from .common import as_batch, documents, pa_schema
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 LONG, LEAF, AGREE = 4096, 2048, 4
-MEMO = 500_000
+MEMO_BYTES = 48 << 20
 SLICE_BYTES, SLICE_ROWS = 8 << 20, 4096
 #: Characters with the Unicode property White_Space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -54,6 +56,42 @@ def _odd(texts: pa.Array) -> np.ndarray:
     return found.to_numpy(zero_copy_only=False)
 
 
+class Known:
+    """Units seen before and their ids, in flat arrays of at most MEMO_BYTES: those met in most slices stay, of these the latest."""
+
+    def __init__(self):
+        self.units, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.met, self.latest, self.now = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+
+    def places(self, units: pa.Array) -> np.ndarray:
+        """The place of each unit; -1 where it is new."""
+        self.now += 1
+        at = pc.fill_null(pc.index_in(units, value_set=self.units), -1).to_numpy(zero_copy_only=False)
+        here = at[at >= 0]
+        self.met[here] += 1
+        self.latest[here] = self.now
+        return at
+
+    def add(self, units: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """units are new; sizes has their number of ids."""
+        self.units = pa.concat_arrays([self.units, units])
+        self.ids = np.concatenate((self.ids, ids))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        self.met = np.concatenate((self.met, np.ones(len(units), np.int32)))
+        self.latest = np.concatenate((self.latest, np.full(len(units), self.now, np.int32)))
+
+    def trim(self) -> None:
+        """Halves what is known once it takes more than MEMO_BYTES."""
+        weight = pc.binary_length(self.units).to_numpy(zero_copy_only=False) + 4 * np.diff(self.ends) + 20
+        if weight.sum() <= MEMO_BYTES:
+            return
+        order = np.lexsort((-self.latest, -self.met))
+        kept = np.sort(order[np.cumsum(weight[order]) <= MEMO_BYTES // 2])
+        lists = pa.ListArray.from_arrays(pa.array(self.ends.astype(np.int32)), pa.array(self.ids)).take(pa.array(kept))
+        self.units, self.ids, self.ends = self.units.take(pa.array(kept)), lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        self.met, self.latest = (self.met[kept] + 1) // 2, self.latest[kept]
+
+
 class Encoder:
     """ids of whole texts as the tokenizers library gives them."""
 
@@ -66,15 +104,25 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.dropping = self.library.normalizer is not None
-        self.units = (DROPPING if self.dropping else KEEPING).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Known()
+
+    @functools.cached_property
+    def stretches(self) -> re.Pattern:
+        """Special tokens, which end what stands before them as the end of a text does."""
+        return re.compile("(" + "|".join(map(re.escape, self.special or ["(?!)"])) + ")")
+
+    def units(self, text: str) -> list[str]:
+        if self.dropping:
+            return DROPPING.findall(text)
+        return [u for i, x in enumerate(self.stretches.split(text)) for u in (KEEPING.findall(x) if i % 2 == 0 else [x])]
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row and each text's place among them (one more place than texts)."""
         texts = texts.fill_null("")
-        odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) if self.dropping else _odd(texts)
+        odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        if not self.dropping:
+            odd = odd | _odd(texts)
         usual = texts.filter(pa.array(~odd)) if odd.any() else texts
         if self.dropping:
             parts = pc.ascii_split_whitespace(usual)
@@ -96,58 +144,63 @@ class Encoder:
     def gathered(self, units: pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The units' ids in a row; places counts units, what is returned counts ids."""
         coded = units.dictionary_encode()
-        found = self.values(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[codes]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        at = np.repeat(starts[codes] - ends[:-1], lengths) + np.arange(ends[-1])
-        return np.frombuffer(b"".join(found), "<u4")[at], ends[places]
-
-    def values(self, units: list[str]) -> list[bytes]:
-        """Ids as little-endian bytes of distinct units, from the memo or the library. The memo has two generations of MEMO units at most."""
-        found = list(map(self.memo.get, units))
-        missed = [i for i, x in enumerate(found) if x is None]
-        if not missed:
-            return found
-        got: dict[str, bytes] = {}
-        split: dict[str, tuple[str, str]] = {}
-        roots: dict[str, None] = {}
-        for i in missed:
-            u = units[i]
-            if (known := self.old.get(u)) is not None:
-                got[u] = known
-                continue
-            root, end = (u[:-1], u[-1]) if len(u) > 1 and u[-1] in ".," and u[-2].isalpha() else (u, "")
-            if self.dropping and root.isascii() and "<|" not in root:
-                root = root.lower()  # as the library does; ASCII alone has no marks that case could tell apart
-            if root is not u and root != u or end:
-                split[u] = root, end
-                if end:
-                    roots[end] = None
-            roots[root] = None
-        new = [r for r in roots if r not in got and self._known(r) is None]
-        short = [u for u in new if len(u) <= LONG]
-        for at in range(0, len(short), 4096):
-            some = short[at : at + 4096]
-            ids = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
-            data, ends = array.array("I", itertools.chain.from_iterable(ids)).tobytes(), itertools.accumulate(map(len, ids), initial=0)
-            got.update((u, data[4 * a : 4 * b]) for u, (a, b) in zip(some, itertools.pairwise(ends), strict=True))
-        long = {u: self.long(u) for u in new if len(u) > LONG}
-        value = lambda x: got[x] if x in got else long[x] if x in long else self._known(x)
-        for u, (root, end) in split.items():
-            got[u] = value(root) + (value(end) if end else b"")
-        for i in missed:
-            found[i] = value(units[i])
-        self.memo.update((u, x) for u, x in got.items() if len(u) <= LONG)
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
-        return found
-
-    def _known(self, unit: str) -> bytes | None:
-        x = self.memo.get(unit)
-        return self.old.get(unit) if x is None else x
+        lists = self.values(coded.dictionary)
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
+        return lists.take(coded.indices).values.to_numpy(), np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))[places]
+
+    def values(self, units: pa.Array) -> pa.ListArray:
+        """The ids of distinct units.
+
+        A comma or full stop behind a plain Latin letter is a unit of its own, as every tokenizer used here has it, and
+        ASCII text is lowered where the library does so (it has no marks that case could tell apart), so more is known.
+        """
+        ends = pc.and_(pc.match_substring_regex(units, "[A-Za-z\\x{df}-\\x{f6}\\x{f8}-\\x{ff}][.,]$"), pc.invert(pc.match_substring(units, "<|")))
+        roots = pc.if_else(ends, pc.utf8_slice_codeunits(units, 0, -1), units)
+        if self.dropping:
+            roots = pc.if_else(pc.and_(pc.string_is_ascii(roots), pc.invert(pc.match_substring(roots, "<|"))), pc.ascii_lower(roots), roots)
+        coded = pa.concat_arrays([roots, pa.array([".", ","], pa.string())]).dictionary_encode()
+        lists, codes = self.remembered(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+        if not pc.any(ends).as_py():
+            return lists.take(pa.array(codes[:-2]))
+        stops = pc.ends_with(units, ".").to_numpy(zero_copy_only=False)
+        ended = ends.to_numpy(zero_copy_only=False)
+        both = np.column_stack((codes[:-2], np.where(stops, codes[-2], codes[-1])))
+        wanted = lists.take(pa.array(both[np.column_stack((np.ones(len(ended), bool), ended))]))
+        offsets = wanted.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array(offsets[np.concatenate(([0], np.cumsum(1 + ended)))]), wanted.values)
+
+    def remembered(self, units: pa.Array) -> pa.ListArray:
+        """The ids of distinct units, from what is known or from the library."""
+        at = self.known.places(units)
+        new = np.flatnonzero(at < 0)
+        fresh = units.take(pa.array(new))
+        ids, sizes = self.fresh(fresh.to_pylist())
+        starts = np.concatenate((self.known.ends[:-1], len(self.known.ids) + np.cumsum(sizes) - sizes))
+        lengths = np.concatenate((np.diff(self.known.ends), sizes))
+        at = at.astype(np.int64)
+        at[new] = len(self.known.units) + np.arange(len(new))
+        sizes_out = lengths[at]
+        ends = np.concatenate(([0], np.cumsum(sizes_out)))
+        picks = np.repeat(starts[at] - ends[:-1], sizes_out) + np.arange(ends[-1])
+        out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate((self.known.ids, ids))[picks]))
+        short = pc.less_equal(pc.binary_length(fresh), LONG).to_numpy(zero_copy_only=False)
+        if short.all():
+            self.known.add(fresh, ids, sizes)
+        else:
+            self.known.add(fresh.filter(pa.array(short)), ids[np.repeat(short, sizes)], sizes[short])
+        self.known.trim()
+        return out
+
+    def fresh(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number of ids of each unit)."""
+        parts, sizes = array.array("I"), []
+        for at in range(0, len(units), 4096):
+            some = units[at : at + 4096]
+            found = (e.ids for e in self.library.encode_batch_fast([u for u in some if len(u) <= LONG], add_special_tokens=False))
+            for x in found if max(map(len, some)) <= LONG else [next(found) if len(u) <= LONG else np.frombuffer(self.long(u), "<u4").tolist() for u in some]:
+                parts.extend(x)
+                sizes.append(len(x))
+        return np.frombuffer(parts.tobytes(), "<u4"), np.array(sizes, np.int64)
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         ids, places = self.flat(pa.array(texts, pa.string()))
@@ -301,9 +354,12 @@ def _long(rows: DataFrame, path: str) -> DataFrame:
                 short: list[str] = []
 
                 def flush(out=out, short=short):
-                    if short:
-                        out.append((out[-1][0] + 1 if out else 0, -1, ("" if not made.dropping else " ").join(short)))
-                        short.clear()
+                    blanks = []  # at the end they stay apart: joined, they would part in another way
+                    while short and not made.dropping and not short[-1].strip():
+                        blanks.insert(0, short.pop())
+                    for piece in [("" if not made.dropping else " ").join(short)] * bool(short) + blanks:
+                        out.append((out[-1][0] + 1 if out else 0, -1, piece))
+                    short.clear()
 
                 for unit in made.units(text):
                     if len(unit) <= LONG:
