@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SALTS = 32
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -27,13 +29,28 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a local folder is made and set.
+    Where that setting is absent, one machine alone (tests) gets a local folder; a cluster's executors could not share one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: Folders that this driver has handed out and not cleared.
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table that cut() and scratch() left in the shared folder. For the end of a job: results that read them are gone then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -106,8 +123,17 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, bytes_each: int, most: int = 20_000) -> int:
-    """A number of partitions that grows with the input, up to what one shuffle can well have; beyond it partitions grow and sorts spill."""
-    return min(most, max(1, -(-input_bytes(df) // bytes_each)))
+    """A number of partitions that grows with the input, up to what one shuffle can well have; beyond it partitions grow and sorts spill. Spark's own number where the input's size is not known."""
+    size = input_bytes(df)
+    if size >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(1, -(-size // bytes_each)))
+
+
+def salted(rows: DataFrame, few: DataFrame, key: str, by: Column) -> DataFrame:
+    """rows left-joined with few (one row for each key) so that a key's rows are dealt to SALTS tasks; by spreads them."""
+    spread = rows.withColumn("__salt", F.pmod(by, F.lit(SALTS)).cast("int"))
+    return spread.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "__salt"], "left").drop("__salt")
 
 
 def any_of(columns: list[Column]) -> Column:
