@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vocabulary import FORM_WEIGHTS, GRADING_WORDS, KNOWN_LABELS, NO_PREFIX, NO_SET, SOURCE_WEIGHTS
+
 #: Texts that mean no data.
 NO_DATA = ("", "-", "–", "n/a", "N/A")
 
@@ -56,8 +59,19 @@ def natural_key(x: Column, width: int = 12) -> Column:
 
 
 def pretty(x: Column) -> Column:
-    """Parts of an underscored key with a capital first letter."""
-    return F.array_join(F.transform(F.split(x, "_"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)))), " ")
+    """A key's label: a known one, else its parts with a capital first letter."""
+    key = normalize_part(x)
+    parts = F.array_join(F.transform(F.split(key, "_"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)))), " ")
+    known = F.create_map(*(F.lit(v) for pair in KNOWN_LABELS.items() for v in pair))
+    return F.coalesce(F.try_element_at(known, key), parts)
+
+
+def variant_label(finish: Column, print_run: Column, micro: Column, size: Column, stamps: Column) -> Column:
+    """Labels of a variant's parts, then jumbo and stamps in order; Standard where it has none."""
+    keys = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(stamps, F.array().cast("array<string>")), normalize_part), lambda s: s != "")))
+    parts = F.filter(F.array(*(F.when(F.trim(p) != "", pretty(p)) for p in (print_run, finish, micro)), F.when(normalize_part(size) == "jumbo", F.lit("Jumbo"))), lambda p: p.isNotNull())
+    label = F.array_join(F.concat(parts, F.transform(keys, pretty)), " · ")
+    return F.when(label == "", "Standard").otherwise(label)
 
 
 def split_card_id(x: Column) -> tuple[Column, Column]:
@@ -89,20 +103,78 @@ def first_match(x: Column, patterns: list[str]) -> Column:
 
 
 def number_forms(x: Column) -> Column:
-    """Spellings of a card number: as it is, without leading zeros, padded to three, with a prefix padded to two and three."""
+    """Spellings of a card number: as it is, without leading zeros, padded to three, also before a last letter; with a prefix as it is, padded to two and to three."""
     up = F.upper(F.trim(x))
-    bare = F.regexp_replace(up, r"^0+(?=\d)", "")
-    prefix, digits = F.regexp_extract(up, r"^([A-Z]+)(\d+)$", 1), F.regexp_extract(up, r"^([A-Z]+)(\d+)$", 2)
-    core = F.regexp_replace(digits, r"^0+(?=\d)", "")
-    numeric, mixed = up.rlike(r"^\d+$"), up.rlike(r"^[A-Z]+\d+$")
+    digits, last = F.regexp_extract(up, "^0*([0-9]+)([A-Z]?)$", 1), F.regexp_extract(up, "^0*([0-9]+)([A-Z]?)$", 2)
+    prefix, core = F.regexp_extract(up, "^([A-Z]+)-?0*([0-9]+)$", 1), F.regexp_extract(up, "^([A-Z]+)-?0*([0-9]+)$", 2)
 
     def pad(d: Column, n: int) -> Column:
         return F.when(F.length(d) < n, F.lpad(d, n, "0")).otherwise(d)
 
-    forms = F.array(up, F.when(numeric, bare), F.when(numeric, pad(bare, 3)), F.when(mixed, F.concat(prefix, core)), F.when(mixed, F.concat(prefix, pad(core, 2))), F.when(mixed, F.concat(prefix, pad(core, 3))))
+    numeric, mixed = digits != "", prefix != ""
+    forms = F.array(up, F.when(numeric, F.concat(digits, last)), F.when(numeric, F.concat(pad(digits, 3), last)), *(F.when(mixed, F.concat(prefix, pad(core, n))) for n in (1, 2, 3)))
     return F.array_distinct(F.filter(forms, lambda f: f.isNotNull() & (f != "")))
 
 
+_READING = "struct<value:string,total:int,code:string,kind:string,weight:double>"
+
+
+def readings(x: Column, source: str, prefixes: Sequence[str] | None = None) -> Column:
+    """Array of (value, total, code, kind, weight): every number that a text may mean, strongest first.
+
+    A text that is a number alone, fractions, #n and, outside descriptions, numbers behind letters; prefixes names the
+    letters that begin numbers. Of equal (value, total) the first of the strongest stays. A fraction behind a grader's
+    name or over a word of the trade is no number; letters and dashes under it are a set's code.
+    """
+    safe, base = F.trim(F.coalesce(x, F.lit(""))), SOURCE_WEIGHTS[source]
+    none = F.lit(None).cast("string")
+
+    def reading(value: Column, kind: str, total: Column = none, code: Column = none, form: str | None = None) -> Column:
+        return F.struct(F.upper(value).alias("value"), total.cast("int").alias("total"), F.upper(code).alias("code"), F.lit(kind).alias("kind") if form is None else F.lit(form).alias("kind"), F.lit(base * FORM_WEIGHTS[kind]).alias("weight"))
+
+    bare = F.regexp_extract(safe, r"^\s*([0-9]{1,4}[A-Za-z]?)\s*$", 1)
+    first = F.when(bare != "", F.array(reading(bare, "bare"))).otherwise(F.expr(f"cast(array() as array<{_READING}>)"))
+    pattern = r"(?:(?<=(?:^|\s)(\S{1,40})\s{0,5})|)([0-9]{1,4})\s*/\s*([A-Za-z0-9][A-Za-z0-9-]*)"  # the first group is the word before
+    before, numerator, denominator = (F.regexp_extract_all(safe, F.lit(pattern), i) for i in (1, 2, 3))
+    over = F.filter(F.arrays_zip(before.alias("w"), numerator.alias("n"), denominator.alias("d")), lambda f: ~F.regexp_replace(F.lower(F.coalesce(f["w"], F.lit(""))), "[^a-z]", "").isin(*GRADING_WORDS) & ~F.lower(f["d"]).isin(*NO_SET))
+    numeric = lambda f: f["d"].rlike("^[0-9]+$")
+    fraction = F.transform(over, lambda f: F.when(numeric(f), reading(f["n"], "fraction", total=f["d"].try_cast("int"))).otherwise(reading(f["n"], "fraction", code=F.when(f["d"].rlike("^[A-Za-z][A-Za-z-]+$"), f["d"]), form="promo-fraction")))
+    hashed = F.transform(F.regexp_extract_all(safe, F.lit(r"#\s*([0-9]{1,4}[A-Za-z]?)\b"), 1), lambda v: reading(v, "hash"))
+    parts = [first, fraction, hashed]
+    if source != "description":
+        letters = r"\b([A-Za-z]{1,4})[-\s]?([0-9]{1,4})\b"
+        pairs = F.arrays_zip(F.regexp_extract_all(safe, F.lit(letters), 1).alias("p"), F.regexp_extract_all(safe, F.lit(letters), 2).alias("d"))
+        fine = F.filter(pairs, lambda f: ~F.lower(f["p"]).isin(*NO_PREFIX) & (F.lit(True) if prefixes is None else F.lower(f["p"]).isin(*prefixes)))
+        parts.append(F.transform(fine, lambda f: reading(F.concat(f["p"], f["d"]), "alnum")))
+    return strongest(F.concat(*parts))
+
+
+def strongest(every: Column) -> Column:
+    """Readings by falling weight, each (value, total) once; of equal weights the one found first stays ahead."""
+    placed = F.transform(every, lambda r, i: F.struct((-r["weight"]).alias("w"), i.alias("i"), r.alias("r")))
+    ordered = F.transform(F.array_sort(placed), lambda p: p["r"])
+    return F.filter(ordered, lambda r, i: ~F.exists(F.slice(ordered, F.lit(1), i), lambda d: (d["value"] == r["value"]) & d["total"].eqNullSafe(r["total"])))
+
+
+def loose_readings(x: Column, source: str = "title", most: int = 3) -> Column:
+    """Up to three bare whole numbers of a text that are no year and no grade beside a grader's words."""
+    safe = F.coalesce(x, F.lit(""))
+    numbers = F.regexp_extract_all(safe, F.lit(r"(?<![A-Za-z0-9_])([0-9]{1,4})(?![A-Za-z0-9_])"), 1)
+    pieces = F.split(safe, r"(?<![A-Za-z0-9_])[0-9]{1,4}(?![A-Za-z0-9_])")
+    lead = lambda i: F.array_join(F.transform(F.sequence(F.lit(0), i), lambda k: F.concat(F.get(pieces, k), F.when(k < i, F.get(numbers, k)).otherwise(F.lit("")))), "")
+    near = F.transform(numbers, lambda n, i: F.struct(n.alias("n"), F.concat(F.right(lead(i), F.lit(12)), F.substring(F.concat(n, safe.substr(F.length(lead(i)) + F.length(n) + 1, F.lit(14))), 1, 14)).alias("near")))
+    grade = lambda f: f["n"].isin("8", "9", "10") & f["near"].rlike("(?i)psa|bgs|cgc|sgc|gem|mint")
+    kept = F.array_distinct(F.transform(F.filter(near, lambda f: ~f["n"].rlike("^(19|20)[0-9]{2}$") & ~grade(f)), lambda f: f["n"]))
+    none = F.lit(None)
+    return F.transform(F.slice(kept, 1, most), lambda v: F.struct(v.alias("value"), none.cast("int").alias("total"), none.cast("string").alias("code"), F.lit("bare").alias("kind"), F.lit(SOURCE_WEIGHTS[source] * FORM_WEIGHTS["loose"]).alias("weight")))
+
+
+def printed_numbers(every: Column) -> Column:
+    """How many different numbers stand over a fraction line."""
+    over = F.filter(every, lambda r: r["kind"].isin("fraction", "promo-fraction"))
+    return F.size(F.array_distinct(F.transform(over, lambda r: F.regexp_replace(r["value"], "^0+(?=[0-9])", ""))))
+
+
 def fractions(x: Column) -> Column:
     """Array of (numerator, denominator) texts of printed fractions such as 025/102."""
     pattern = r"(?<![\d/])(\d{1,3})\s?/\s?(\d{1,3})(?![\d/])"

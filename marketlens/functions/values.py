@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import NO_DATA
+from .vocabulary import KEPT_ATTRIBUTES, PRICE_BANDS
 
 
 def parse_money(x: Column) -> Column:
@@ -46,10 +49,11 @@ def rate_age_days(rate_date: Column, now: Column) -> Column:
     return F.datediff(now.cast("date"), rate_date)
 
 
-def compared(guide: Column, bid: Column, currency: Column, rate: Column, usable: Column) -> tuple[Column, Column]:
-    """(guide in the bid's currency, discount in per cent): dollars directly, euros through a usable rate (F32)."""
-    value = F.when(currency == "USD", guide).when((currency == "EUR") & usable & (rate > 0), guide / rate)
-    return value, F.when(value > 0, (1 - bid / value) * 100)
+def compared(guide: Column, bid: Column, currency: Column, rate: Column, usable: Column) -> tuple[Column, Column, Column]:
+    """(guide in the bid's currency, discount in per cent, guide in euros): dollars directly, euros through a usable rate (F32)."""
+    euros = F.when(bid.isNotNull() & usable & (rate > 0), guide / rate)
+    value = F.when(currency == "USD", guide).when(currency == "EUR", euros)
+    return value, F.when(value > 0, (value - bid) / value * 100), euros
 
 
 def gem_rate(tens: Column, total: Column) -> Column:
@@ -67,22 +71,93 @@ def quota_day(at: Column, hour: int = 7) -> Column:
     return (at - F.make_interval(hours=F.lit(hour))).cast("date")
 
 
-#: Upper bounds of the price bands; the last band is open.
-PRICE_BANDS = (10, 25, 50, 100, 250, 500, 1000, 2500)
+def strike_end(strikes: Column, at: Column) -> Column:
+    """End of the wait after the first strike, the second, and then the next day."""
+    return F.when(strikes <= 1, at + F.make_dt_interval(mins=F.lit(30))).when(strikes == 2, at + F.make_dt_interval(mins=F.lit(60))).otherwise(F.date_add(at.cast("date"), 1).cast("timestamp_ntz"))
+
 
+def next_reset(at: Column, hour: int = 7) -> Column:
+    """The next time at which the quota begins anew."""
+    return F.date_add(quota_day(at, hour), 1).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(hour))
 
-def price_band(x: Column, bounds: tuple[float, ...] = PRICE_BANDS) -> Column:
-    """Number of the band, from 0."""
-    out = F.when(x < bounds[0], 0)
+
+def price_band(x: Column, bounds: Sequence[float] = PRICE_BANDS) -> Column:
+    """Number of the band, from 0; a band holds its upper end and begins a cent above the one before."""
+    out = F.when(x <= bounds[0], 0)
     for i, b in enumerate(bounds[1:], 1):
-        out = out.when(x < b, i)
+        out = out.when(x <= b, i)
     return out.when(x.isNotNull(), len(bounds)).cast("int")
 
 
-def split_range(low: float, high: float | None) -> list[tuple[float, float | None]]:
-    """The fixed bands of an open range, or both halves of a closed one to two decimals."""
-    if high is None:
-        edges = [low, *(float(b) for b in PRICE_BANDS if b > low)]
-        return [*zip(edges, edges[1:], strict=False), (edges[-1], None)]
-    middle = round((low + high) / 2, 2)
-    return [(low, middle), (middle, high)] if low < middle < high else []
+def split_range(low: float = 0, high: float | None = None) -> list[tuple[float, float | None]]:
+    """The fixed bands of the whole range; two parts of another one, the second a cent above the first."""
+    if high is None and low == 0:
+        starts = [0, *(b + 0.01 for b in PRICE_BANDS)]
+        return list(zip(starts, [*PRICE_BANDS, None], strict=True))
+    middle = max(low * 2, low + 5000) if high is None else round((low + high) / 2, 2)
+    if high is not None and middle <= low:
+        raise ValueError(f"prices from {low} to {high} cannot be parted further")
+    return [(low, middle), (middle + 0.01, high)]
+
+
+def duration_minutes(x: Column) -> Column:
+    """Minutes of 20m, 2h, 1d or a bare number of minutes, at least one; null for anything else."""
+    pattern = r"(?i)^(\d+(?:\.\d+)?)\s*(m|min|h|hr|d|day)?s?$"
+    n, unit = F.regexp_extract(F.trim(x), pattern, 1).try_cast("double"), F.lower(F.regexp_extract(F.trim(x), pattern, 2))
+    factor = F.when(unit.startswith("d"), 1440).when(unit.startswith("h"), 60).otherwise(1)
+    return F.when(n.isNotNull(), F.greatest(F.lit(1).cast("long"), F.floor(n * factor + 0.5)))
+
+
+def ending_hours(x: Column) -> Column:
+    """Whole hours of a duration, at least one; null for none, off and 0."""
+    minutes = duration_minutes(x)
+    return F.when(~F.trim(x).rlike("(?i)^(none|off|0)$") & minutes.isNotNull(), F.greatest(F.lit(1).cast("long"), F.floor(minutes / 60 + 0.5)))
+
+
+def is_fresh(fetched: Column, now: Column, most_minutes: int | None) -> Column:
+    """Younger than an age; everything is fresh without one, and what has no date is not."""
+    return F.lit(True) if most_minutes is None else F.coalesce(now - F.make_dt_interval(mins=F.lit(most_minutes)) < fetched, F.lit(False))
+
+
+def safe_text(x: Column) -> Column:
+    return x.cast("string")
+
+
+def safe_number(x: Column) -> Column:
+    """A number out of a text; empty and unreadable are null."""
+    return F.nullif(F.trim(x.cast("string")), F.lit("")).try_cast("double")
+
+
+def safe_integer(x: Column) -> Column:
+    """A whole number, zero where there is none."""
+    return F.coalesce(F.trim(x.cast("string")).try_cast("double").try_cast("long"), F.lit(0).cast("long"))
+
+
+def safe_object(x: Column) -> Column:
+    """A JSON object as a map of texts; anything else is the empty map."""
+    return F.coalesce(F.when(F.ltrim(x).startswith("{"), F.from_json(x, "map<string,string>")), F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<string>))"))
+
+
+def safe_strings(x: Column) -> Column:
+    """A JSON array as texts; anything else is the empty array."""
+    return F.coalesce(F.when(F.ltrim(x).startswith("["), F.from_json(x, "array<string>")), F.expr("cast(array() as array<string>)"))
+
+
+def kept_attributes(x: Column, keys: Sequence[str] = KEPT_ATTRIBUTES) -> Column:
+    """The entries of a map that are kept."""
+    return F.map_filter(x, lambda k, v: k.isin(*keys) & v.isNotNull())
+
+
+def or_unknown(x: Column) -> Column:
+    """A missing attribute is unknown (P10)."""
+    return F.coalesce(x, F.lit("unknown"))
+
+
+def guide_rows(summary: Column) -> Column:
+    """Grade metrics as rows of texts; a grade without metrics has none, and the average stands for the guide price.
+
+    summary: array of (grade, metrics (latestPrice, averagePrice)).
+    """
+    text = lambda x: F.coalesce(number_text(x), F.lit(""))
+    graded = F.filter(summary, lambda g: g.isNotNull() & g["metrics"].isNotNull())
+    return F.transform(graded, lambda g: F.struct(g["grade"].cast("string").alias("gradeText"), text(g["metrics"]["latestPrice"]).alias("mostRecentText"), text(g["metrics"]["averagePrice"]).alias("averageText"), text(g["metrics"]["averagePrice"]).alias("psaPriceText")))

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_match, links
+from ..functions.vocabulary import SPEC_PATTERNS
 from ..operators.latest import top_by
 from ..operators.merge import insert_or_ignore
 
-#: Forms in which a certificate page names its spec, tried in order.
-SPEC_PATTERNS = [r'"specId"\s*:\s*"?(\d+)', r'"SpecID"\s*:\s*"?(\d+)', r"specid=(\d+)", r"/spec/(?:[^\"'\s]*/)?(\d+)", r"Spec\s*(?:ID|#)\s*:?\s*(\d+)"]
 IMAGE_QUALITIES, IMAGE_FORMATS = ("low", "high"), ("webp", "png", "jpg")
 
 
@@ -63,8 +62,12 @@ def import_backfill(files: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def aliases(entries: DataFrame) -> DataFrame:
-    """alias_text, language, source_set_id from entries whose alias is an array; entries with a comment alone go."""
-    return entries.where("source_set_id is not null and aliases is not null").select(F.explode("aliases").alias("alias_text"), "language", "source_set_id").where("alias_text <> ''").distinct()
+    """alias_text, language, source_set_id from entries whose alias is one text or a JSON array of them; entries with a comment alone go.
+
+    entries: aliases (text, as get_json_object gives it, or array), language, source_set_id.
+    """
+    text = F.col("aliases") if dict(entries.dtypes)["aliases"] != "string" else F.when(F.ltrim("aliases").startswith("["), F.from_json("aliases", "array<string>")).otherwise(F.array("aliases"))
+    return entries.where("source_set_id is not null and aliases is not null").select(F.explode(text).alias("alias_text"), "language", "source_set_id").where("alias_text <> ''").distinct()
 
 
 def exchange_rate(xml: Column) -> Column:
@@ -120,10 +123,15 @@ def canonical_titles(titles: DataFrame, redirects: DataFrame) -> DataFrame:
             return out.drop("seen")
 
 
-def asset_url(base: str, set_code: Column, local_id: Column, width: int = 3) -> Column:
-    """Deterministic picture address of a card."""
-    digits = F.when(local_id.rlike(r"^\d+$") & (F.length(local_id) < width), F.lpad(local_id, width, "0")).otherwise(local_id)
-    return F.concat_ws("/", F.lit(base.rstrip("/")), F.lower(set_code), F.concat(digits, F.lit(".png")))
+def asset_urls(cards: DataFrame, folders: DataFrame, stems: DataFrame, base: str) -> DataFrame:
+    """card_id, url, match_kind of cards of the sets that a folder is known for: special stems first, else the number in the set's width.
+
+    cards: card_id, source_set_id, local_id; folders: source_set_id, folder, prefix, width; stems: source_set_id, local_id, stem.
+    """
+    numbered = cards.where(F.col("local_id").rlike("^[0-9]+$")).join(folders, "source_set_id").join(stems, ["source_set_id", "local_id"], "left")
+    number = F.regexp_replace("local_id", "^0+(?=[0-9])", "")
+    own = F.concat("prefix", F.when(F.length(number) < F.col("width"), F.lpad(number, F.col("width"), F.lit("0"))).otherwise(number))
+    return numbered.select("card_id", F.concat_ws("/", F.lit(base.rstrip("/")), F.lit("img"), "folder", F.concat(F.coalesce("stem", own), F.lit(".png"))).alias("url"), F.when(F.col("stem").isNotNull(), "special-stem").otherwise("exact").alias("match_kind"))
 
 
 def card_images(cards: DataFrame) -> DataFrame:
@@ -172,3 +180,41 @@ def synthetic(spark: SparkSession, n: int) -> DataFrame:
 def scope_key(*parts: Column) -> Column:
     """Parts joined by colons."""
     return F.concat_ws(":", *parts)
+
+
+#: Forms of scope keys: the pattern that takes one apart and the names of its parts.
+SCOPES = {
+    "item": (r"^item:([^:]+):(.+)$", ("marketplace", "item_id")), "cert": (r"^cert:(.+)$", ("cert",)), "population": (r"^population:(.+)$", ("spec_id",)),
+    "sales_page": (r"^sales:([^:]+):grade=([^:]*):qualifier=([^:]*):page=(\d+)$", ("spec_id", "grade", "qualifier", "page")), "set": (r"^([a-z]{2}):set:(.+)$", ("language", "set_id")), "card": (r"^([a-z]{2}):card:(.+)$", ("language", "card_id")),
+    "card_image": (r"^([^:]+):image:card:(.+):([^:]+):([^:]+)$", ("language", "card_id", "quality", "format")), "set_image": (r"^([^:]+):image:set:(.+):(logo|symbol):([^:]+):([^:]+)$", ("language", "set_id", "kind", "quality", "format")),
+}
+
+
+def scope_parts(key: Column, kind: str) -> Column:
+    """Struct of a scope key's parts; null where it is of another kind."""
+    pattern, names = SCOPES[kind]
+    return F.when(key.rlike(pattern), F.struct(*(F.regexp_extract(key, pattern, i).alias(n) for i, n in enumerate(names, 1))))
+
+
+def search_scope(marketplace: Column, query: Column, offset: Column, limit: int, most: int = 0, live: bool = False, day: Column | None = None, low: Column | None = None, high: Column | None = None) -> Column:
+    """Key of a page of search results; a price range and the day it was made for belong to it."""
+    mode = "mode=live_auctions" if live else "buying=all"
+    none = F.lit(None).cast("string")
+    low, high = none if low is None else low.cast("string"), none if high is None else high.cast("string")
+    price = F.when(low.isNotNull() | high.isNotNull(), F.concat(F.lit("price="), F.coalesce(low, F.lit("0")), F.lit("-"), F.coalesce(high, F.lit("inf"))))
+    asof = none if day is None else F.when(day.isNotNull(), F.concat(F.lit("asof="), F.date_format(day, "yyyy-MM-dd")))
+    return F.concat_ws(":", F.lit("search"), marketplace, query, F.lit(mode), F.lit(f"limit={limit}"), F.lit(f"max={most or 'all'}"), F.concat(F.lit("offset="), offset.cast("string")), asof, price)
+
+
+def same_set_name(page_title: Column, set_name: Column) -> Column:
+    """Whether a page's title names a set: what stands in corner brackets, or before the bar, and the set's name are equal or one holds the other."""
+    bracketed = F.regexp_extract(page_title, "「([^」]+)」", 1)
+    core = F.when(bracketed != "", bracketed).otherwise(F.split(page_title, "｜")[0])
+    plain = lambda x: F.regexp_replace(F.replace(F.regexp_replace(x, "[「」『』]", ""), F.lit("＆"), F.lit("&")), r"\s+", "")
+    p, o = plain(core), plain(set_name)
+    return F.coalesce(p.contains(o) | o.contains(p), F.lit(False))
+
+
+def identity_drift(rows: DataFrame) -> DataFrame:
+    """parsed, unparsed, drift of identity_rows(): a page none of whose rows is read has changed its form."""
+    return rows.agg(F.count("spec_id").alias("parsed"), F.count_if(F.col("spec_id").isNull()).alias("unparsed"), (F.bool_and(F.col("spec_id").isNull())).alias("drift"))
