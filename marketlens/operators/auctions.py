@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import compared, rate_age_days
+from ..functions.values import compared, or_unknown, rate_age_days
 from .latest import latest_by, top_by
 from .predicates import all_of, first_rule, live_auction, text_search, trusted_match
 
 SORTS = {
-    "discount_desc": [F.desc_nulls_last, "discount"], "discount_asc": [F.asc_nulls_last, "discount"], "ending": [F.asc_nulls_last, "item_end_date"],
-    "bid_desc": [F.desc_nulls_last, "price"], "bid_asc": [F.asc_nulls_last, "price"], "bids": [F.desc_nulls_last, "bid_count"],
+    "opportunity_desc": [F.desc_nulls_last, "discount"], "ending_soon": [F.asc_nulls_first, "item_end_date"], "bids_desc": [F.desc_nulls_last, "bid_count"],
+    "bid_asc": [F.asc_nulls_last, "bid"], "bid_desc": [F.desc_nulls_last, "bid"], "psa_price_desc": [F.desc_nulls_last, "guide_price"],
 }
 
 
@@ -21,34 +21,49 @@ def current_prices(history: DataFrame) -> DataFrame:
 
 
 def latest_rate(rates: DataFrame) -> DataFrame:
-    """One row: the newest rate."""
-    return rates.where("quote = 'USD'").orderBy(F.desc("rate_date")).limit(1).select("rate_date", "rate")
+    """One row: the newest rate from euros to dollars."""
+    return rates.where("base = 'EUR' and quote = 'USD'").orderBy(F.desc("rate_date")).limit(1).select("rate_date", "rate")
 
 
 def live_auctions(listings: DataFrame, history: DataFrame, metrics: DataFrame, rates: DataFrame, now: Column, margin_minutes: int = 0, hours: int = 72) -> DataFrame:
-    """Live auctions with bid, guide price in the bid's currency and discount."""
-    rows = listings.join(current_prices(history), "listing_id").where(live_auction(now, margin_minutes, hours))
+    """Live auctions with their current bid, the guide price in dollars, in euros and in the bid's currency, and the discount."""
+    rows = listings.join(current_prices(history), "listing_id").where(live_auction(now, margin_minutes, hours)).withColumn("bid", F.coalesce("current_bid", "price"))
     rated = rows.join(metrics.select("variant_id", "guide_price"), "variant_id", "left").join(F.broadcast(latest_rate(rates)), how="left")  # one rate
-    usable = rate_age_days(F.col("rate_date"), now).between(0, 7)
-    value, discount = compared(F.col("guide_price"), F.col("price"), F.col("currency"), F.col("rate"), F.coalesce(usable, F.lit(False)))
-    return rated.withColumns({"comparable": value, "discount": discount, "stale_rate": rate_age_days(F.col("rate_date"), now) > 1})
+    usable = F.coalesce(F.greatest(rate_age_days(F.col("rate_date"), now), F.lit(0)) <= 7, F.lit(False))
+    value, discount, euros = compared(F.col("guide_price"), F.col("bid"), F.col("currency"), F.col("rate"), usable)
+    return rated.withColumns({"comparable": value, "discount": discount, "guide_euros": euros, "stale_rate": rate_age_days(F.col("rate_date"), now) > 1, "stale": F.col("observed_at") < now - F.make_dt_interval(hours=F.lit(6))})
 
 
-def filtered(auctions: DataFrame, now: Column, q: str | None = None, ending_hours: int | None = None, guide: bool | None = None, least_discount: float | None = None, bids: tuple[float | None, float | None] = (None, None), sort: str = "discount_desc") -> DataFrame:
-    """The list's filters and sorts, nulls last."""
-    hours = None if ending_hours is None else min(max(ending_hours, 1), 72)
+def with_catalogue(auctions: DataFrame, variants: DataFrame, base: DataFrame) -> DataFrame:
+    """Auctions with their card's name, number, set and language; base as search.card_base() gives it."""
+    return auctions.drop("card_id").join(variants.select("variant_id", "card_id"), "variant_id").join(base.select("card_id", "name", "local_id", "set_name", "source_set_id", "language"), "card_id")
+
+
+def filtered(auctions: DataFrame, now: Column, q: str | None = None, ending_hours: int | None = None, guide: bool | None = None, least_discount: float | None = None, bids: tuple[float | None, float | None] = (None, None), sort: str = "opportunity_desc", language: str | None = None, set_name: str | None = None) -> DataFrame:
+    """The list's filters and sorts, of equal opportunities the one that ends first; searched are the title and what with_catalogue() adds."""
+    hours = 72 if ending_hours is None else min(max(ending_hours, 1), 72)
     wanted = all_of([
-        text_search(q, "title"), None if hours is None else F.col("item_end_date") <= now + F.make_dt_interval(hours=F.lit(hours)), None if guide is None else F.col("guide_price").isNotNull() == F.lit(guide),
-        None if least_discount is None else F.col("discount") >= least_discount, None if bids[0] is None else F.col("price") >= bids[0], None if bids[1] is None else F.col("price") <= bids[1],
+        text_search(q, *(c for c in ("title", "name", "set_name", "local_id") if c in auctions.columns)), F.col("item_end_date") <= now + F.make_dt_interval(hours=F.lit(hours)),
+        None if guide is None else F.col("guide_price").isNotNull() == F.lit(guide), None if least_discount is None else F.col("discount") >= least_discount,
+        None if bids[0] is None else F.col("bid") >= bids[0], None if bids[1] is None else F.col("bid") <= bids[1],
+        None if language is None else F.col("language") == language, None if set_name is None else (F.col("source_set_id") == set_name) | (F.col("set_name") == set_name),
     ])
-    direction, column = SORTS[sort]
-    return auctions.where(wanted).orderBy(direction(column), F.asc_nulls_last("item_end_date"), F.asc("listing_id"))
+    direction, column = SORTS[sort if sort in SORTS else "opportunity_desc"]
+    ends = [F.asc_nulls_first("item_end_date")] if column == "discount" else []
+    return auctions.where(wanted).orderBy(direction(column), *ends, F.asc("listing_id"))
+
+
+def auction_facets(auctions: DataFrame) -> DataFrame:
+    """facet, id, name, language: the languages and the sets of live auctions with their catalogue."""
+    languages = auctions.select(F.lit("language").alias("facet"), F.col("language").alias("id"), F.col("language").alias("name"), "language")
+    sets = auctions.select(F.lit("set").alias("facet"), F.col("source_set_id").alias("id"), F.col("set_name").alias("name"), "language")
+    return languages.unionByName(sets).distinct()
 
 
 def summary(auctions: DataFrame, now: Column) -> DataFrame:
-    """Count, comparable ones, median discount and those that end within a day, in one pass."""
+    """Count, those with a guide price, comparable ones, median discount, those that end within a day and the last observation, in one pass."""
     soon = F.col("item_end_date") <= now + F.make_dt_interval(hours=F.lit(24))
-    return auctions.agg(F.count("*").alias("live"), F.count("discount").alias("comparable"), F.median("discount").alias("median_discount"), F.count_if(soon).alias("ending_24h"))
+    return auctions.agg(F.count("*").alias("live"), F.count("guide_price").alias("with_guide"), F.count("discount").alias("comparable"), F.median("discount").alias("median_discount"), F.count_if(soon).alias("ending_24h"), F.max("observed_at").alias("last_observed"))
 
 
 def auction_history(history: DataFrame, listing_id: int) -> DataFrame:
@@ -82,14 +97,16 @@ def funnel(listings: DataFrame, history: DataFrame, coverage: DataFrame, term: s
     return rows.groupBy(term).agg(F.count("*").alias("listings"), *(F.count_if(c).alias(k) for k, c in flags.items()))
 
 
-def matched_targets(listings: DataFrame, history: DataFrame, specs: DataFrame, variants: DataFrame, now: Column, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(specs to fetch, soonest end first; matched variants without a spec by card): one predicate, its matches and the rest."""
+def matched_targets(listings: DataFrame, history: DataFrame, specs: DataFrame, variants: DataFrame, cards: DataFrame, sets: DataFrame, now: Column, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(specs to fetch, those that end soonest first, without a future end last; variants without a spec by set): one predicate, its matches and the rest."""
     trusted = listings.where(trusted_match() & F.col("variant_id").isNotNull() & (F.col("grade") == 10) & ~F.coalesce("is_lot", F.lit(False))).join(current_prices(history).select("listing_id", "item_end_date"), "listing_id", "left")
-    spec = top_by(specs.where("variant_id is not null"), ["variant_id"], [F.desc_nulls_last("fetched_at"), F.desc("spec_pk")]).select("variant_id", "spec_pk", "spec_id")
+    spec = top_by(specs.where("variant_id is not null and namespace = 'population'"), ["variant_id"], [F.desc_nulls_last("fetched_at"), F.desc("spec_pk")]).select("variant_id", "spec_pk", "spec_id")
     counted = trusted.groupBy("variant_id").agg(F.count_distinct("listing_id").alias("listings"), F.min(F.when(F.col("item_end_date") > now, F.col("item_end_date"))).alias("next_end"))
-    targets = counted.join(spec, "variant_id").orderBy(F.asc_nulls_last("next_end"), "spec_id")
-    gaps = counted.join(spec, "variant_id", "left_anti").join(variants.select("variant_id", "card_id"), "variant_id").groupBy("card_id").agg(F.count("*").alias("variants"))
-    return (targets if limit is None else targets.limit(limit)), gaps
+    named = variants.select("variant_id", "card_id", or_unknown(F.col("finish")).alias("finish"), or_unknown(F.col("print_run_marker")).alias("print_run_marker")).join(cards.select("card_id", "set_id", "local_id"), "card_id").join(sets.select("set_id", "source_set_id"), "set_id")
+    targets = counted.join(spec, "variant_id").join(named, "variant_id").select("spec_id", "spec_pk", "variant_id", "source_set_id", "local_id", "finish", "print_run_marker", "listings", "next_end")
+    gaps = counted.join(spec, "variant_id", "left_anti").join(named, "variant_id").groupBy("source_set_id").agg(F.count("*").alias("variants"), F.sum("listings").alias("listings"))
+    ordered = targets.orderBy(F.asc_nulls_last("next_end"), "source_set_id", "local_id", "spec_id")
+    return (ordered if limit is None else ordered.limit(limit)), gaps
 
 
 def snapshot_manifest(manifest: DataFrame, targets: DataFrame) -> DataFrame:

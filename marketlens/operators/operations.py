@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .latest import latest_by
@@ -57,10 +58,135 @@ def stage_decision(stages: DataFrame, now: Column) -> DataFrame:
     return stages.select("stage", rule.alias("decision"))
 
 
-def gaps(listings: DataFrame, variants: DataFrame) -> DataFrame:
-    """Listings in a gap tier and variants whose identity is not confirmed."""
-    tiers = listings.where(F.col("match_tier").isin("catalogue-gap", "review")).select(F.lit("listing").alias("kind"), F.col("listing_id").alias("id"), F.col("match_tier").alias("reason"))
-    return tiers.unionByName(variants.where("identity_status <> 'confirmed'").select(F.lit("variant"), F.col("variant_id"), F.col("identity_status")).toDF("kind", "id", "reason"))
+GAP_TIERS = ("catalogue-gap", "card-level", "flagged", "review", "out-of-scope", "lot")
+
+
+def gaps(listings: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """gap_type, listing_id, subject: listings whose tier is no plain match, and sets with trusted variants that no spec is known for.
+
+    unresolved: the second table of auctions.matched_targets().
+    """
+    tiers = listings.where(F.col("match_tier").isin(*GAP_TIERS)).select(F.col("match_tier").alias("gap_type"), "listing_id", F.col("title").alias("subject"))
+    return tiers.unionByName(unresolved.select(F.lit("psa-identity-gap").alias("gap_type"), F.lit(None).cast("long").alias("listing_id"), F.col("source_set_id").alias("subject")))
+
+
+def coverage_report(headings: DataFrame, specs: DataFrame, variants: DataFrame, cards: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counts of headings by status; source_set_id with headings, matched headings, specs, matched specs and English cards, zero where one of the three has no such set).
+
+    headings: heading_id, source_set_id, match_status.
+    """
+    done = F.col("match_status").isin("matched", "manual")
+    status = F.when(done, "matched").when(F.col("match_status") == "ambiguous", "ambiguous").otherwise("unmatched")
+    counts = headings.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    by_heading = headings.where("source_set_id <> ''").groupBy("source_set_id").agg(F.count("*").alias("headings"), F.count_if(done).alias("matched_headings"))
+    of_set = cards.select("card_id", "set_id").join(sets.select("set_id", "source_set_id", "language"), "set_id")
+    linked = specs.where("namespace = 'population' and variant_id is not null").select("variant_id").join(variants.select("variant_id", "card_id"), "variant_id").join(of_set, "card_id")
+    by_spec = linked.groupBy("source_set_id").agg(F.count("*").alias("specs"))
+    totals = of_set.where("language = 'en'").groupBy("source_set_id").agg(F.count("*").alias("cards"))
+    return counts, union_of_keys({"headings": by_heading, "specs": by_spec, "cards": totals}, "source_set_id")
+
+
+def union_of_keys(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """Every key that one of the tables has, with all their counts; zero where a table lacks the key."""
+    whole = reduce(lambda a, b: a.join(b, key, "full_outer"), tables.values())
+    return whole.select(key, *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in whole.columns if c != key))
+
+
+def verify(objects: DataFrame, files: DataFrame, observations: DataFrame, work: DataFrame, coverage: DataFrame, now: Column) -> DataFrame:
+    """problem, n of the raw store: contents that are missing or do not hash to their name, files that nothing names, observations without a content or work item, complete coverage without evidence; and, as no problem, leases that are over.
+
+    objects: hash, storage_path; files: storage_path, body (binary); work: work_item_id, state, lease_expires_at;
+    coverage: status, evidence.
+    """
+    hashed = files.select("storage_path", F.sha2("body", 256).alias("found"))
+    both = objects.join(hashed, "storage_path", "full_outer")
+    stored = both.agg(
+        F.count_if(F.col("hash").isNotNull() & F.col("found").isNull()).alias("missing"), F.count_if(F.col("hash") != F.col("found")).alias("mismatch"),
+        F.count_if(F.col("hash").isNull() & ~F.col("storage_path").startswith("tmp/")).alias("orphan"))
+    known, items = objects.select("hash", F.lit(True).alias("o")).distinct(), work.select("work_item_id", F.lit(True).alias("w")).distinct()
+    broken = observations.select("hash", "work_item_id").join(known, "hash", "left").join(items, "work_item_id", "left").agg(F.count_if(F.col("o").isNull() | F.col("w").isNull()).alias("broken_observation"))
+    claimed = coverage.agg(F.count_if((F.col("status") == "complete") & F.col("evidence").isNull()).alias("no_evidence"))
+    leases = work.agg(F.count_if(F.col("state").isin("leased", "running") & (F.col("lease_expires_at") < now)).alias("expired_lease"))
+    return reduce(DataFrame.unionByName, (t.unpivot([], t.columns, "problem", "n") for t in (stored, broken, claimed, leases)))
+
+
+def term_funnels(terms: DataFrame, items: DataFrame, listings: DataFrame, targets: DataFrame, history: DataFrame, coverage: DataFrame, now: Column) -> DataFrame:
+    """For each search term how many items it found, which have details, are trusted, are live targets, and have each phase processed.
+
+    terms: term_id; items: term_id, listing_id (null without details), found once for each; targets: listing_id, target_id;
+    coverage: target_id, phase, status.
+    """
+    from .auctions import current_prices
+
+    rows = items.join(listings.select("listing_id", "match_tier", "flagged"), "listing_id", "left")
+    trusted = F.col("match_tier").isin("exact", "strong") & ~F.col("flagged")
+    found = rows.groupBy("term_id").agg(F.count("*").alias("found"), F.count("match_tier").alias("detailed"), F.count_if(trusted).alias("matched"))
+    phases = coverage.where("status = 'processed'").groupBy("target_id").agg(*(F.bool_or(F.col("phase") == p).alias(p) for p in ("population", "guide", "sales")))
+    aimed = items.join(targets, "listing_id").join(current_prices(history).select("listing_id", "item_end_date"), "listing_id", "left").join(phases, "target_id", "left")
+    each = lambda c: F.count_distinct(F.when(c, F.col("target_id")))
+    reached = aimed.groupBy("term_id").agg(each(F.col("item_end_date") > now).alias("live_targets"), *(each(F.col(p)).alias(p) for p in ("population", "guide", "sales")))
+    whole = terms.select("term_id").join(found, "term_id", "left").join(reached, "term_id", "left")
+    return whole.select("term_id", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in whole.columns if c != "term_id"))
+
+
+def stage_status(stages: DataFrame, work: DataFrame) -> DataFrame:
+    """Each stage with its queue's depth, work in flight, retryable and permanent failures, and items a minute.
+
+    stages: stage, queue, items_done, window_items, window_seconds; work: queue, state.
+    """
+    groups = {"pending": ("pending",), "in_flight": ("leased", "running"), "retryable": ("retryable_failed",), "failed": ("permanent_failed",)}
+    counts = work.groupBy("queue").agg(*(F.count_if(F.col("state").isin(*states)).alias(k) for k, states in groups.items()))
+    per_minute = F.when(F.col("window_seconds") > 0, F.col("window_items") * 60.0 / F.col("window_seconds"))
+    return stages.join(counts, "queue", "left").select("stage", "items_done", per_minute.alias("per_minute"), *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in groups))
+
+
+def last_executions(executions: DataFrame, keys: Sequence[str], row: str) -> DataFrame:
+    """One row of each key: that of the greatest id."""
+    values = [c for c in executions.columns if c not in keys]
+    return executions.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(row)).alias("r")).select(*keys, "r.*")
+
+
+def first_manifests(targets: DataFrame, listings: DataFrame) -> DataFrame:
+    """The first manifest revision of runs from before there were revisions (A22). targets: run_id, target_id, created_at; listings: target_id, listing_id."""
+    rows = targets.join(listings.select("target_id", "listing_id"), "target_id", "left")
+    return rows.groupBy("run_id").agg(F.lit(1).alias("revision"), F.lit(False).alias("complete"), F.count_distinct("target_id").alias("new_targets"), F.count_distinct("listing_id").alias("listings"), F.min("created_at").alias("created_at"))
+
+
+def listing_page(listings: DataFrame, live: str = "live", end: str = "item_end_date") -> DataFrame:
+    """Live listings first, then those that end soonest, without an end last, newest id first."""
+    return listings.orderBy(F.desc(F.coalesce(live, F.lit(False))), F.asc_nulls_last(end), F.desc_nulls_last("listing_id"))
+
+
+def coverage_matrix(coverage: DataFrame) -> DataFrame:
+    """status_key (phase:status), n."""
+    return coverage.groupBy(F.concat_ws(":", "phase", "status").alias("status_key")).agg(F.count("*").alias("n"))
+
+
+def reset(tables: dict[str, DataFrame], changes: dict[str, tuple[Column, dict[str, object]]], dry_run: bool = True) -> dict[str, DataFrame] | DataFrame:
+    """For each table the rows to rewrite and their new values: a dry run counts them (table_name, n), otherwise the tables as they become are returned."""
+    from .merge import transition
+
+    if dry_run:
+        return reduce(DataFrame.unionByName, (tables[t].agg(F.count_if(when).alias("n")).select(F.lit(t).alias("table_name"), "n") for t, (when, _) in changes.items()))
+    return {t: transition(df, changes[t][0], **changes[t][1]) if t in changes else df for t, df in tables.items()}
+
+
+def cooldowns(attempts: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, after: int) -> DataFrame:
+    """Each row with `run`, its number of failures in a row, which a success and a cooldown set back to zero, and whether a cooldown follows."""
+    from .latest import islands
+
+    marked = islands(attempts.withColumn("__failed", failed), keys, order, ~F.col("__failed"), "__island")
+    w = Window.partitionBy(*keys, "__island").orderBy(*order)
+    streak = F.sum(F.col("__failed").cast("int")).over(w)
+    run = F.when(F.col("__failed"), F.pmod(streak - 1, F.lit(after)) + 1).otherwise(0).cast("long")
+    return marked.withColumn("run", run).withColumn("cooldown", F.col("run") == after).drop("__failed", "__island")
+
+
+def publication(dirty: Column, last: Column, next_end: Column, now: Column, wait_seconds: int = 120, urgent_hours: int = 6) -> Column:
+    """publish, debounce or nothing: changes go out at most every so many seconds, at once where a target ends soon."""
+    waited = F.coalesce(last <= now - F.make_dt_interval(secs=F.lit(wait_seconds)), F.lit(True))
+    urgent = F.coalesce(next_end.between(now, now + F.make_dt_interval(hours=F.lit(urgent_hours))), F.lit(False))
+    return F.when(~dirty, "nothing").when(waited | urgent, "publish").otherwise("debounce")
 
 
 def gate(listings: DataFrame, cards: DataFrame, sets: DataFrame) -> DataFrame:

@@ -25,6 +25,22 @@ def text_search(q: str | None, *columns: str) -> Column | None:
     return any_of([F.col(c).ilike(f"%{q}%") for c in columns]) if q else None
 
 
+def contains(column: str, text: str, ignore_case: bool = False) -> Column:
+    """Substring in which % and _ stand for themselves."""
+    x = F.col(column)
+    return F.lower(x).contains(text.lower()) if ignore_case else x.contains(text)
+
+
+def begins(column: str, prefix: str) -> Column:
+    """Prefix in which % and _ stand for themselves."""
+    return F.col(column).startswith(prefix)
+
+
+def missing_image(sets: Sequence[str] | None = None, language: str = "ja") -> Column:
+    """Complete cards of a language, of some sets where they are named, that have no picture."""
+    return all_of([F.col("language") == language, F.col("detail_status") == "hydrated", F.col("image_url").isNull(), None if sets is None else F.col("source_set_id").isin(*sets)])
+
+
 def equals(values: dict[str, object]) -> Column:
     """Equalities of the values that are given."""
     return all_of([None if v is None else F.col(c).isin(*v) if isinstance(v, list | tuple | set) else F.col(c) == F.lit(v) for c, v in values.items()])

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 SETS = "set_id long, language string, source_set_id string, name string, series string, release_date string, total_cards int, official_cards int"
 CARDS = "card_id long, set_id long, local_id string, name string, category string, rarity string, dex_ids array<int>, hp int, illustrator string, image_url string, detail_status string"
 VARIANTS = "variant_id long, card_id long, variant_key string, finish string, print_run_marker string, micro_variant string, size string, stamps array<string>, identity_status string, population10 long"
-SPECS = "spec_pk long, namespace string, spec_id string, variant_id long, match_status string, fetched_at timestamp"
-POPULATION = "spec_pk long, grade_key string, grade_value double, qualified boolean, population_count long, total_population long, half_grade_count long"
-PRICES = "spec_pk long, grade_key string, most_recent_price double, average_price double, psa_price double"
+SPECS = "spec_pk long, namespace string, spec_id string, variant_id long, match_status string, finish string, micro_variant string, fetched_at timestamp"
+POPULATION = "spec_pk long, grade_key string, grade_value double, qualified boolean, population_count long, total_population long, half_grade_count long, observed_at timestamp"
+PRICES = "spec_pk long, grade_key string, most_recent_price double, average_price double, psa_price double, observed_at timestamp"
 SALES = "spec_pk long, sale_item_id string, sale_date date, sale_price double, grade_value double"
 LISTINGS = "listing_id long, title string, variant_id long, card_id long, grade double, is_lot boolean, flagged boolean, match_status string, match_tier string, match_method string, score double"
-PRICE_HISTORY = "observation_id long, listing_id long, observed_at timestamp, price double, currency string, bid_count int, buying_options array<string>, item_end_date timestamp"
+PRICE_HISTORY = "observation_id long, listing_id long, observed_at timestamp, price double, current_bid double, currency string, bid_count int, buying_options array<string>, item_end_date timestamp"
 OBSERVATIONS = "observation_id long, hash string, observed_at timestamp, entity_type string, scope_key string"
 RATES = "rate_date date, base string, quote string, rate double"
 #: Raw payloads, read with these and never inferred.

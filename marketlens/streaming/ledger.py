@@ -61,15 +61,14 @@ def converge(step: Callable[[], DataFrame], keys: list[str], passes: int = 3) ->
     raise RuntimeError(f"no convergence after {passes} passes")
 
 
-def known_pages(pages: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Pages up to the second one in a row whose rows were all known."""
+def known_pages(pages: DataFrame, known: DataFrame, key: str, history: list[str]) -> DataFrame:
+    """Pages of each history up to the second one in a row whose rows were all known (T13, W10). history names its columns."""
     from pyspark.sql import Window
 
-    flagged = pages.join(known.select(key, F.lit(True).alias("known")), key, "left").groupBy("page").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"))
-    w = Window.orderBy("page")  # one history's pages
-    runs = flagged.withColumn("before", F.coalesce(F.lag("all_known").over(w), F.lit(False)))
-    stop = runs.where("all_known and before").agg(F.min("page").alias("stop"))
-    return flagged.crossJoin(stop).where("stop is null or page <= stop").select("page", "all_known")
+    flagged = pages.join(known.select(key, F.lit(True).alias("known")).distinct(), key, "left").groupBy(*history, "page").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"))
+    runs = flagged.withColumn("before", F.coalesce(F.lag("all_known").over(Window.partitionBy(*history).orderBy("page")), F.lit(False)))
+    stop = runs.where("all_known and before").groupBy(*history).agg(F.min("page").alias("stop"))
+    return flagged.join(stop, history, "left").where("stop is null or page <= stop").select(*history, "page", "all_known")
 
 
 def dead_letters(letters: DataFrame, failed: DataFrame) -> DataFrame:

@@ -50,7 +50,8 @@ def test_values(spark):
     assert one(spark, values.grade_value(F.col("x")), x="GEM MT 10 (3)") == 10 and one(spark, values.grade_value(F.col("x"), clean=False), x="GEM MT 10 (3)") == 3 and one(spark, values.grade_value(F.col("x")), x="AUTH") is None
     assert [one(spark, values.number_text(F.col("x")), x=v) for v in (199.0, 257.14, 1e7)] == ["199", "257.14", "10000000"]
     assert [one(spark, values.http_class(F.col("x")), x=v) for v in (200, 404, 429, 503)] == ["success", "permanent", "retryable", "retryable"]
-    assert values.split_range(10.0, 20.0) == [(10.0, 15.0), (15.0, 20.0)] and values.split_range(0, None)[-1] == (2500.0, None)
+    assert values.split_range(10.0, 20.0) == [(10.0, 15.0), (15.01, 20.0)] and values.split_range()[-1] == (5000.01, None) and values.split_range()[1] == (25.01, 50)
+    assert [one(spark, values.price_band(F.col("x")), x=v) for v in (0.0, 25.0, 25.01, 5000.0, 5000.5)] == [0, 0, 1, 7, 8]
     assert one(spark, values.quota_day(F.col("x").cast("timestamp")), x="2024-01-02 06:59:00") == dt.date(2024, 1, 1)
 
 
@@ -71,9 +72,9 @@ def test_merge(spark):
 def market(spark):
     variants = spark.createDataFrame([(1, 1, "k1", "holo", "unlimited", "", "standard", [], "confirmed", 7), (2, 1, "k2", "holo", "first", "", "standard", [], "inferred", 0), (3, 2, "k3", "normal", "", "", "standard", [], "confirmed", 0)], schemas.VARIANTS)
     t = dt.datetime(2026, 8, 1)
-    specs = spark.createDataFrame([(1, "population", "pop-1", 1, "matched", t), (2, "sales", "sales-1", 1, "matched", t), (3, "sales", "sales-2", 1, "matched", dt.datetime(2026, 8, 2))], schemas.SPECS)
-    population = spark.createDataFrame([(1, "10", 10.0, False, 7, 100, 0), (1, "9", 9.0, False, 5, 100, 1), (1, "9", 9.0, True, 2, 100, None)], schemas.POPULATION)
-    prices = spark.createDataFrame([(1, "10", 1000.0, 900.0, 800.0)], schemas.PRICES)
+    specs = spark.createDataFrame([(1, "population", "pop-1", 1, "matched", "holo", None, t), (2, "sales", "sales-1", 1, "matched", "holo", "", t), (3, "sales", "sales-2", 1, "matched", "holo", "", dt.datetime(2026, 8, 2)), (4, "population", "pop-2", 2, "unmatched", "holo", "", t)], schemas.SPECS)
+    population = spark.createDataFrame([(1, "10", 10.0, False, 7, 100, 0, t), (1, "9", 9.0, False, 5, 100, 1, t), (1, "9", 9.0, True, 2, 100, None, t), (4, "10", 10.0, False, 99, 999, 0, t)], schemas.POPULATION)
+    prices = spark.createDataFrame([(1, "10", 1000.0, 900.0, 800.0, t)], schemas.PRICES)
     sales = spark.createDataFrame([(2, "a", dt.date(2026, 8, 1), 1200.0, 10.0), (2, "b", dt.date(2026, 8, 15), 1000.0, 10.0), (2, "c", dt.date(2024, 8, 15), 10.0, 10.0), (2, "d", dt.date(2026, 8, 15), 5.0, 9.0)], schemas.SALES)
     return variants, specs, population, prices, sales
 
@@ -86,14 +87,16 @@ def test_metrics(spark, market):
     variants, specs, population, prices, sales = market
     got = {r.variant_id: r for r in metrics.variant_metrics(variants, specs, population, prices, sales, now()).collect()}
     assert (got[1].population10, got[1].total_population, got[1].gem_rate, got[1].guide_price) == (7, 100, 7.0, 800.0)
-    assert (got[1].sale_count, got[1].sales_12m, got[1].latest_sale_price) == (3, 2, 1000.0)  # the newer, empty sales spec changes nothing
-    assert got[2].population10 == 7 and got[3].total_population is None and not got[3].has_guide and got[3].sale_count == 0
-    strict = {r.variant_id: r for r in metrics.variant_metrics(variants, specs, population, prices, sales, now(), expanded=False).collect()}
-    assert strict[2].population10 is None and strict[1].population10 == 7
-    months = {r.month: (r.median_price, r.guide_price) for r in metrics.market(1, specs, variants, prices, sales).collect()}
-    assert months["2026-08"] == (1100.0, 800.0)
-    ladder = {r.grade_key: (r.population, r.qualified, r.half_grades) for r in metrics.population_ladder(1, specs, variants, population, prices).collect()}
-    assert ladder == {"10": (7, None, 0), "9": (5, 2, 1)}
+    # the newer, empty sales spec changes nothing; all grades count and can be latest, a year's sales are of grade ten
+    assert (got[1].sale_count, got[1].sales_12m, got[1].latest_sale_price, got[1].average_price) == (4, 2, 5.0, 900.0)
+    assert got[2].population10 == 7 and got[2].population_available and got[2].sales_available  # through its card's spec, as its own is not matched
+    assert (got[3].total_population, got[3].population10, got[3].gem_rate, got[3].guide_price, got[3].sale_count, got[3].population_available, got[3].sales_available) == (0, 0, None, None, 0, False, False)
+    summary, listed, months = metrics.market(specs, population, prices, sales, now())
+    one = summary.where("variant_id = 1").head()
+    assert (one.sales, one.sales_12m, one.first_sale, one.guide_price, one.population10, one.total_population, one.gem_rate) == (3, 2, dt.date(2024, 8, 15), 800.0, 7, 100, 7.0) and summary.count() == 1
+    assert [r.sale_item_id for r in listed.collect()] == ["c", "a", "b"] and {r.month: (r.median_price, r.sales) for r in months.collect()} == {"2026-08": (1100.0, 2), "2024-08": (10.0, 1)}
+    ladder = {r.grade_key: (r.population, r.qualified, r.half_grades, r.psa_price) for r in metrics.population_ladder(specs, population, prices).collect()}
+    assert ladder == {"10": (7, 0, 0, 800.0), "9": (5, 2, 1, None)}
 
 
 def test_curation(spark):
@@ -123,7 +126,7 @@ def test_curation(spark):
 def live(spark):
     end = dt.datetime(2026, 9, 1, 1)
     listings = spark.createDataFrame([(1, "PSA 10 Alakazam", 1, 1, 10.0, False, False, "matched", "strong", "multi-signal", 1.2), (2, "flagged", 1, 1, 10.0, False, True, "matched", "strong", "multi-signal", 1.2), (3, "copied", 1, 1, 10.0, False, False, "matched", "strong", "cluster-propagate", 1.0), (4, "lot", 3, 2, 10.0, True, False, "matched", "strong", "x", 1.0), (5, "no spec", 3, 2, 10.0, False, False, "manual", "exact", None, 1.0)], schemas.LISTINGS)
-    history = spark.createDataFrame([(i, i, dt.datetime(2026, 8, 30), 400.0, "EUR", 3, ["AUCTION"], end) for i in range(1, 5)] + [(9, 1, dt.datetime(2026, 8, 29), 10.0, "EUR", 1, ["AUCTION"], end), (10, 5, dt.datetime(2026, 8, 29), 10.0, "USD", 0, ["FIXED_PRICE"], None)], schemas.PRICE_HISTORY)
+    history = spark.createDataFrame([(i, i, dt.datetime(2026, 8, 30), 450.0, 400.0, "EUR", 3, ["AUCTION"], end) for i in range(1, 5)] + [(9, 1, dt.datetime(2026, 8, 29), 10.0, None, "EUR", 1, ["AUCTION"], end), (10, 5, dt.datetime(2026, 8, 29), 10.0, None, "USD", 0, ["FIXED_PRICE"], None)], schemas.PRICE_HISTORY)
     rates = spark.createDataFrame([(dt.date(2026, 8, 31), "EUR", "USD", 2.0), (dt.date(2026, 8, 1), "EUR", "USD", 9.0)], schemas.RATES)
     return listings, history, rates, spark.createDataFrame([(1, 800.0)], "variant_id long, guide_price double")
 
@@ -131,14 +134,15 @@ def live(spark):
 def test_live_auctions(spark, live, market):
     listings, history, rates, guide = live
     rows = auctions.live_auctions(listings, history, guide, rates, now()).collect()
-    assert [(r.listing_id, r.price, r.comparable, r.discount, r.stale_rate) for r in rows] == [(1, 400.0, 400.0, 0.0, False)]
+    assert [(r.listing_id, r.bid, r.comparable, r.guide_euros, r.discount, r.stale_rate, r.stale) for r in rows] == [(1, 400.0, 400.0, 400.0, 0.0, False, True)]
     assert auctions.live_auctions(listings, history, guide, rates, F.lit("2026-09-01 01:00:00").cast("timestamp")).count() == 0
     found = auctions.live_auctions(listings, history, guide, rates, now())
     assert auctions.filtered(found, now(), q="alaka", ending_hours=24, guide=True).count() == 1 and auctions.filtered(found, now(), least_discount=5.0).count() == 0
-    assert auctions.summary(found, now()).head().asDict() == {"live": 1, "comparable": 1, "median_discount": 0.0, "ending_24h": 1}
+    assert auctions.summary(found, now()).head().asDict() == {"live": 1, "with_guide": 1, "comparable": 1, "median_discount": 0.0, "ending_24h": 1, "last_observed": dt.datetime(2026, 8, 30)}
     variants, specs, *_ = market
-    targets, rest = auctions.matched_targets(listings, history, specs, variants, now())
-    assert [(r.variant_id, r.listings) for r in targets.collect()] == [(1, 1)] and [(r.card_id, r.variants) for r in rest.collect()] == [(2, 1)]
+    cards, sets = spark.createDataFrame([(1, 1, "1"), (2, 1, "2")], "card_id long, set_id long, local_id string"), spark.createDataFrame([(1, "base1")], "set_id long, source_set_id string")
+    targets, rest = auctions.matched_targets(listings, history, specs, variants, cards, sets, now())
+    assert [(r.variant_id, r.listings, r.finish) for r in targets.collect()] == [(1, 1, "holo")] and [(r.source_set_id, r.variants) for r in rest.collect()] == [("base1", 1)]
     manifest = spark.createDataFrame([], "spec_id string, revision int, listings long, next_end timestamp")
     first = auctions.snapshot_manifest(manifest, targets)
     assert [r.revision for r in first.collect()] == [1] and auctions.snapshot_manifest(first, targets).count() == 0
@@ -259,9 +263,9 @@ def test_stream_equals_full_rebuild(spark, tmp_path):
 
 
 def test_known_pages_and_convergence(spark):
-    pages = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 13)], "page int, id long")
-    known = spark.createDataFrame([(11,), (12,), (13,)], "id long")
-    assert [r.page for r in ledger.known_pages(pages, known, "id").orderBy("page").collect()] == [1, 2, 3]
+    pages = spark.createDataFrame([("a", 1, 10), ("a", 2, 11), ("a", 3, 12), ("a", 4, 13), ("b", 1, 13), ("b", 2, 14), ("b", 3, 11)], "h string, page int, id long")
+    known = spark.createDataFrame([(11,), (12,), (13,), (13,)], "id long")
+    assert [(r.h, r.page) for r in ledger.known_pages(pages, known, "id", ["h"]).orderBy("h", "page").collect()] == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 3)]
     calls = []
     ledger.converge(lambda: (calls.append(1), spark.range(min(len(calls), 2)))[1], ["id"], 5)
     assert len(calls) == 3
