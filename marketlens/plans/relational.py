@@ -166,11 +166,11 @@ def set_operations(spark, sf):
 
 
 @query("price_partition", """
-    SELECT CASE WHEN o_totalprice < 10 THEN 0 WHEN o_totalprice < 25 THEN 1 WHEN o_totalprice < 50 THEN 2 WHEN o_totalprice < 100 THEN 3 WHEN o_totalprice < 250 THEN 4 WHEN o_totalprice < 500 THEN 5
-                WHEN o_totalprice < 1000 THEN 6 WHEN o_totalprice < 2500 THEN 7 ELSE 8 END AS band, count(*) AS orders, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1""")
+    SELECT CASE WHEN o_totalprice / 50 <= 25 THEN 0 WHEN o_totalprice / 50 <= 50 THEN 1 WHEN o_totalprice / 50 <= 100 THEN 2 WHEN o_totalprice / 50 <= 250 THEN 3 WHEN o_totalprice / 50 <= 500 THEN 4 WHEN o_totalprice / 50 <= 1000 THEN 5
+                WHEN o_totalprice / 50 <= 2500 THEN 6 WHEN o_totalprice / 50 <= 5000 THEN 7 ELSE 8 END AS band, count(*) AS orders, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1""")
 def price_partition(spark, sf):
-    """Orders by price band."""
-    return table(spark, sf, "orders").where("o_totalprice is not null").groupBy(values.price_band(F.col("o_totalprice")).alias("band")).agg(F.count("*").alias("orders"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    """A fiftieth of orders' prices by price band."""
+    return table(spark, sf, "orders").where("o_totalprice is not null").groupBy(values.price_band(F.col("o_totalprice") / 50).alias("band")).agg(F.count("*").alias("orders"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
 @query("quality_gate", """
@@ -216,11 +216,12 @@ def replace_children(spark, sf):
 @query("history_fingerprint", """
     WITH f AS (SELECT event_id, user_id, sha256(concat_ws('|', CAST(user_id AS VARCHAR), event_type, coalesce(props, ''))) AS fingerprint FROM events),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id, fingerprint ORDER BY event_id) AS rn FROM f)
-    SELECT event_id, user_id, fingerprint FROM r WHERE rn = 1""")
+    SELECT event_id, user_id, fingerprint FROM r WHERE rn = 1 AND NOT (event_id >= 100 AND EXISTS (SELECT 1 FROM f o WHERE o.event_id < 100 AND o.user_id = r.user_id AND o.fingerprint = r.fingerprint))""")
 def history_fingerprint(spark, sf):
     """An append-only history takes each fingerprint once, the first row."""
     events = table(spark, sf, "events").select("event_id", "user_id", values.fingerprint(F.col("user_id"), F.col("event_type"), F.col("props")).alias("fingerprint"))
-    return merge.insert_or_ignore(events.limit(0), events, ["user_id", "fingerprint"], [F.col("event_id")])
+    history = merge.insert_or_ignore(events.limit(0), events.where("event_id < 100"), ["user_id", "fingerprint"], [F.col("event_id")])
+    return merge.append_new(history, events.where("event_id >= 100"), ["user_id", "fingerprint"], [F.col("event_id")])
 
 
 @query("live_window", f"""
@@ -237,14 +238,14 @@ def live_window(spark, sf):
 @query("fx_comparison", """
     WITH x AS (SELECT o_orderkey, o_custkey, o_totalprice AS bid, o_totalprice * (1 + (o_orderkey % 5) / 10.0) AS guide, CASE WHEN o_orderkey % 3 = 0 THEN 'EUR' WHEN o_orderkey % 3 = 1 THEN 'USD' ELSE 'GBP' END AS cur FROM orders),
     c AS (SELECT *, CASE cur WHEN 'USD' THEN guide WHEN 'EUR' THEN guide / 2.0 END AS value FROM x)
-    SELECT cur AS currency, count(*) AS n, count(value) AS comparable, round(median((1 - bid / value) * 100), 4) AS median_discount FROM c GROUP BY cur""")
+    SELECT cur AS currency, count(*) AS n, count(value) AS comparable, round(median((value - bid) / value * 100), 4) AS median_discount FROM c GROUP BY cur""")
 def fx_comparison(spark, sf):
     """Guide against bid over one exchange rate; median discount."""
     k = F.col("o_orderkey") % 3
     rows = table(spark, sf, "orders").select(F.col("o_totalprice").alias("bid"), (F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 5) / 10.0)).alias("guide"), F.when(k == 0, "EUR").when(k == 1, "USD").otherwise("GBP").alias("currency"))
     rate = spark.range(1).select(F.lit(2.0).alias("rate"), F.lit("2001-06-01").cast("date").alias("rate_date"))
     age = values.rate_age_days(F.col("rate_date"), F.lit(NOW_ORDERS).cast("timestamp_ntz"))
-    value, discount = values.compared(F.col("guide"), F.col("bid"), F.col("currency"), F.col("rate"), age <= 7)
+    value, discount, _ = values.compared(F.col("guide"), F.col("bid"), F.col("currency"), F.col("rate"), age <= 7)
     both = rows.crossJoin(F.broadcast(rate)).select("currency", value.alias("value"), discount.alias("discount"))  # one rate
     return both.groupBy("currency").agg(F.count("*").alias("n"), F.count("value").alias("comparable"), F.round(F.median("discount"), 4).alias("median_discount"))
 

@@ -33,22 +33,25 @@ def number_forms(spark, sf):
     return a.join(b, "form").select("s_suppkey", "p_partkey").distinct()
 
 
-@query("extract_numbers", """
-    WITH n AS (SELECT page_id, url, regexp_extract_all(url, '[0-9]+') AS found FROM pages)
-    SELECT page_id, unnest(found) AS number, CAST(generate_subscripts(found, 1) AS INTEGER) AS place, CAST(CASE WHEN url LIKE '%page=%' THEN 0.8 ELSE 1.0 END AS DOUBLE) AS weight FROM n""")
+@query("extract_numbers", r"""
+    WITH f AS (SELECT doc_id, upper(unnest(regexp_extract_all(text, '([0-9]{1,4})\s*/\s*([A-Za-z0-9][A-Za-z0-9-]*)', 1))) AS value, unnest(regexp_extract_all(text, '([0-9]{1,4})\s*/\s*([A-Za-z0-9][A-Za-z0-9-]*)', 2)) AS under FROM documents),
+    r AS (SELECT doc_id, value, CASE WHEN regexp_full_match(under, '[0-9]+') THEN try_cast(under AS INTEGER) END AS total, 0.45::DOUBLE * 0.95::DOUBLE AS weight FROM f WHERE lower(under) NOT IN ('psa', 'bgs', 'cgc', 'sgc', 'no', 'auto', 'ovp', 'gem', 'mint', 'nm', 'mt', 'eur', 'usd', 'gbp')
+          UNION ALL SELECT doc_id, upper(unnest(regexp_extract_all(text, '#\s*([0-9]{1,4}[A-Za-z]?)\b', 1))), NULL, 0.45::DOUBLE * 0.8::DOUBLE FROM documents
+          UNION ALL SELECT doc_id, upper(trim(text)), NULL, 0.45::DOUBLE FROM documents WHERE regexp_full_match(trim(text), '[0-9]{1,4}[A-Za-z]?'))
+    SELECT doc_id, value, total, max(weight) AS weight FROM r GROUP BY doc_id, value, total""")
 def extract_numbers(spark, sf):
-    """Numbers of a text with their place and a weight by their source."""
-    rows = table(spark, sf, "pages").select("page_id", F.when(F.col("url").contains("page="), 0.8).otherwise(1.0).alias("weight"), F.posexplode(F.regexp_extract_all("url", F.lit("([0-9]+)"), 1)).alias("at", "number"))
-    return rows.select("page_id", "number", (F.col("at") + 1).cast("int").alias("place"), F.col("weight"))
+    """Numbers over and under a line, behind # and alone in whole texts, each once with its trust."""
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(text.readings(F.col("text"), "description")).alias("r"))
+    return rows.select("doc_id", "r.value", "r.total", "r.weight")
 
 
 @query("plain_text", r"""
     WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS x FROM pages),
     b AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&[a-zA-Z0-9#]+;', ' ', 'g') AS x FROM a)
-    SELECT page_id, substr(trim(regexp_replace(x, '[ \t\n\x0b\f\r]+', ' ', 'g')), 1, 2000) AS plain FROM b""")
+    SELECT page_id, trim(regexp_replace(x, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS plain FROM b""")
 def plain_text(spark, sf):
-    """The first 2000 characters of the text of pages, as in the SQL (F18); text.plain_text() alone has no limit."""
-    return table(spark, sf, "pages").select("page_id", text.plain_text(F.col("html"), 2000).alias("plain"))
+    """The whole text of pages."""
+    return table(spark, sf, "pages").select("page_id", text.plain_text(F.col("html")).alias("plain"))
 
 
 @query("link_extract", r"""
@@ -73,18 +76,27 @@ def ordered_regexp_coalesce(spark, sf):
 
 
 @query("token_jaccard", """
-    WITH d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 8))) AS token FROM documents WHERE text IS NOT NULL),
-    b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 8)) AS tokens FROM benchmark),
-    e AS (SELECT item_id, unnest(tokens) AS token, len(tokens) AS n FROM b),
-    m AS (SELECT doc_id, item_id, n, count(*) AS shared FROM d JOIN e USING (token) GROUP BY doc_id, item_id, n)
-    SELECT doc_id, item_id, shared, round(CAST(shared AS DOUBLE) / n, 6) AS coverage FROM m WHERE shared >= 3 AND CAST(shared AS DOUBLE) / n >= 0.5""")
+    WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 2)) AS tokens FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 2)) AS tokens FROM benchmark),
+    m AS (SELECT doc_id, item_id, len(d.tokens) AS nd, len(b.tokens) AS n, len(list_intersect(d.tokens, b.tokens)) AS shared FROM d, b)
+    SELECT doc_id, item_id, shared, round(CAST(shared AS DOUBLE) / n, 6) AS coverage, round(CAST(shared AS DOUBLE) / (nd + n - shared), 6) AS jaccard FROM m WHERE 2 * shared >= n AND n > 0""")
 def token_jaccard(spark, sf):
-    """Share of an item's long tokens that a document has, joined on tokens."""
-    found = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: F.length(t) >= 8))
-    d = table(spark, sf, "documents").select("doc_id", F.explode(found).alias("token"))
+    """Items half of whose tokens a document has, with coverage and Jaccard similarity.
+
+    A document with half of an item's n tokens has one of the n - ceil(n / 2) + 1 that are rarest over all documents, so
+    pairs are found by these alone and then counted.
+    """
+    found = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", found.alias("tokens"))
+    d = docs.select("doc_id", F.size("tokens").alias("nd"), F.explode("tokens").alias("token"))
     e = table(spark, sf, "benchmark").select("item_id", found.alias("tokens")).select("item_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    shared = d.join(e, "token").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("shared"))
-    return shared.where("shared >= 3 and shared / n >= 0.5").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("coverage"))
+    seen = d.join(e.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("docs"))
+    rarest = Window.partitionBy("item_id").orderBy(F.coalesce("docs", F.lit(0)), "token")
+    probes = e.join(seen, "token", "left").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") / 2) + 1)
+    pairs = d.join(probes.select("item_id", "token"), "token").select("doc_id", "item_id").distinct()
+    shared = pairs.join(d, "doc_id").join(e, ["item_id", "token"]).groupBy("doc_id", "item_id", "n", "nd").agg(F.count("*").alias("shared"))
+    share = lambda x: F.round(F.col("shared") / x, 6)
+    return shared.where("2 * shared >= n").select("doc_id", "item_id", "shared", share(F.col("n")).alias("coverage"), share(F.col("nd") + F.col("n") - F.col("shared")).alias("jaccard"))
 
 
 _CANDIDATES = """
@@ -140,23 +152,23 @@ def staged_narrowing(spark, sf):
 
 
 @query("unambiguous_lexicon", """
-    WITH t AS (SELECT doc_id, lang, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: len(x) >= 3))) AS token FROM documents WHERE text IS NOT NULL)
-    SELECT token, min(lang) AS lang, count(*) AS docs FROM t GROUP BY token HAVING count(DISTINCT lang) = 1 AND count(*) >= 5""")
+    WITH t AS (SELECT doc_id, lang, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: len(x) >= 1))) AS token FROM documents WHERE text IS NOT NULL)
+    SELECT token, min(lang) AS lang, count(*) AS docs FROM t GROUP BY token HAVING count(DISTINCT lang) = 1""")
 def unambiguous_lexicon(spark, sf):
     """Tokens that occur with one value alone."""
-    found = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
+    found = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: F.length(t) >= 1))
     rows = table(spark, sf, "documents").select("lang", F.explode(found).alias("token"))
-    return resolution.unambiguous(rows, "token", "lang", "docs").where("docs >= 5")
+    return resolution.unambiguous(rows, "token", "lang", "docs")
 
 
 @query("cluster_propagate", """
-    WITH k AS (SELECT d.doc_id, quality, trim(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '_', 'g'), '_') AS cluster FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE text IS NOT NULL),
+    WITH k AS (SELECT d.doc_id, quality, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS cluster FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE text IS NOT NULL),
     b AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS size, first_value(CASE WHEN quality IS NOT NULL THEN doc_id END) OVER (PARTITION BY cluster ORDER BY quality DESC NULLS LAST, doc_id) AS best,
                  max(quality) OVER (PARTITION BY cluster) AS best_quality FROM k WHERE len(cluster) >= 12)
     SELECT doc_id, best AS inherited_from, CAST(best_quality AS INTEGER) AS quality, size FROM b WHERE size >= 2 AND quality IS NULL AND best IS NOT NULL""")
 def cluster_propagate(spark, sf):
-    """Undecided documents inherit from the best decided one with the same first 80 characters (W6). This is not M16, whose whole-title key and update are matching.cluster_key() and propagate_clusters()."""
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", text.ascii_key(F.substring("text", 1, 80)).alias("cluster"))
+    """Undecided documents inherit from the best decided one with the same words (W6); the query title_clusters has the key and update of M16."""
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", text.ascii_key(F.col("text")).alias("cluster"))
     rows = docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     return resolution.propagate(rows, "cluster", "quality", "doc_id").select("doc_id", "inherited_from", F.col("best").cast("int").alias("quality"), "size")
 

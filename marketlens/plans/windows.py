@@ -40,26 +40,27 @@ def latest_vs_not_exists(spark, sf):
 
 @query("ranked_spec_affinity", """
     WITH pairs AS (SELECT a.s_suppkey AS suppkey, b.s_suppkey AS sibling, CASE WHEN a.s_suppkey = b.s_suppkey THEN 0 WHEN a.s_suppkey % 5 = b.s_suppkey % 5 THEN 1 ELSE 2 END AS affinity, b.s_acctbal AS acctbal
-                   FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey),
+                   FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND (a.s_suppkey <> b.s_suppkey OR a.s_suppkey % 3 = 0)),
     flagged AS (SELECT *, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = sibling AND l_discount >= 0.1 AND l_quantity >= 49) AS has_rows FROM pairs),
-    r AS (SELECT *, row_number() OVER (PARTITION BY suppkey ORDER BY has_rows DESC, affinity, acctbal DESC, sibling DESC) AS rn FROM flagged)
+    r AS (SELECT *, row_number() OVER (PARTITION BY suppkey ORDER BY affinity, has_rows DESC, acctbal DESC, sibling DESC) AS rn FROM flagged)
     SELECT suppkey, sibling, affinity, has_rows FROM r WHERE rn = 1""")
 def ranked_spec_affinity(spark, sf):
-    """Sibling expansion, then the best sibling by data, affinity and recency."""
+    """Sibling expansion, then the best sibling by affinity, data and recency (J4, W3); a supplier's own row is always nearest, so others count where it asks for them alone."""
     having = table(spark, sf, "lineitem").where("l_discount >= 0.1 and l_quantity >= 49").select(F.col("l_suppkey").alias("s_suppkey"), F.lit(True).alias("has_rows")).distinct()
     s = table(spark, sf, "supplier").where("s_nationkey is not null").select("s_suppkey", "s_nationkey", "s_acctbal")
     s = s.join(having, "s_suppkey", "left").withColumn("has_rows", F.coalesce("has_rows", F.lit(False)))
-    # of equal data and affinity only the best sibling can win; where that is the row itself, it wins as own
-    best = s.groupBy("s_nationkey", (F.col("s_suppkey") % 5).alias("part"), "has_rows").agg(F.max(F.struct(F.col("s_acctbal").alias("acctbal"), F.col("s_suppkey").alias("sibling"))).alias("b"))
+    # of equal data and affinity only the best two siblings can win: the best, or the next where the best is the row itself
+    part = (F.col("s_suppkey") % 5).alias("part")
+    best = latest.top_by(s.select("s_nationkey", part, "has_rows", F.struct(F.col("s_acctbal").alias("acctbal"), F.col("s_suppkey").alias("sibling")).alias("b")), ["s_nationkey", "part", "has_rows"], [F.desc("b")], 2)
     others = s.select(F.col("s_suppkey").alias("suppkey"), "s_nationkey").join(best, "s_nationkey").where("suppkey != b.sibling")
     others = others.select("suppkey", "b.sibling", F.when(F.col("suppkey") % 5 == F.col("part"), 1).otherwise(2).alias("affinity"), "has_rows", "b.acctbal")
-    own = s.select(F.col("s_suppkey").alias("suppkey"), F.col("s_suppkey").alias("sibling"), F.lit(0).alias("affinity"), "has_rows", F.col("s_acctbal").alias("acctbal"))
-    return latest.top_by(own.unionByName(others), ["suppkey"], [F.desc("has_rows"), F.asc("affinity"), F.desc("acctbal"), F.desc("sibling")]).select("suppkey", "sibling", "affinity", "has_rows")
+    own = s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("suppkey"), F.col("s_suppkey").alias("sibling"), F.lit(0).alias("affinity"), "has_rows", F.col("s_acctbal").alias("acctbal"))
+    return latest.top_by(own.unionByName(others), ["suppkey"], [F.asc("affinity"), F.desc("has_rows"), F.desc("acctbal"), F.desc("sibling")]).select("suppkey", "sibling", "affinity", "has_rows")
 
 
 @query("variant_metrics", f"""
     WITH sales AS (SELECT l_partkey, l_extendedprice, l_returnflag, l_shipdate, count(*) OVER (PARTITION BY l_partkey) AS sale_count,
-        sum(CASE WHEN CAST(l_shipdate AS DATE) >= CAST(TIMESTAMP '{NOW_ORDERS}' - INTERVAL 12 MONTH AS DATE) THEN 1 ELSE 0 END) OVER (PARTITION BY l_partkey) AS sales_12m,
+        sum(CASE WHEN CAST(l_shipdate AS DATE) >= CAST(TIMESTAMP '{NOW_ORDERS}' AS DATE) - 365 THEN 1 ELSE 0 END) OVER (PARTITION BY l_partkey) AS sales_12m,
         row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem),
     pop AS (SELECT l_partkey, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS top_count, count(*) AS total FROM lineitem GROUP BY l_partkey)
     SELECT p_partkey, CAST(coalesce(top_count, 0) AS BIGINT) AS top_count, coalesce(total, 0) AS total, CASE WHEN total > 0 THEN round(100.0 * top_count / total, 6) END AS top_rate, round(l_extendedprice, 2) AS latest_price,
