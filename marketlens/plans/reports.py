@@ -236,7 +236,7 @@ def open_reviews(spark, sf):
     return operations.open_reviews(rows, actions).select("listing_id", "match_tier")
 
 
-@query("image_links", f"{WITH}, a AS (SELECT l_partkey AS card_id, max(l_orderkey) AS newest FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey) SELECT c.card_id, coalesce(image_url, concat('http://o/', newest)) AS image_url FROM cards c LEFT JOIN a ON a.card_id = c.card_id")
+@query("image_links", f"{WITH}, a AS (SELECT l_partkey AS card_id, max(l_orderkey) AS newest FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey) SELECT c.card_id, coalesce(image_url, 'http://o/' || newest) AS image_url FROM cards c LEFT JOIN a ON a.card_id = c.card_id")
 def image_links(spark, sf):
     """Cards without a picture take the newest stored one."""
     assets = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("card_id"), F.col("l_orderkey").alias("stored_at"), F.lit("h").alias("hash"), F.concat(F.lit("http://o/"), "l_orderkey").alias("url"))
@@ -304,16 +304,16 @@ def strict_variants(spark, sf):
 
 
 @query("report_rows", f"""
-    {WITH}, r AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, concat('S', l_suppkey % 9) AS source_set_id, CASE l_linenumber WHEN 1 THEN 'de' WHEN 2 THEN NULL ELSE 'en' END AS language, CAST(l_partkey % 12 AS STRING) AS number FROM lineitem WHERE l_quantity = 7),
+    {WITH}, r AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, concat('S', min(l_suppkey) % 9) AS source_set_id, CASE l_linenumber WHEN 1 THEN 'de' WHEN 2 THEN NULL ELSE 'en' END AS language, CAST(min(l_partkey) % 12 AS STRING) AS number FROM lineitem WHERE l_quantity = 7 GROUP BY l_orderkey, l_linenumber),
     m AS (SELECT DISTINCT r.row_id, c.card_id FROM r JOIN sets s ON s.source_set_id = r.source_set_id AND s.language = r.language JOIN cards c ON c.set_id = s.set_id AND c.local_id = r.number)
     SELECT DISTINCT row_id, CASE WHEN r.language IS NULL THEN 'skipped' WHEN m.card_id IS NOT NULL THEN 'matched' ELSE 'unmatched' END AS match_status, m.card_id FROM r LEFT JOIN m USING (row_id)""")
 def report_rows(spark, sf):
     """Report rows to cards by number within their set and language."""
     v = views(spark, sf)
     line = F.col("l_linenumber")
-    rows = table(spark, sf, "lineitem").where("l_quantity = 7").select(
+    rows = table(spark, sf, "lineitem").where("l_quantity = 7").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey")).select(
         (F.col("l_orderkey") * 10 + line).alias("row_id"), F.concat(F.lit("S"), F.col("l_suppkey") % 9).alias("source_set_id"), F.lit("en").alias("language"), F.lit("Pikachu-Holo").alias("subject"),
-        F.when(line == 1, "German-Secret").when(line == 2, "French").alias("variety"), F.lpad((F.col("l_partkey") % 12).cast("string"), 3, "0").alias("number")).dropDuplicates(["row_id"])
+        F.when(line == 1, "German-Secret").when(line == 2, "French").alias("variety"), F.lpad((F.col("l_partkey") % 12).cast("string"), 3, "0").alias("number"))
     return matching.match_report_rows(rows, v["cards"], v["sets"]).select("row_id", "match_status", "card_id")
 
 

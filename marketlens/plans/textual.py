@@ -34,15 +34,18 @@ def number_forms(spark, sf):
 
 
 @query("extract_numbers", r"""
-    WITH f AS (SELECT doc_id, upper(unnest(regexp_extract_all(text, '([0-9]{1,4})\s*/\s*([A-Za-z0-9][A-Za-z0-9-]*)', 1))) AS value, unnest(regexp_extract_all(text, '([0-9]{1,4})\s*/\s*([A-Za-z0-9][A-Za-z0-9-]*)', 2)) AS under FROM documents),
-    r AS (SELECT doc_id, value, CASE WHEN regexp_full_match(under, '[0-9]+') THEN try_cast(under AS INTEGER) END AS total, 0.45::DOUBLE * 0.95::DOUBLE AS weight FROM f WHERE lower(under) NOT IN ('psa', 'bgs', 'cgc', 'sgc', 'no', 'auto', 'ovp', 'gem', 'mint', 'nm', 'mt', 'eur', 'usd', 'gbp')
-          UNION ALL SELECT doc_id, upper(unnest(regexp_extract_all(text, '#\s*([0-9]{1,4}[A-Za-z]?)\b', 1))), NULL, 0.45::DOUBLE * 0.8::DOUBLE FROM documents
-          UNION ALL SELECT doc_id, upper(trim(text)), NULL, 0.45::DOUBLE FROM documents WHERE regexp_full_match(trim(text), '[0-9]{1,4}[A-Za-z]?'))
-    SELECT doc_id, value, total, max(weight) AS weight FROM r GROUP BY doc_id, value, total""")
+    WITH t AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages),
+    f AS (SELECT kind, id, upper(unnest(regexp_extract_all(text, '([0-9]{1,4})\s*/\s*([A-Za-z0-9][A-Za-z0-9-]*)', 1))) AS value, unnest(regexp_extract_all(text, '([0-9]{1,4})\s*/\s*([A-Za-z0-9][A-Za-z0-9-]*)', 2)) AS under FROM t),
+    p AS (SELECT kind, id, unnest(regexp_extract_all(text, '\b([A-Za-z]{1,4})[-\s]?([0-9]{1,4})\b', 1)) AS prefix, unnest(regexp_extract_all(text, '\b([A-Za-z]{1,4})[-\s]?([0-9]{1,4})\b', 2)) AS digits FROM t),
+    r AS (SELECT kind, id, value, CASE WHEN regexp_full_match(under, '[0-9]+') THEN try_cast(under AS INTEGER) END AS total, 0.85::DOUBLE * 0.95::DOUBLE AS weight FROM f WHERE lower(under) NOT IN ('psa', 'bgs', 'cgc', 'sgc', 'no', 'auto', 'ovp', 'gem', 'mint', 'nm', 'mt', 'eur', 'usd', 'gbp')
+          UNION ALL SELECT kind, id, upper(unnest(regexp_extract_all(text, '#\s*([0-9]{1,4}[A-Za-z]?)\b', 1))), NULL, 0.85::DOUBLE * 0.8::DOUBLE FROM t
+          UNION ALL SELECT kind, id, upper(prefix || digits), NULL, 0.85::DOUBLE * 0.55::DOUBLE FROM p WHERE lower(prefix) NOT IN ('psa', 'bgs', 'cgc', 'sgc', 'gem', 'mt', 'nm', 'lp', 'ovp', 'eur', 'usd', 'gbp', 'ver', 'no', 'nr', 'x', 'lot', 'pcs', 'stk', 'st')
+          UNION ALL SELECT kind, id, upper(trim(text)), NULL, 0.85::DOUBLE FROM t WHERE regexp_full_match(trim(text), '[0-9]{1,4}[A-Za-z]?'))
+    SELECT kind, id, value, total, max(weight) AS weight FROM r GROUP BY kind, id, value, total""")
 def extract_numbers(spark, sf):
-    """Numbers over and under a line, behind # and alone in whole texts, each once with its trust."""
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(text.readings(F.col("text"), "description")).alias("r"))
-    return rows.select("doc_id", "r.value", "r.total", "r.weight")
+    """Numbers over and under a line, behind #, behind letters and alone in whole documents and pages, each once with its trust."""
+    texts = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")))
+    return texts.select("kind", "id", F.explode(text.readings(F.col("text"), "title")).alias("r")).select("kind", "id", "r.value", "r.total", "r.weight")
 
 
 @query("plain_text", r"""
