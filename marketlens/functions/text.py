@@ -134,7 +134,7 @@ def readings(x: Column, source: str, prefixes: Sequence[str] | None = None) -> C
 
     bare = F.regexp_extract(safe, r"^\s*([0-9]{1,4}[A-Za-z]?)\s*$", 1)
     first = F.when(bare != "", F.array(reading(bare, "bare"))).otherwise(F.expr(f"cast(array() as array<{_READING}>)"))
-    pattern = r"(?:(?<=(?:^|\s)(\S{1,40})\s{0,5})|)([0-9]{1,4})\s*/\s*([A-Za-z0-9][A-Za-z0-9-]*)"  # the first group is the word before
+    pattern = r"(?=[0-9]{1,4}\s*/)(?:(?<=(?:^|\s)(\S{1,40})\s{0,5})|)([0-9]{1,4})\s*/\s*([A-Za-z0-9][A-Za-z0-9-]*)"  # the first group is the word before
     before, numerator, denominator = (F.regexp_extract_all(safe, F.lit(pattern), i) for i in (1, 2, 3))
     over = F.filter(F.arrays_zip(before.alias("w"), numerator.alias("n"), denominator.alias("d")), lambda f: ~F.regexp_replace(F.lower(F.coalesce(f["w"], F.lit(""))), "[^a-z]", "").isin(*GRADING_WORDS) & ~F.lower(f["d"]).isin(*NO_SET))
     numeric = lambda f: f["d"].rlike("^[0-9]+$")
