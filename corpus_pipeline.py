@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm import packing, quality, simhash, substring, toxicity
-from marketlens.llm.common import scratch, table
+from marketlens.llm.common import clear, made, scratch, table
+
+#: The folders that the stage before has left (from made() to made()).
+_left: list[tuple[int, int]] = []
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage begins when the one before is written, so that one's scratch tables go first."""
+
+    @functools.wraps(function)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            clear(spark, *_left.pop())
+        first = made()
+        out = function(spark, docs, sf_dir)
+        _left.append((first, made()))
+        return out
+
+    return stage
 
 
+@_stage
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.keep_good(docs)
 
 
+@_stage
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the lexicon is learnt from the labelled ones that are left."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id stays."""
+    """Of each group of near-duplicates one row stays: the smallest doc_id, nulls last, and of that the smallest text digest."""
     return simhash.keep_one(docs)
 
 
+@_stage
 def stripped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has, or the same document further ahead, go."""
     return substring.strip(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences for training: one row for each piece of a document."""
     return packing.pack(docs)

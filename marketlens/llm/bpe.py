@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_batch, documents, pa_schema
+from .common import as_batch, documents, keeps, own, pa_schema, tidy
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 LONG, LEAF, AGREE = 4096, 2048, 4
@@ -301,11 +301,15 @@ def _agree(ids: np.ndarray, ends: np.ndarray, window: np.ndarray, window_ends: n
     return None
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def encoder(path: str) -> Encoder:
+    own("bpe")
     return Encoder(path)
 
 
+keeps("bpe", encoder.cache_clear)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded amount of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -339,7 +343,7 @@ def _short(rows: DataFrame, path: str) -> DataFrame:
             for part in slices(batch):
                 yield pa.record_batch([part.column("doc_id"), binaries(*made.flat(part.column("text")))], schema=target)
 
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(tidy(run, "bpe"), "doc_id long, ids binary")
 
 
 def _long(rows: DataFrame, path: str) -> DataFrame:
@@ -403,8 +407,8 @@ def _long(rows: DataFrame, path: str) -> DataFrame:
             out.append(b"".join(done))
         return pa.array(out, pa.binary())
 
-    cut_up = texts.withColumn("tag", F.xxhash64("text")).mapInArrow(pieces, "doc_id long, tag long, copies long, part int, leaf int, piece string")
-    dealt = cut_up.repartition("doc_id", "tag", "part", "leaf").mapInArrow(encoded, "doc_id long, tag long, copies long, part int, leaf int, piece string, ids binary, ends binary")
+    cut_up = texts.withColumn("tag", F.xxhash64("text")).mapInArrow(tidy(pieces, "bpe"), "doc_id long, tag long, copies long, part int, leaf int, piece string")
+    dealt = cut_up.repartition("doc_id", "tag", "part", "leaf").mapInArrow(tidy(encoded, "bpe"), "doc_id long, tag long, copies long, part int, leaf int, piece string, ids binary, ends binary")
     whole = dealt.groupBy("doc_id", "tag", "copies").agg(F.collect_list(F.struct("part", "leaf", "piece", "ids", "ends")).alias("rows"))
     return whole.select("doc_id", F.explode(F.expr("sequence(1, copies)")), joined("rows").alias("ids")).select("doc_id", "ids")
 
@@ -421,4 +425,4 @@ def digest(docs: DataFrame, path: str = WORD_BPE) -> DataFrame:
                 text = made.decode(np.frombuffer(b"".join(ids), "<u4"), places).to_pylist()
                 yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(places)), pa.array([hashlib.sha256(b).hexdigest() for b in ids]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text])], schema=target)
 
-    return encode(docs, path).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, path).mapInArrow(tidy(run, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

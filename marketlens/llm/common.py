@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -14,15 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 32
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where it is not installed (local mode, shared disk)."""
+    """Lets Python workers import this package where it is not installed (local mode, shared disk), and bounds what they get at once."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *(p for p in paths if p)])
+    # whole texts go to the workers: the default of ten thousand rows or 64 MB at once is held several times over by each task
+    if spark.conf.get(_BATCH, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark
 
 
@@ -45,14 +52,58 @@ def scratch(spark: SparkSession, name: str) -> str:
 _made: list[str] = []
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes every table that cut() and scratch() left in the shared folder. For the end of a job: results that read them are gone then."""
+def made() -> int:
+    """How many folders have been handed out."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, first: int = 0, end: int | None = None) -> None:
+    """Deletes what cut() and scratch() left in the shared folder, all or from one made() to another. Results that read it are gone then."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for name in _made[first:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 
+_kept: dict[str, Callable[[], None]] = {}
+_owner: list[str | None] = [None]
+
+
+def keeps(name: str, drop: Callable[[], None]) -> None:
+    """Says how to drop what an operator keeps in a worker from task to task."""
+    _kept[name] = drop
+
+
+def own(name: str) -> None:
+    """Called where an operator's code begins in a worker: what other operators keep there goes."""
+    if _owner[0] != name:
+        _owner[0] = name
+        for other, drop in _kept.items():
+            if other != name:
+                drop()
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back to the machine, as workers live on and share their executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that owns its worker and releases memory at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own(name)
+        yield from function(batches)
+        release()
+
+    return run
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     path = scratch(df.sparkSession, name)
@@ -69,19 +120,6 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list] | None], schema: str) -> DataFrame:
-    """mapInArrow with columns as Python lists in and a column dictionary out."""
-    target = pa_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = function(batch.to_pydict())
-            if out is not None:
-                yield as_batch(out, target)
-
-    return df.mapInArrow(run, schema)
-
-
 _ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(),
     "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),

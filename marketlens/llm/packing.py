@@ -4,7 +4,8 @@ Documents are dealt to shards by a hash. A shard cuts full windows of the longes
 rest to the smallest tier that holds it. Tiers are packed from the longest down: gaps in a long window are filled
 with pieces of shorter tiers, whole ones first, the last one cut to fit; the shortest tier is filled end to end.
 So every window is full but those at the end of a shard, where what is left is cut into windows of ever shorter
-powers of two. Sequences of equal length form step groups of STEP_TOKENS tokens each, so steps are balanced.
+powers of two. Windows of a tier are numbered over all shards and form step groups of STEP_TOKENS tokens each, so steps
+are balanced: only the last group of each tier may be smaller. What is cut shorter than the tiers belongs to no step.
 
 A shard packs POOL_TOKENS tokens at a time, so a task's memory is bounded; whatever does not fill a window then
 stays in the pool for the next round. Shard and order depend on the rows alone, so a task that runs again gives the
@@ -23,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import WORD_BPE, encoder, slices
-from .common import cut, documents, parts_for, pa_schema
+from .common import cut, documents, pa_schema, parts_for, tidy
 from .tokens import offsets, with_end
 
 END = 1
@@ -39,7 +40,7 @@ TAIL = (128, 64, 32, 16, 8, 4, 2, 1)
 STEP_TOKENS = 16 * LENGTH
 POOL_TOKENS = 4 << 20
 SHARD_BYTES = 32 << 20
-SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, shard int, sequence long, offset long, tier int, step long"
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, shard int, sequence long, offset long, tier int, number long"
 
 
 class Packer:
@@ -94,23 +95,22 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer: str = WORD_BPE, end: int = END) -> DataFrame:
-    """One row for each piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset, tier, step."""
+    """One row for each piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset, tier, step (null below the tiers). Rows of one doc_id are documents each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, shard, packer, target = encoder(tokenizer), TaskContext.get().partitionId(), Packer(), pa_schema(SCHEMA)
         texts: dict[int, list] = {}  # doc number: [doc_id, ids, ids not yet out]
-        count, sequence, steps = 0, 0, {}
+        count, sequence, numbers = 0, 0, {}
 
         def rows(windows: Iterator[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             out: dict[str, list] = {name: [] for name in target.names}
             for tier, pieces in windows:
-                index = steps.get(tier, 0)
-                steps[tier] = index + 1
-                step, offset = index // max(1, STEP_TOKENS // tier), 0
+                number, offset = numbers.get(tier, 0), 0
+                numbers[tier] = number + 1
                 for doc, start, length in pieces:
                     text = texts[doc]
-                    for name, value in zip(target.names, (text[0], start, length, len(text[1]), text[1][start : start + length].tobytes(), shard, sequence, offset, tier, step), strict=True):
+                    for name, value in zip(target.names, (text[0], start, length, len(text[1]), text[1][start : start + length].tobytes(), shard, sequence, offset, tier, number), strict=True):
                         out[name].append(value)
                     offset += length
                     text[2] -= length
@@ -140,11 +140,15 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, end: int = END) -> DataFram
 
     keyed = documents(docs).withColumn("tag", F.xxhash64("text"))
     dealt = keyed.repartition(parts_for(docs, SHARD_BYTES), F.xxhash64("doc_id", "tag")).sortWithinPartitions("doc_id", "tag").select("doc_id", "text")
-    packed = cut(dealt.mapInArrow(run, SCHEMA), "packed")
-    shards = packed.groupBy("shard").agg((F.max("sequence") + 1).alias("sequences"))
-    table = offsets(shards, "shard", "sequences", "first").select("shard", "first")
-    whole = packed.join(F.broadcast(table), "shard")  # one row for each task
-    return whole.select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("first") + F.col("sequence")).alias("sequence_id"), "offset", "tier", F.concat_ws("-", "shard", "tier", "step").alias("step"))
+    packed = cut(dealt.mapInArrow(tidy(run, "bpe"), SCHEMA), "packed")
+    # one row for each shard, and one for each shard and tier: as many as tasks, times twelve at most
+    shards = offsets(packed.groupBy("shard").agg((F.max("sequence") + 1).alias("size")), "shard", "size", "first").select("shard", "first")
+    tiers = packed.groupBy("tier", "shard").agg((F.max("number") + 1).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("tier").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = tiers.select("tier", "shard", before.alias("before")).join(shards, "shard")
+    whole = packed.join(F.broadcast(places), ["shard", "tier"])
+    step = F.floor((F.col("before") + F.col("number")) / (F.lit(STEP_TOKENS) / F.col("tier"))).cast("long")
+    return whole.select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("first") + F.col("sequence")).alias("sequence_id"), "offset", "tier", F.when(F.col("tier") >= TIERS[-1], F.concat_ws("-", "tier", step)).alias("step"))
 
 
 @F.arrow_udf(T.LongType())

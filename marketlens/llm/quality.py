@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents
+from .common import cut, documents, own
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, French, German and Spanish.
@@ -97,6 +97,7 @@ _TYPE = T.StructType([T.StructField(name, T.StringType() if name == "votes" else
 
 @F.arrow_udf(_TYPE)
 def features(texts: pa.Array) -> pa.Array:
+    own("quality")
     columns = list(zip(*(features_of(t.as_py()) for t in texts), strict=True)) or [[] for _ in _FIELDS]
     return pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _FIELDS, strict=True)], fields=[pa.field(*f) for f in _FIELDS])
 
@@ -146,9 +147,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """All columns of the rows that judge() keeps; no shuffle of texts."""
-    measured = cut(docs.select(features(F.col("text").cast("string")).alias("f")).select("f.*"), "quality")
-    table = F.broadcast(_lookup(docs.sparkSession, {v: p for v, p in _posteriors(measured).items() if p >= KEEP_FROM}).select(F.col("votes").alias("__votes")))
-    judged = docs.withColumn("__f", features(F.col("text").cast("string")))
-    kept = judged.where(~_failed("__f.")).join(table, F.col("__f.votes") == F.col("__votes"), "left_semi")
+    """All columns of the rows that judge() keeps, each row for itself also where a doc_id is repeated or null.
+
+    Features are measured once and written beside their rows, so no text is shuffled or measured again.
+    """
+    measured = cut(docs.withColumn("__f", features(F.col("text").cast("string"))), "quality")
+    good = [v for v, p in _posteriors(measured.select("__f.votes")).items() if p >= KEEP_FROM]
+    table = F.broadcast(docs.sparkSession.createDataFrame([(v,) for v in sorted(good)], "__votes string"))  # at most 3^10 rows
+    kept = measured.where(~_failed("__f.")).join(table, F.col("__f.votes") == F.col("__votes"), "left_semi")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

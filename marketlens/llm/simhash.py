@@ -7,12 +7,20 @@ bit there, y is within 1 + 1 of x's home; so every fingerprint is replicated to
 radius 2, is compared with the fingerprints at home there, and no linked pair is missed. Rows with equal
 fingerprints are one node throughout, so groups of copies of any size cost one row.
 
+A half has 2^26 anchors. So that an anchor's fingerprints do not grow in number with the corpus, an anchor is split by
+bits of the other half, which differs in at most three bits: of its `blocks` blocks, `same` are equal. Each choice of
+so many blocks is an anchor of its own with the blocks' bits. LEVELS has the choices; the first that leaves at most
+CROWD fingerprints to an anchor on average is taken, and all of them find the same pairs:
+level 0 (34 rows a fingerprint) up to 2^28 fingerprints, level 1 (136 rows) up to 2^36, level 2 (340 rows) up to 2^40.
+
 Defined cases: null and empty text have fingerprint zero and link like any other; null doc_id takes part, and a
 component whose ids are all null has a null component_id; repeated rows each get a row; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,11 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, words_of
+from .common import cut, documents, own, words_of
 
 SEED = 42
 RADIUS = 3
 CHUNK = 1 << 16
+ANCHORS, CROWD = 1 << 26, 4
+#: (blocks of the other half, blocks taken as equal)
+LEVELS = ((1, 0), (4, 1), (5, 2), (6, 3))
 
 
 def fingerprint_of(text: str | None, k: int = 3) -> int:
@@ -47,6 +58,7 @@ def fingerprint_of(text: str | None, k: int = 3) -> int:
 
 @F.arrow_udf(T.LongType())
 def fingerprint(texts: pa.Array) -> pa.Array:
+    own("simhash")
     return pa.array(np.array([fingerprint_of(t.as_py()) for t in texts], np.uint64).view(np.int64))
 
 
@@ -59,34 +71,57 @@ def _syndrome(half: Column) -> Column:
     return total
 
 
-def _halves() -> list[Column]:
+def _halves(level: int) -> Column:
+    """Array of (half, bits, other, s): both halves' lowest 31 bits with their syndrome and, for each choice of blocks, the other half's bits there."""
     low = F.col("fp").bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
     high = F.shiftrightunsigned(F.col("fp"), 32).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
-    return [low, high]
+    whole_low, whole_high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned(F.col("fp"), 32)
+    return F.array(*(F.struct(F.lit(i).alias("half"), bits.alias("bits"), _parts(other, level).alias("parts"), _syndrome(bits).alias("s")) for i, (bits, other) in enumerate(((low, whole_high), (high, whole_low)))))
+
+
+def _parts(other: Column, level: int) -> Column:
+    """For each choice of blocks a number of its own with their bits, above the 32 bits of half and anchor."""
+    blocks, same = LEVELS[level]
+    edges = [32 * i // blocks for i in range(blocks + 1)]
+    out = []
+    for index, chosen in enumerate(itertools.combinations(range(blocks), same)):
+        value, at = F.lit(index).cast("long"), 5
+        for k in chosen:
+            width = edges[k + 1] - edges[k]
+            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(other, edges[k]).bitwiseAND(F.lit((1 << width) - 1).cast("long")), at))
+            at += width
+        out.append(F.shiftleft(value, 32))
+    return F.array(*out)
 
 
-def homes(points: DataFrame) -> DataFrame:
-    """Each fingerprint with its one anchor in each half."""
-    rows = F.array(*(F.struct(F.lit(i).alias("half"), h.alias("bits"), _syndrome(h).alias("s")) for i, h in enumerate(_halves())))
-    at = "shiftleft(cast(x.half as bigint), 31) | (x.bits ^ if(x.s = 0, 0L, shiftleft(1L, cast(x.s - 1 as int))))"
-    return points.select("fp", F.explode(rows).alias("x")).select("fp", F.expr(at).alias("anchor"))
+_ANCHOR = "p | shiftleft(cast(x.half as bigint), 31) | (x.bits ^ {})"
 
 
-def replicas(points: DataFrame) -> DataFrame:
+def homes(points: DataFrame, level: int = 0) -> DataFrame:
+    """Each fingerprint with its one anchor in each half, for each choice of blocks."""
+    at = _ANCHOR.format("if(x.s = 0, 0L, shiftleft(1L, cast(x.s - 1 as int)))")
+    rows = points.select("fp", F.explode(_halves(level)).alias("x")).select("fp", "x", F.explode("x.parts").alias("p"))
+    return rows.select("fp", F.expr(at).alias("anchor"))
+
+
+def replicas(points: DataFrame, level: int = 0) -> DataFrame:
     """Each fingerprint with every anchor within radius 2: errors of two positions i, j with i xor j = syndrome; 0 is no error."""
-    rows = F.array(*(F.struct(F.lit(i).alias("half"), h.alias("bits"), _syndrome(h).alias("s")) for i, h in enumerate(_halves())))
     flip = "if({0} = 0, 0L, shiftleft(1L, cast({0} - 1 as int)))"
     errors = "transform(filter(sequence(0L, 31L), i -> if(x.s = 0, i = 0, i < (i ^ x.s))), i -> " + f"{flip.format('i')} ^ {flip.format('(i ^ x.s)')})"
-    return (
-        points.select("fp", F.explode(rows).alias("x"))
-        .select("fp", F.col("x"), F.explode(F.expr(errors)).alias("e"))
-        .select("fp", F.expr("shiftleft(cast(x.half as bigint), 31) | (x.bits ^ e)").alias("anchor"))
-    )
+    rows = points.select("fp", F.explode(_halves(level)).alias("x")).select("fp", "x", F.explode(F.expr(errors)).alias("e"))
+    return rows.select("fp", "x", "e", F.explode("x.parts").alias("p")).select("fp", F.expr(_ANCHOR.format("e")).alias("anchor"))
+
+
+def level_for(count: int) -> int:
+    """The first level that leaves at most CROWD of so many fingerprints to an anchor; the last one if none does."""
+    bits = [min(sum(sorted((32 * (i + 1) // blocks - 32 * i // blocks for i in range(blocks)))[:same]), 32) for blocks, same in LEVELS]
+    return next((i for i, b in enumerate(bits) if count <= CROWD * ANCHORS << b), len(LEVELS) - 1)
 
 
-def links(points: DataFrame) -> DataFrame:
+def links(points: DataFrame, level: int | None = None) -> DataFrame:
     """Pairs a < b of distinct fingerprints at RADIUS or fewer differing bits."""
-    a, b = homes(points).withColumnRenamed("fp", "a"), replicas(points).withColumnRenamed("fp", "b")
+    level = level_for(points.count()) if level is None else level
+    a, b = homes(points, level).withColumnRenamed("fp", "a"), replicas(points, level).withColumnRenamed("fp", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
     return a.join(b, "anchor").where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -137,8 +172,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "digest")).alias("first")
     rooted = _rooted(cut(prints.groupBy("fp").agg(first), "classes"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    # equal texts have one root, so no two roots keep the same doc_id and digest
-    kept = cut(kept.select(F.col("root").alias("__root"), F.col("first.doc_id").alias("__keep"), F.col("first.digest").alias("__kept_digest")), "kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__kept_digest"))
-    rows = docs.withColumn("__digest", _text_digest()).join(kept, same).dropDuplicates(["__root"])
+    # equal texts have one root, so no two roots keep the same doc_id and digest; one column for both, so that rows are dealt once
+    key = lambda doc_id, digest: F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), digest))
+    kept = cut(kept.select(key(F.col("first.doc_id"), F.col("first.digest")).alias("__key")), "kept")
+    rows = docs.withColumn("__key", key(F.col("doc_id"), _text_digest())).join(kept, "__key", "left_semi").dropDuplicates(["__key"])
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, as_batch, cut, pa_schema, salted, words_of
+from .common import Memo, as_batch, cut, keeps, own, pa_schema, salted, tidy, words_of
 
 WINDOW, INNER = 20, 5
 LAST = (1 << 63) - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-SLICE = 1024
+SLICE, AT_ONCE = 1024, 32 << 20
 WHOLE = 1 << 30
 BUCKETS = 1 << 18
 #: Documents with a least hash, from which on tasks remember the windows that have it; most windows that they remember.
@@ -53,6 +53,9 @@ def _word_hashes() -> Memo:
     return Memo(lambda w: xxhash.xxh64_intdigest(w, 0x5EED))
 
 
+keeps("substring", _word_hashes.cache_clear)
+
+
 class _Powers:
     """Powers of a base and of its inverse modulo 2^64, as far as needed."""
 
@@ -143,10 +146,23 @@ class _First:
         return send, after
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of up to AT_ONCE bytes or one that is larger; the more documents are seen together, the fewer rows are sent."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > AT_ONCE:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _window_rows(batches):
     """(key, ord, tag, at): windows to compare, at = second hash and place; and as rows of negative at the runs that the task itself shows to be repeats: -1 - (length and place)."""
     target, first_sent = pa_schema("key long, ord long, tag long, at long"), _First()
-    for batch in batches:
+    for batch in _larger(batches):
         columns = [batch.column(c).to_pylist() for c in ("text", "ord", "tag", "ms", "hot")]
         hashes, second, where, row, hot = [], [], [], [], []
         for i, (text, ms, hs) in enumerate(zip(columns[0], columns[3], columns[4], strict=True)):
@@ -236,11 +252,11 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = _shared(marks)
     keyed = _keyed(docs, shared)
     copies = cut(_copies(marks, shared), "copies")
-    least = cut(keyed.mapInArrow(_least_rows, "m long, ord long, tag long, twice boolean"), "least")
+    least = cut(keyed.mapInArrow(tidy(_least_rows, "substring"), "m long, ord long, tag long, twice boolean"), "least")
     repeated = least.groupBy("m").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("m", (F.col("n") >= HOT).alias("is_hot"))
     # sets, so that rows that are equal throughout do not add up
     inside = least.select("m", "ord", "tag").join(repeated, "m").groupBy("ord", "tag").agg(F.collect_set("m").alias("ms"), F.collect_set(F.when(F.col("is_hot"), F.col("m"))).alias("hot")).join(copies, ["ord", "tag"], "left_anti")
-    found = keyed.join(inside, ["ord", "tag"]).select("text", "ord", "tag", "ms", "hot").mapInArrow(_window_rows, "key long, ord long, tag long, at long")
+    found = keyed.join(inside, ["ord", "tag"]).select("text", "ord", "tag", "ms", "hot").mapInArrow(tidy(_window_rows, "substring"), "key long, ord long, tag long, at long")
     # dealt before it is grouped: hardly a window is twice in a task; a window has one row for each batch, or if hot about one for each task, that has it
     groups = found.repartition("key").groupBy("key", F.shiftright("at", 32).alias("second")).agg(F.collect_list(F.struct("ord", "at", "tag")).alias("all"))
     rows = groups.where("second < 0 or size(all) > 1").select("second", F.array_min("all").alias("first"), F.explode("all").alias("x"))
@@ -279,11 +295,12 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row for each row of docs."""
     found, shared = removals(docs)
     joined = _keyed(docs, shared).join(found, ["ord", "tag"], "left").select("ord", "text", "runs")
-    return joined.mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(tidy(_digests, "substring"), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 @F.arrow_udf(T.StringType())
 def _cut_text(texts: pa.Array, runs: pa.Array) -> pa.Array:
+    own("substring")
     return pa.array([b" ".join(kept_words(*x)[1]).decode("utf-8", "surrogatepass") for x in zip(texts.to_pylist(), runs.to_pylist(), strict=True)], pa.string())
 
 

@@ -6,7 +6,8 @@ skip by metadata. A row also has its file's number, its number of ids and the id
 come from one sum for each file, so nothing is counted in one task.
 
 Defined cases: null text is empty and gives the end id alone; null doc_id comes first; rows with the same doc_id are
-ordered by their text's hash; repeated rows get a row each; further columns are ignored; an empty table writes no row.
+ordered by their text's hash, and may stand in several files; repeated rows get a row each; further columns are ignored;
+an empty table writes no row.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import BYTE_BPE, encoder, slices
-from .common import documents, parts_for, scratch
+from .common import documents, parts_for, scratch, tidy
 
 END = 2
 FILE_BYTES = 32 << 20
@@ -48,24 +49,20 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end: int = END)
                 before += int(places[-1])
 
     rows = documents(docs).withColumn("tag", F.xxhash64("text"))
-    ranged = rows.repartitionByRange(parts_for(docs, FILE_BYTES), "doc_id").sortWithinPartitions("doc_id", "tag").select("doc_id", "text")
-    ranged.mapInArrow(run, SCHEMA).write.options(**ORC).orc(path)
+    ranged = rows.repartitionByRange(parts_for(docs, FILE_BYTES), "doc_id", "tag").sortWithinPartitions("doc_id", "tag").select("doc_id", "text")
+    ranged.mapInArrow(tidy(run, "bpe"), SCHEMA).write.options(**ORC).orc(path)
 
 
 def offsets(rows: DataFrame, group: str, size: str, offset: str) -> DataFrame:
-    """rows with the total size of all groups of smaller number; there are as many groups as files or tasks, so their sums are few."""
-    sums = rows.groupBy(group).agg(F.sum(size).alias("size"))
-    all_sums = sums.agg(F.sort_array(F.collect_list(F.struct(F.col(group).alias("g"), F.col("size").alias("s")))).alias("all"))
-    running = F.expr("aggregate(all, named_struct('at', 0L, 'out', cast(array() as array<struct<g:int,o:bigint>>)), (a, x) -> named_struct('at', a.at + x.s, 'out', concat(a.out, array(named_struct('g', x.g, 'o', a.at))))).out")
-    table = all_sums.select(F.inline(running)).select(F.col("g").alias(group), F.col("o").alias(offset))
-    return rows.join(F.broadcast(table), group, "left")
+    """rows, one for each group, with the total size of all groups of smaller number. Groups are files or tasks, of which parts_for() bounds the number, so one window holds them."""
+    return rows.withColumn(offset, F.coalesce(F.sum(size).over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids from the files."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    sums = rows.groupBy("file").agg(F.sum("n_ids").alias("n_ids"))  # reads no ids
-    table = offsets(sums, "file", "n_ids", "file_start").select("file", "file_start")
+    sums = rows.groupBy("file").agg(F.sum("n_ids").alias("size"))  # reads no ids
+    table = offsets(sums, "file", "size", "file_start").select("file", "file_start")
     return rows.join(F.broadcast(table), "file").select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "ids")
 
 
