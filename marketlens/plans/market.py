@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import auctions, metrics, search
+from ..operators.predicates import page
 from .registry import query
 from .views import NOW, WITH, now, views
 
@@ -55,8 +57,8 @@ _CARD = ["card_id", "name", "set_name", "language", "local_id", "rarity", "varia
     SELECT {", ".join(_CARD)}, total FROM found, n ORDER BY lower(name) NULLS LAST, lpad(local_id, 12, '0'), card_id LIMIT 24 OFFSET 24""")
 def card_search(spark, sf):
     """One page of cards by text and language with the total."""
-    page, total = search.card_search(_base(views(spark, sf)), {"q": "a", "language": "en"}, "name_asc", 2)
-    return page.select(*_CARD, F.lit(total).cast("long").alias("total"))
+    found, total = search.card_search(_base(views(spark, sf)), {"q": "a", "language": "en"}, "name_asc", 2)
+    return found.select(*_CARD, F.lit(total).cast("long").alias("total"))
 
 
 @query("variant_search", f"""
@@ -65,8 +67,8 @@ def card_search(spark, sf):
 def variant_search(spark, sf):
     """Variants by ranges of their figures, sorted by one with nulls last."""
     v = views(spark, sf)
-    page, _ = search.variant_search(_base(v), v["variants"], _figures(v), {}, {"population10": (1, None), "guide_price": (None, 90000)}, "population10_desc", 1, 60)
-    return page.select("variant_id", "finish", "name", "set_name", "population10", "guide_price")
+    found, _ = search.variant_search(_base(v), v["variants"], _figures(v), {}, {"population10": (1, None), "guide_price": (None, 90000)}, "population10_desc", 1, 60)
+    return found.select("variant_id", "finish", "name", "set_name", "population10", "guide_price")
 
 
 @query("card_printings", f"""
@@ -181,25 +183,17 @@ def auction_list(spark, sf):
 
 
 @query("auction_orders", f"""
-    {WITH}, {_BASE}, {_METRICS}, {_LIVE}, soon AS (SELECT * FROM auctions WHERE item_end_date <= TIMESTAMP '{NOW}' + INTERVAL 72 HOUR)
-    SELECT 'bid_asc' AS sort, listing_id, row_number() OVER (ORDER BY bid NULLS LAST, listing_id) AS place FROM soon UNION ALL SELECT 'ending_soon', listing_id, row_number() OVER (ORDER BY item_end_date NULLS FIRST, listing_id) FROM soon
-    UNION ALL SELECT 'bids_desc', listing_id, row_number() OVER (ORDER BY bid_count DESC NULLS LAST, listing_id) FROM soon UNION ALL SELECT 'psa_price_desc', listing_id, row_number() OVER (ORDER BY guide_price DESC NULLS LAST, listing_id) FROM soon""")
+    {WITH}, {_METRICS}, {_LIVE}, soon AS (SELECT * FROM auctions WHERE item_end_date <= TIMESTAMP '{NOW}' + INTERVAL 72 HOUR)
+    SELECT sort, listing_id, place FROM (SELECT 'bid_asc' AS sort, listing_id, row_number() OVER (ORDER BY bid NULLS LAST, listing_id) AS place FROM soon UNION ALL SELECT 'psa_price_desc', listing_id, row_number() OVER (ORDER BY guide_price DESC NULLS LAST, listing_id) FROM soon) WHERE place <= 60""")
 def auction_orders(spark, sf):
-    """The first page of four other orders; a page is one task's rows."""
-    from functools import reduce
-
-    from pyspark.sql import DataFrame
-
+    """The first page of two other orders."""
     every = _live(views(spark, sf))
     pages = []
-    for sort in ("bid_asc", "ending_soon", "bids_desc", "psa_price_desc"):
-        rows = auctions.filtered(every, now(), sort=sort).select("listing_id")
+    for sort in ("bid_asc", "psa_price_desc"):
         direction, column = auctions.SORTS[sort]
-        from pyspark.sql import Window
-
-        numbered = auctions.filtered(every, now(), sort=sort).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(sort)).orderBy(direction(column), "listing_id")))
-        pages.append(numbered.join(rows, "listing_id", "left_semi").select(F.lit(sort).alias("sort"), "listing_id", "place"))
-    return reduce(DataFrame.unionByName, pages)
+        first = page(auctions.filtered(every, now(), sort=sort).select("listing_id", column), 1, 60)  # at most 60 rows
+        pages.append(first.select(F.lit(sort).alias("sort"), "listing_id", F.row_number().over(Window.orderBy(direction(column), "listing_id")).alias("place")))
+    return pages[0].unionByName(pages[1])
 
 
 @query("auction_summary", f"""

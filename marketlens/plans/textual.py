@@ -91,15 +91,16 @@ def token_jaccard(spark, sf):
     """
     found = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
     docs = table(spark, sf, "documents").where("text is not null").select("doc_id", found.alias("tokens"))
-    d = docs.select("doc_id", F.size("tokens").alias("nd"), F.explode("tokens").alias("token"))
-    e = table(spark, sf, "benchmark").select("item_id", found.alias("tokens")).select("item_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    d = docs.select("doc_id", F.explode("tokens").alias("token"))
+    items = table(spark, sf, "benchmark").select("item_id", found.alias("wanted"))
+    e = items.select("item_id", F.size("wanted").alias("n"), F.explode("wanted").alias("token"))
     seen = d.join(e.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("docs"))
     rarest = Window.partitionBy("item_id").orderBy(F.coalesce("docs", F.lit(0)), "token")
     probes = e.join(seen, "token", "left").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") / 2) + 1)
     pairs = d.join(probes.select("item_id", "token"), "token").select("doc_id", "item_id").distinct()
-    shared = pairs.join(d, "doc_id").join(e, ["item_id", "token"]).groupBy("doc_id", "item_id", "n", "nd").agg(F.count("*").alias("shared"))
+    both = docs.join(pairs, "doc_id").join(items, "item_id").withColumns({"shared": F.size(F.array_intersect("tokens", "wanted")).cast("long"), "n": F.size("wanted"), "nd": F.size("tokens")})
     share = lambda x: F.round(F.col("shared") / x, 6)
-    return shared.where("2 * shared >= n").select("doc_id", "item_id", "shared", share(F.col("n")).alias("coverage"), share(F.col("nd") + F.col("n") - F.col("shared")).alias("jaccard"))
+    return both.where("2 * shared >= n").select("doc_id", "item_id", "shared", share(F.col("n")).alias("coverage"), share(F.col("nd") + F.col("n") - F.col("shared")).alias("jaccard"))
 
 
 _CANDIDATES = """
