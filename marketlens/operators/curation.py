@@ -11,6 +11,9 @@ from .latest import top_by
 from .metrics import unpivot_population
 from .resolution import narrow
 
+#: German names of print runs and stamps.
+SUBTYPES = {"unbegrenzt": "unlimited", "schattenlos": "shadowless", "schattenlose_rote_wange": "shadowless_red_cheek", "copyright_1999_2000": "1999_2000_copyright"}
+STAMPS = {"1_auflage": "1st_edition", "vorveroffentlichung": "pre_release", "poketour_1999": "poketour_99"}
 POPULATION_JSON = "struct<Results:array<struct<Counts:array<map<string,bigint>>>>>"
 
 
@@ -29,29 +32,66 @@ def cards_of(raw_sets: DataFrame, raw_cards: DataFrame) -> DataFrame:
         F.when(F.col("full"), "hydrated").otherwise("stub").alias("detail_status"), natural_key(F.col("local_id")).alias("local_sort_key"))
 
 
-def _edition(subtype: Column, stamps: Column, year: Column) -> Column:
-    """First editions are told apart where a card was printed before 2004; unlimited otherwise there."""
-    first = F.coalesce(subtype.rlike("first|1st"), F.lit(False)) | F.coalesce(F.exists(stamps, lambda s: s.rlike("1st|first")), F.lit(False))
-    return F.when(first, "first_edition").when(year <= 2003, "unlimited").otherwise("")
+def _alias(key: Column, language: Column, aliases: dict[str, str]) -> Column:
+    """A key's common name where a language has its own."""
+    known = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+    return F.when(language == "de", F.coalesce(F.try_element_at(known, key), key)).otherwise(key)
+
+
+def detailed_parts(v: Column, language: Column, set_id: Column, year: Column, scoped: Column) -> Column:
+    """Struct of the parts that a detailed variant proves in a language (F28); v: type, subtype, size, stamp.
+
+    German issues that the German data do not name themselves (scoped) are no more than their edition: the first set has
+    no other, shadowless is none, and what else is told of them is a translation.
+    """
+    none, german = F.array().cast("array<string>"), (language == "de") & ~scoped
+    stamps = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(v["stamp"], none), lambda s: _alias(normalize_part(s), language, STAMPS)), lambda s: s != "")))
+    first = F.arrays_overlap(stamps, F.array(F.lit("1st_edition"), F.lit("first_edition")))
+    kept = F.array_except(stamps, F.array(F.lit("1st_edition"), F.lit("first_edition")))
+    subtype = F.coalesce(_alias(normalize_part(v["subtype"]), language, SUBTYPES), F.lit(""))
+    structural = german & ((set_id == "base1") | (subtype == "shadowless"))
+    other = ~structural & ~subtype.isin("", "shadowless", "unlimited", "first_edition") & ~first
+    marker = (
+        F.when(structural, F.when(first, "first_edition").otherwise("unlimited")).when(subtype == "shadowless", F.when(first, "shadowless_first_edition").otherwise("shadowless"))
+        .when(subtype == "unlimited", "unlimited").when((subtype == "first_edition") | first, "first_edition").when(other & (year <= 2003), "unlimited")
+    )
+    return F.struct(
+        F.coalesce(normalize_part(v["type"]), F.lit("")).alias("finish"), F.coalesce(marker, F.lit("")).alias("print_run_marker"), F.when(other & ~german, subtype).otherwise("").alias("micro_variant"),
+        F.coalesce(F.nullif(normalize_part(v["size"]), F.lit("")), F.lit("standard")).alias("size"), F.when(structural | other & german, none).otherwise(kept).alias("stamps"))
 
 
 def variants_of(raw_cards: DataFrame, years: DataFrame) -> DataFrame:
     """One row for each variant key of a card. Detailed variants first, else the plain flags; equal keys are one variant.
 
-    years: language, source_set_id, year.
+    years: language, source_set_id, year. Where variants have an id, the English card's of the same id says what they are.
     """
     base = raw_cards.select("language", F.col("id").alias("source_card_id"), F.col("set.id").alias("source_set_id"), "variants", "variants_detailed").join(years, ["language", "source_set_id"], "left")
-    detailed = base.select("language", "source_card_id", "year", F.explode("variants_detailed").alias("v")).select(
-        "language", "source_card_id", normalize_part(F.coalesce("v.type", F.lit("normal"))).alias("finish"), _edition(F.lower("v.subtype"), F.col("v.stamp"), F.col("year")).alias("print_run_marker"),
-        F.lit("").alias("micro_variant"), F.lower(F.coalesce("v.size", F.lit("standard"))).alias("size"), F.filter(F.transform(F.coalesce("v.stamp", F.array().cast("array<string>")), normalize_part), lambda s: ~s.rlike("1st|first")).alias("stamps"))
+    fields = {f.name for f in raw_cards.schema["variants_detailed"].dataType.elementType.fields}
+    rows = base.select("language", "source_card_id", "source_set_id", "year", F.explode("variants_detailed").alias("v"))
+    rows = rows.withColumn("vid", F.nullif(F.col("v.variantId"), F.lit("")) if "variantId" in fields else F.lit(None).cast("string"))
+    english = rows.where("language = 'en' and vid is not null").groupBy("source_card_id", "vid").agg(F.max("v").alias("c"))
+    both = rows.join(english, ["source_card_id", "vid"], "left")
+    own, common = (F.col("v.languages"), F.col("c.languages")) if "languages" in fields else (F.lit(None).cast("array<string>"),) * 2
+    named = lambda x: F.coalesce(F.array_contains(x, F.col("language")), F.lit(False))
+    listed, scoped = F.coalesce(own, common), named(own) | named(common)
+    parts = detailed_parts(F.coalesce("c", "v"), F.col("language"), F.col("source_set_id"), F.col("year"), scoped)
+    here = both.where(F.coalesce(F.size(listed) <= 0, F.lit(True)) | named(listed)).withColumn("p", parts)
+    detailed = here.where(~((F.col("language") == "de") & (F.col("source_set_id") == "base1") & (F.col("p.size") != "standard") & ~scoped)).select("language", "source_card_id", "p.*")
     plain = base.where("variants_detailed is null or size(variants_detailed) = 0").select("language", "source_card_id", "year", F.explode("variants").alias("flag", "on")).where("on")
     first = F.col("flag") == "firstEdition"
     flags = plain.select("language", "source_card_id", F.when(first, "normal").otherwise(normalize_part(F.col("flag"))).alias("finish"), F.when(first, "first_edition").when(F.col("year") <= 2003, "unlimited").otherwise("").alias("print_run_marker"), F.lit("").alias("micro_variant"), F.lit("standard").alias("size"), F.array().cast("array<string>").alias("stamps"))
-    rows = detailed.unionByName(flags)
-    keyed = rows.withColumn("variant_key", variant_key(F.col("finish"), F.col("print_run_marker"), F.col("micro_variant"), F.col("size"), F.col("stamps")))
+    keyed = detailed.unionByName(flags).withColumn("variant_key", variant_key(F.col("finish"), F.col("print_run_marker"), F.col("micro_variant"), F.col("size"), F.col("stamps")))
     return keyed.dropDuplicates(["language", "source_card_id", "variant_key"])
 
 
+def set_images(raw: DataFrame) -> DataFrame:
+    """language, source_set_id, kind, url: the logo and the symbol of each set that has them (S15, M21). raw: language, id, logo, symbol."""
+    clean = lambda c: F.nullif(F.regexp_replace(F.trim(c), "/$", ""), F.lit(""))
+    full = lambda c: F.when(clean(c).endswith(".webp"), clean(c)).otherwise(F.concat(clean(c), F.lit(".webp")))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), full(F.col(k)).alias("url")) for k in ("logo", "symbol")))
+    return raw.select("language", F.col("id").alias("source_set_id"), F.inline(kinds)).where("url is not null")
+
+
 def populations(raw: DataFrame) -> DataFrame:
     """raw: population files. One row for each shown grade of a spec, with the total; a payload that is no JSON has no rows."""
     parsed = raw.select(F.col("psaSpecId").alias("spec_id"), F.from_json("populationRaw", POPULATION_JSON).alias("p")).where("p.Results is not null")

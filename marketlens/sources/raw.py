@@ -95,7 +95,17 @@ def table_rows(html: Column) -> Column:
     return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), 1), clean))
 
 
-def price_table(pages: DataFrame, headers: tuple[str, ...] = ("Grade", "Most Recent", "Average", "Price")) -> DataFrame:
+#: Heads of the two tables of a card's page.
+PRICE_HEAD = ("Grade", "Most Recent Price", "Average Price", "PSA Price", "Population", "POP Higher")
+CENSUS_HEAD = ("Pos", "Grade", "Thumbnail", "Pedigree and History")
+
+
+def census_table(pages: DataFrame) -> DataFrame:
+    """page_id, position, grade_label, pedigree of the census table."""
+    return price_table(pages, CENSUS_HEAD).select("page_id", F.col("pos").try_cast("int").alias("position"), F.col("grade").alias("grade_label"), F.col("pedigree_and_history").alias("pedigree"))
+
+
+def price_table(pages: DataFrame, headers: tuple[str, ...] = PRICE_HEAD) -> DataFrame:
     """Body rows of the table whose head is exactly these names."""
     rows = pages.withColumn("rows", table_rows(F.col("html"))).where(F.exists("rows", lambda r: r == F.array(*map(F.lit, headers))))
     cells = rows.select("page_id", F.posexplode("rows").alias("at", "cells")).where((F.size("cells") == len(headers)) & (F.col("cells") != F.array(*map(F.lit, headers))))

@@ -122,6 +122,27 @@ def test_curation(spark):
     assert [(r.spec_id, r.variant_id) for r in minted.collect()] == [("s1", 10)]
 
 
+def test_detailed_variants(spark):
+    """Editions, shadowless issues, German names and the English card's word for a variant of the same id."""
+    def v(kind, subtype=None, size=None, stamp=None, languages=None, vid=None):
+        return kind, subtype, size, stamp, languages, vid
+
+    cards = [
+        ("en", "a-1", "a", [v("holo", "Shadowless", stamp=["1st-edition"]), v("holo", "shadowless"), v("normal", "Red Cheeks", vid="x1"), v("normal", "unlimited", languages=["de"])]),
+        ("de", "a-1", "a", [v("holo", "Schattenlos"), v("normal", "Rote Backen", stamp=["Staff"], vid="x1"), v("reverse", None, stamp=["1. Auflage", "Vorveröffentlichung"]), v("holo", "Unbegrenzt", languages=["de"])]),
+        ("de", "base1-1", "base1", [v("normal", "Schattenlos", stamp=["Staff"]), v("normal", None, "jumbo"), v("normal", None, "jumbo", languages=["de"])]),
+    ]
+    df = spark.createDataFrame([(a, b, c, None, d) for a, b, c, d in cards], "language string, id string, sid string, variants map<string,boolean>, variants_detailed array<struct<type:string,subtype:string,size:string,stamp:array<string>,languages:array<string>,variantId:string>>").withColumn("set", F.struct(F.col("sid").alias("id")))
+    got = {(r.language, r.source_card_id, r.variant_key) for r in curation.variants_of(df, spark.createDataFrame([("en", "a", 2000), ("de", "a", 2000), ("de", "base1", 1999)], "language string, source_set_id string, year int")).collect()}
+    assert got == {
+        ("en", "a-1", "holo|shadowless_first_edition||standard|"), ("en", "a-1", "holo|shadowless||standard|"), ("en", "a-1", "normal|unlimited|red_cheeks|standard|"),
+        ("de", "a-1", "holo|unlimited||standard|"), ("de", "a-1", "normal|unlimited||standard|"), ("de", "a-1", "reverse|first_edition||standard|vorvero_ffentlichung"),
+        ("de", "base1-1", "normal|unlimited||standard|"), ("de", "base1-1", "normal|||jumbo|"),
+    }
+    sets = spark.createDataFrame([("en", "a", "http://l/logo/", None), ("de", "b", "x.webp", "y")], "language string, id string, logo string, symbol string")
+    assert {(r.source_set_id, r.kind, r.url) for r in curation.set_images(sets).collect()} == {("a", "logo", "http://l/logo.webp"), ("b", "logo", "x.webp"), ("b", "symbol", "y.webp")}
+
+
 @pytest.fixture(scope="module")
 def live(spark):
     end = dt.datetime(2026, 9, 1, 1)
@@ -196,8 +217,9 @@ def test_sources(spark, tmp_path):
     assert (rate.rate_date, rate.rate) == (dt.date(2026, 8, 28), 1.25) and one(spark, raw.exchange_rate(F.col("x")), x="<Cube/>") is None
     assert one(spark, raw.spec_of_page(F.col("x")), x='<a href="/spec/psa/544022">') == "544022"
     assert one(spark, raw.infobox_image(F.col("x")), x="{{Karte Infobox\n| bild = Glurak.png\n|x=1}}") == "Glurak.png"
-    pages = spark.createDataFrame([(1, '<table><tr><th>Grade</th><th>Most Recent</th><th>Average</th><th>Price</th></tr><tr><td>10</td><td>$5</td><td>-</td><td>$4</td></tr></table><a href="/pop/1999">1999</a><a href="/pop/1999">again</a><a href="/h/12">Base</a>')], "page_id long, html string")
-    assert [(r.grade, r.most_recent, r.price) for r in raw.price_table(pages).collect()] == [("10", "$5", "$4")]
+    pages = spark.createDataFrame([(1, '<table><tr><th>Grade</th><th>Most Recent Price</th><th>Average Price</th><th>PSA Price</th><th>Population</th><th>POP Higher</th></tr><tr><td>10</td><td>$5</td><td>-</td><td>$4</td><td>7</td><td>0</td></tr></table><table><tr><th>Pos</th><th>Grade</th><th>Thumbnail</th><th>Pedigree and History</th></tr><tr><td>1</td><td>MINT 9</td><td></td><td>A. Owner</td></tr></table><a href="/pop/1999">1999</a><a href="/pop/1999">again</a><a href="/h/12">Base</a>')], "page_id long, html string")
+    assert [(r.grade, r.most_recent_price, r.psa_price, r.population) for r in raw.price_table(pages).collect()] == [("10", "$5", "$4", "7")]
+    assert [tuple(r) for r in raw.census_table(pages).collect()] == [(1, 1, "MINT 9", "A. Owner")]
     assert {(r.href, r.text, r.kind) for r in raw.classified_links(pages).collect()} == {("/pop/1999", "1999", "year"), ("/h/12", "Base", "heading")}
     bodies = spark.createDataFrame([("p1", "same", 1), ("p2", "same", 2), ("p3", "known", 3)], "path string, body string, observed_at int")
     known = spark.createDataFrame([("known",)], "b string").select(F.sha2("b", 256).alias("hash"))
