@@ -9,7 +9,8 @@ Files are written under a name of their own and then moved, so a task that runs
 
 Defined cases: null html is an empty payload; null page_id is kept (as `none` in the archive); of rows with equal
 page_id and payload all are responses if that page_id is the largest; pages without url have none in the archive;
-further columns are ignored; an empty table gives archives without records.
+further columns are ignored; an empty table gives archives without records. A record that an archive's end cuts off
+raises an error.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pa_schema, scratch
+from .common import cut, pa_schema, salted, scratch
 
 REVISIT_BYTES = 1000
-RANGE_BYTES = 8 << 20
+RANGE_BYTES, MOST_TASKS = 8 << 20, 20_000
 CHUNK = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,7 +50,7 @@ def planned(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload"))
     known = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(known.select("payload_digest", "first"), "payload_digest", "left")  # a common payload's rows are split by the skew join
+    joined = salted(rows, known.select("payload_digest", "first"), "payload_digest", F.xxhash64("page_id"))  # a common payload's rows go to several tasks
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "payload", "payload_digest", F.when(refers.isNotNull(), "revisit").otherwise("response").alias("record_type"), refers.alias("refers_to"))
 
@@ -125,6 +126,8 @@ def member_at(source, size: int, at: int) -> tuple[tuple[dict[str, str], bytes]
     while not unpack.eof:
         piece = source.read(CHUNK)
         if not piece:
+            if data.startswith(b"WARC/1."):
+                raise ValueError(f"the archive ends within the record at {at}")
             return None, at
         try:
             data += unpack.decompress(piece)
@@ -152,7 +155,8 @@ def _page(uri: str | None) -> int | None:
 
 
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """One row for each response and revisit record. archives: path, bytes."""
+    """One row for each response and revisit record. archives: path, bytes. There are as many tasks as ranges of RANGE_BYTES, up to MOST_TASKS."""
+    tasks = archives.agg(F.sum(F.ceil(F.col("bytes") / RANGE_BYTES))).head()[0] or 1
     ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long"))).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +187,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return ranges.repartition("path", "start").mapInArrow(run, RECORDS)
+    return ranges.repartition(max(1, min(tasks, MOST_TASKS)), "path", "start").mapInArrow(run, RECORDS)
 
 
 def digest(pages: DataFrame) -> DataFrame:
