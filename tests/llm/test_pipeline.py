@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import pytest
 
 import corpus_pipeline
 from marketlens.llm import packing, quality, toxicity
-from tests.llm.test_operators import check_packing, classes, fingerprint, words
+from tests.llm.test_operators import check_packing, classes, fingerprint, removed, words
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables are not here")
@@ -60,3 +61,32 @@ def test_stages_take_an_empty_table(spark):
     empty = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0, name
+
+
+def test_repeated_and_null_ids(spark):
+    """One row of each component goes through the stages behind the filters, whatever its id; every id's tokens are packed once."""
+    a, b, c, d, e = (" ".join(f"{x}{i} word{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(None, a), (None, a), (None, b), (5, c), (None, c.upper()), (7, d), (7, e), (3, e), (None, f"{a} and some more {b}")]
+    stages, table = dict(corpus_pipeline.STAGES), spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").cache()
+    single = stages["near_duplicates"](spark, table, SMALL).cache()
+    kept = [(r.doc_id, r.text) for r in single.collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (5, c), (7, d), (3, e), rows[-1]], key=str)
+    stripped = stages["substrings"](spark, single, SMALL).cache()
+    assert stripped.columns == table.columns and stripped.count() == len(kept)
+    texts = [(r.doc_id, r.text) for r in stripped.collect()]
+    # null ids are one document for the order: what one row has further ahead goes from another
+    assert sorted((str(i), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts) == sorted((str(i), digest) for i, _, _, digest in removed(kept))
+    got = stages["packing"](spark, stripped, SMALL)
+    assert check_packing(texts, packing_rows(got)) == 0
+
+
+def test_a_stage_clears_the_one_before(spark):
+    from marketlens.llm import common
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    stages["quality"](spark, docs, SMALL).count()
+    first = common._made[corpus_pipeline._left[-1][0]].removeprefix("file://")
+    assert os.path.isdir(first)
+    stages["near_duplicates"](spark, docs, SMALL).count()
+    assert not os.path.exists(first)
