@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,6 +116,11 @@ def number_forms(x: Column) -> Column:
     return F.array_distinct(F.filter(forms, lambda f: f.isNotNull() & (f != "")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; written out, it would be computed again for each element of a lambda that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 _READING = "struct<value:string,total:int,code:string,kind:string,weight:double>"
 
 
@@ -152,8 +157,8 @@ def readings(x: Column, source: str, prefixes: Sequence[str] | None = None) -> C
 def strongest(every: Column) -> Column:
     """Readings by falling weight, each (value, total) once; of equal weights the one found first stays ahead."""
     placed = F.transform(every, lambda r, i: F.struct((-r["weight"]).alias("w"), i.alias("i"), r.alias("r")))
-    ordered = F.transform(F.array_sort(placed), lambda p: p["r"])
-    return F.filter(ordered, lambda r, i: ~F.exists(F.slice(ordered, F.lit(1), i), lambda d: (d["value"] == r["value"]) & d["total"].eqNullSafe(r["total"])))
+    alike = lambda d, r: (d["value"] == r["value"]) & d["total"].eqNullSafe(r["total"])
+    return let(F.transform(F.array_sort(placed), lambda p: p["r"]), lambda ordered: F.filter(ordered, lambda r, i: ~F.exists(F.slice(ordered, F.lit(1), i), lambda d: alike(d, r))))
 
 
 def loose_readings(x: Column, source: str = "title", most: int = 3) -> Column:
@@ -161,8 +166,9 @@ def loose_readings(x: Column, source: str = "title", most: int = 3) -> Column:
     safe = F.coalesce(x, F.lit(""))
     numbers = F.regexp_extract_all(safe, F.lit(r"(?<![A-Za-z0-9_])([0-9]{1,4})(?![A-Za-z0-9_])"), 1)
     pieces = F.split(safe, r"(?<![A-Za-z0-9_])[0-9]{1,4}(?![A-Za-z0-9_])")
-    lead = lambda i: F.array_join(F.transform(F.sequence(F.lit(0), i), lambda k: F.concat(F.get(pieces, k), F.when(k < i, F.get(numbers, k)).otherwise(F.lit("")))), "")
-    near = F.transform(numbers, lambda n, i: F.struct(n.alias("n"), F.concat(F.right(lead(i), F.lit(12)), F.substring(F.concat(n, safe.substr(F.length(lead(i)) + F.length(n) + 1, F.lit(14))), 1, 14)).alias("near")))
+    lead = lambda s, i: F.array_join(F.transform(F.sequence(F.lit(0), i), lambda k: F.concat(F.get(s["pieces"], k), F.when(k < i, F.get(s["numbers"], k)).otherwise(F.lit("")))), "")
+    beside = lambda n, before: F.struct(n.alias("n"), F.concat(F.right(before, F.lit(12)), F.substring(F.concat(n, safe.substr(F.length(before) + F.length(n) + 1, F.lit(14))), 1, 14)).alias("near"))
+    near = let(F.struct(numbers.alias("numbers"), pieces.alias("pieces")), lambda s: F.transform(s["numbers"], lambda n, i: let(lead(s, i), lambda before: beside(n, before))))
     grade = lambda f: f["n"].isin("8", "9", "10") & f["near"].rlike("(?i)psa|bgs|cgc|sgc|gem|mint")
     kept = F.array_distinct(F.transform(F.filter(near, lambda f: ~f["n"].rlike("^(19|20)[0-9]{2}$") & ~grade(f)), lambda f: f["n"]))
     none = F.lit(None)

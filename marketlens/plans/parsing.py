@@ -239,3 +239,30 @@ def money_texts(spark, sf):
     money = F.when(k % 3 == 0, "n/a").otherwise(F.concat(F.lit("$"), F.col("p_retailprice").cast("string"), F.lit(" USD")))
     grade = F.when(size % 4 == 0, "AUTH").otherwise(F.concat(F.lit("MINT "), (size % 10).cast("string"), F.lit("_5"), F.when(size % 4 == 1, F.concat(F.lit(" ("), k, F.lit(")"))).otherwise("")))
     return table(spark, sf, "part").select("p_partkey", values.parse_money(money).alias("money"), values.grade_value(grade).alias("grade"), values.census_count(grade).alias("census"))
+
+
+@query("listing_evidence", """
+    SELECT o_orderkey AS listing_id, CASE o_orderkey % 6 WHEN 1 THEN 'de' WHEN 3 THEN 'ko' WHEN 5 THEN 'ja' END AS language, CASE o_orderkey % 6 WHEN 2 THEN 'other-game-title' WHEN 3 THEN 'language-not-in-catalogue' WHEN 4 THEN 'not-a-card' END AS out_reason, o_orderkey % 6 IN (1, 5) OR o_orderkey % 7 = 0 AS is_lot,
+        CASE o_orderkey % 6 WHEN 0 THEN 10.0 WHEN 2 THEN 9.5 END::DOUBLE AS grade, CASE o_orderkey % 6 WHEN 0 THEN 'PSA' WHEN 2 THEN 'BGS' END AS grader, o_orderkey % 6 NOT IN (2, 3) AS hint, CASE o_orderkey % 6 WHEN 0 THEN '4/102' WHEN 5 THEN '001/SV-P,002/SV-P' ELSE '' END AS numbers,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'Base' END AS set_text, CASE WHEN o_orderkey % 5 = 0 THEN 60 END AS hp FROM orders""")
+def listing_evidence(spark, sf):
+    """What listings say: language, scope, lots, grades, numbers and item-specifics."""
+    titles = ("Pokemon Card 4/102 PSA 10", "Pokemon Konvolut German", "Digimon Card BGS 9.5", "Pikachu Korean", "Pokemon Poster", "ピカチュウ Pokemon 001/SV-P 002/SV-P")
+    k = F.col("o_orderkey")
+    aspect = lambda n, v: F.struct(F.lit(n).alias("name"), F.lit(v).alias("value"))
+    given = F.array(aspect("Satz", "Base"), aspect("Punti vita PV", "60 HP"), aspect("Finish", "n/a"))
+    none = F.filter(given, lambda a: F.lit(False))
+    rows = table(spark, sf, "orders").select(
+        k.alias("listing_id"), F.element_at(F.array(*map(F.lit, titles)), (k % 6 + 1).cast("int")).alias("title"), F.lit("<b>Versand aus Deutschland</b>").alias("description"), F.when(k % 7 == 0, 2).otherwise(1).alias("quantity"),
+        F.lit(None).cast("string").alias("condition_id"), F.when(k % 5 == 0, given).otherwise(none).alias("aspects"))
+    printed = F.filter("numbers", lambda r: r["kind"].isin("fraction", "promo-fraction"))
+    shown = F.array_join(F.array_sort(F.transform(printed, lambda r: F.concat_ws("/", r["value"], F.coalesce(r["total"].cast("string"), r["code"])))), ",")
+    return matching.build_evidence(rows).select("listing_id", "language", "out_reason", "is_lot", "grade", "grader", "hint", shown.alias("numbers"), F.get("set_texts", F.lit(0)).alias("set_text"), "hp")
+
+
+@query("json_key_join", "SELECT c_nationkey, count(*) AS events, count(DISTINCT c_custkey) AS customers FROM events JOIN customer ON CAST(json_extract_string(props, '$.k') AS BIGINT) = c_custkey GROUP BY c_nationkey")
+def json_key_join(spark, sf):
+    """A join on a field of a JSON column, taken out first."""
+    keyed = table(spark, sf, "events").select(F.get_json_object("props", "$.k").try_cast("long").alias("c_custkey"))
+    joined = keyed.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    return joined.groupBy("c_nationkey").agg(F.count("*").alias("events"), F.count_distinct("c_custkey").alias("customers"))
