@@ -123,7 +123,7 @@ def documents(df: DataFrame) -> DataFrame:
 _ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(),
     "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
-    "array<string>": pa.list_(pa.string()),
+    "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),
 }
 
 
