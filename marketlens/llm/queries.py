@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, packing, phrases, quality, simhash, substring, tokens, toxicity, vptree, warc, whitening
+from . import bpe, extraction, licenses, packing, phrases, quality, simhash, substring, tokens, toxicity, vptree, warc, whitening
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.digest(table(spark, sf_dir, "pages"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_quality_rules, op3_simhash, op4_token_output, op5_packing, op6_bpe, op7_nearest_neighbours, op8_substring_dedup, op9_toxicity, op10_warc,
-        op12_collocations, op13_whitening,
+        op11_main_text, op12_collocations, op13_whitening,
     )
 }
 #: Queries that SQL cannot express, or not at whole-table size, are tested against brute force instead.
