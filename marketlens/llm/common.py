@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -44,12 +46,35 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(folder)
+    for folders in getattr(_collecting, "lists", ()):
+        folders.append(folder)
+    return folder
 
 
 #: Folders that this driver has handed out and not cleared.
 _made: list[str] = []
+_collecting = threading.local()
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders that scratch() hands out to this thread meanwhile, and to no other."""
+    folders: list[str] = []
+    _collecting.lists = [*getattr(_collecting, "lists", ()), folders]
+    try:
+        yield folders
+    finally:
+        _collecting.lists = _collecting.lists[:-1]
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders of the shared folder. Results that read them are gone then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in folders:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def made() -> int:
@@ -59,10 +84,7 @@ def made() -> int:
 
 def clear(spark: SparkSession, first: int = 0, end: int | None = None) -> None:
     """Deletes what cut() and scratch() left in the shared folder, all or from one made() to another. Results that read it are gone then."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name in _made[first:end]:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+    delete(spark, _made[first:end])
 
 
 _kept: dict[str, Callable[[], None]] = {}
@@ -115,6 +137,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole(df: DataFrame) -> DataFrame:
+    """Each row as the one column `row`, so that columns made beside it cannot clash with its own; select("row.*") gives it back."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns cannot clash with derived ones; null text stays null."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

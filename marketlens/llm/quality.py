@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, own
+from .common import cut, documents, own, whole
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, French, German and Spanish.
@@ -151,8 +151,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     Features are measured once and written beside their rows, so no text is shuffled or measured again.
     """
-    measured = cut(docs.withColumn("__f", features(F.col("text").cast("string"))), "quality")
-    good = [v for v, p in _posteriors(measured.select("__f.votes")).items() if p >= KEEP_FROM]
-    table = F.broadcast(docs.sparkSession.createDataFrame([(v,) for v in sorted(good)], "__votes string"))  # at most 3^10 rows
-    kept = measured.where(~_failed("__f.")).join(table, F.col("__f.votes") == F.col("__votes"), "left_semi")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    measured = cut(whole(docs).withColumn("f", features(F.col("row.text").cast("string"))), "quality")
+    good = [v for v, p in _posteriors(measured.select("f.votes")).items() if p >= KEEP_FROM]
+    table = F.broadcast(docs.sparkSession.createDataFrame([(v,) for v in sorted(good)], "votes string"))  # at most 3^10 rows
+    kept = measured.where(~_failed("f.")).join(table, F.col("f.votes") == F.col("votes"), "left_semi")
+    return kept.select("row.*")

@@ -24,11 +24,11 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, own, words_of
+from .common import cut, documents, own, whole, words_of
 
 SEED = 42
 RADIUS = 3
@@ -161,19 +161,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(found, "fp", "left").select("doc_id", "fp", "component_id", "root")
 
 
-def _text_digest() -> Column:
+def _text_digest(of: str = "") -> Column:
     """Tells texts of one doc_id apart; null text has a digest of its own."""
-    return F.coalesce(F.md5(F.col("text").cast("string")), F.lit("null"))
+    return F.coalesce(F.md5(F.col(f"{of}text").cast("string")), F.lit("null"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """All columns of one row of each component: its smallest doc_id, nulls last, and of that the smallest text digest."""
+    """All columns of one row of each component: its smallest doc_id, nulls last, of that the smallest text digest, of that the smallest digest of the whole row."""
     prints = documents(docs).select(F.coalesce(fingerprint("text"), F.lit(0)).cast("long").alias("fp"), "doc_id", _text_digest().alias("digest"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "digest")).alias("first")
     rooted = _rooted(cut(prints.groupBy("fp").agg(first), "classes"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     # equal texts have one root, so no two roots keep the same doc_id and digest; one column for both, so that rows are dealt once
     key = lambda doc_id, digest: F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), digest))
-    kept = cut(kept.select(key(F.col("first.doc_id"), F.col("first.digest")).alias("__key")), "kept")
-    rows = docs.withColumn("__key", key(F.col("doc_id"), _text_digest())).join(kept, "__key", "left_semi").dropDuplicates(["__key"])
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = cut(kept.select(key(F.col("first.doc_id"), F.col("first.digest")).alias("key")), "kept")
+    rows = whole(docs).withColumn("key", key(F.col("row.doc_id"), _text_digest("row."))).join(kept, "key", "left_semi")
+    same = Window.partitionBy("key").orderBy(F.md5(F.to_json("row")))
+    return rows.withColumn("place", F.row_number().over(same)).where("place = 1").select("row.*")

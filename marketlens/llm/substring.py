@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, as_batch, cut, keeps, own, pa_schema, salted, tidy, words_of
+from .common import Memo, as_batch, cut, keeps, own, pa_schema, salted, tidy, whole, words_of
 
 WINDOW, INNER = 20, 5
 LAST = (1 << 63) - 1
@@ -204,12 +204,12 @@ def _window_rows(batches):
             yield pa.record_batch([pa.array(p << 32 ^ ords[r] ^ tags[r]), pa.array(ords[r]), pa.array(tags[r]), pa.array(-1 - (length << 32 | p))], schema=target)
 
 
-def _ord() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+def _ord(of: str = "") -> Column:
+    return F.coalesce(F.col(f"{of}doc_id").cast("long"), F.lit(LAST))
 
 
-def _hash() -> Column:
-    return F.xxhash64(F.col("text").cast("string"))
+def _hash(of: str = "") -> Column:
+    return F.xxhash64(F.col(f"{of}text").cast("string"))
 
 
 def _marks(docs: DataFrame) -> DataFrame:
@@ -307,10 +307,9 @@ def _cut_text(texts: pa.Array, runs: pa.Array) -> pa.Array:
 def strip(docs: DataFrame) -> DataFrame:
     """All columns of docs, each row once also where a doc_id is repeated or null; where words go, text is the kept words joined by a space and n_chars, if there, its length."""
     found, shared = removals(docs)
-    found = found.select(F.col("ord").alias("__ord"), F.col("tag").alias("__tag"), F.col("runs").alias("__runs"))
-    text = F.col("text").cast("string")
-    keyed = _tagged(docs.withColumn("__o", _ord()).withColumn("__h", _hash()), shared, "__o", "__h", "__t")
-    joined = keyed.join(found, (F.col("__o") == F.col("__ord")) & (F.col("__t") == F.col("__tag")), "left")
-    new = joined.withColumn("__new", F.when(F.col("__runs").isNotNull(), _cut_text(text, "__runs")).otherwise(text))
-    out = [F.col("__new").alias("text") if c == "text" else F.length("__new").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    text = F.col("row.text").cast("string")
+    keyed = _tagged(whole(docs).select("row", _ord("row.").alias("ord"), _hash("row.").alias("hash")), shared, "ord", "hash", "tag")
+    joined = keyed.join(found, ["ord", "tag"], "left")
+    new = joined.withColumn("new", F.when(F.col("runs").isNotNull(), _cut_text(text, "runs")).otherwise(text))
+    out = [F.col("new").alias("text") if c == "text" else F.length("new").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
     return new.select(*out)

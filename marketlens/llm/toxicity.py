@@ -8,8 +8,8 @@ other documents. A hit within an exception phrase (a hit with its neighbouring w
 clean) does not count. The sum of weights, divided by the root of the number of words, goes through a logistic curve.
 
 Bound: the model is fitted on at most LABELLED labelled documents, those whose ids have the least hashes. Nothing else
-is cut: all stems that LEAST_DOCS of these documents share are weighed, and those that weigh enough are the lexicon, with
-every exception phrase.
+is cut: all stems that LEAST_DOCS toxic ones of these documents share are weighed, and those that weigh LEAST_WEIGHT, and LONGER more
+than any shorter stem they begin with, are the lexicon, with every exception phrase.
 Defined cases: null and empty text score as a text without hits; null doc_id is not held out and has no label;
 repeated rows get a row each; without labelled toxic rows nothing is a hit and every score is the share of toxic labels
 (zero without any label); further columns are ignored.
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, cut, documents, keeps, own, pa_schema, tidy
+from .common import as_batch, cut, documents, keeps, own, pa_schema, tidy, whole
 
 LABELLED, HELD = 50_000, 300_000
-LEAST_WEIGHT, LEAST_DOCS, LEAST_LETTERS, MOST_LETTERS = 2.5, 5, 4, 8
+LEAST_WEIGHT, LONGER, LEAST_DOCS, LEAST_LETTERS, MOST_LETTERS = 2.5, 0.5, 5, 4, 8
 THRESHOLD = 0.7
 #: Look-alike letters and substitutions, each with the letter meant.
 LOOKALIKES = {
@@ -65,7 +65,7 @@ def fold(text: str | None, other: bool = False) -> str:
 def stems_of(text: str | None) -> set[str]:
     """Prefixes of LEAST_LETTERS to MOST_LETTERS letters of the words, and the words."""
     words = {w for w in fold(text).split() if len(w) >= LEAST_LETTERS}
-    return {w[:k] for w in words for k in range(LEAST_LETTERS, min(len(w), MOST_LETTERS) + 1)} | {w for w in words if len(w) <= 2 * MOST_LETTERS}
+    return {w[:k] for w in words for k in range(LEAST_LETTERS, min(len(w), MOST_LETTERS) + 1)} | words
 
 
 @functools.lru_cache(4)
@@ -138,15 +138,15 @@ def learn(labelled: DataFrame) -> dict:
     if not n1 or not n0:
         return {"stems": (), "exceptions": frozenset(), "curve": (0.0, 0.0), "prior": prior}
     # of at most LABELLED documents, each stem in LEAST_DOCS or more of them
-    t = {r.key: r.n for r in _count(toxic, stems_of).where(F.col("n") >= max(LEAST_DOCS, n1 // 1000)).collect()}
+    t = {r.key: r.n for r in _count(toxic, stems_of).where(F.col("n") >= LEAST_DOCS).collect()}
     candidates = frozenset(t)
     c = {r.key: r.n for r in _count(clean, lambda text: stems_of(text) & candidates).collect()}
     weight = {s: float(np.log((t[s] + 0.5) / (n1 + 1)) - np.log((c.get(s, 0) + 0.5) / (n0 + 1))) for s in t}
     good = [s for s in weight if weight[s] >= LEAST_WEIGHT]
     kept: dict[str, float] = {}
-    for s in sorted(good, key=lambda s: (len(s), s)):  # a longer stem adds nothing where a prefix of it is as heavy
+    for s in sorted(good, key=lambda s: (len(s), s)):  # a longer stem adds nothing where a prefix of it is nearly as heavy
         shorter = [kept[s[:k]] for k in range(LEAST_LETTERS, len(s)) if s[:k] in kept]
-        if not shorter or weight[s] > max(shorter) + 0.5 and t[s] >= 0.2 * n1:
+        if not shorter or weight[s] > max(shorter) + LONGER:
             kept[s] = weight[s]
     stems = tuple(sorted(kept.items(), key=lambda x: (-x[1], x[0])))
     heard = _count(clean, lambda text: {f"{w} {a}" for w, a, _ in hits_of(text, stems)}).where("n >= 2").withColumnRenamed("n", "c")
@@ -201,5 +201,5 @@ def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All columns of the rows of docs whose score stays under THRESHOLD, each row for itself also where a doc_id is repeated or null."""
-    scored = docs.withColumn("__score", score(train(docs, labels))(F.col("text").cast("string")))
-    return scored.where(F.col("__score") < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    scored = whole(docs).withColumn("score", score(train(docs, labels))(F.col("row.text").cast("string")))
+    return scored.where(F.col("score") < THRESHOLD).select("row.*")

@@ -9,8 +9,8 @@ Files are written under a name of their own and then moved, so a task that runs
 
 Defined cases: null html is an empty payload; null page_id is kept (as `none` in the archive); of rows with equal
 page_id and payload all are responses if that page_id is the largest; pages without url have none in the archive;
-further columns are ignored; an empty table gives archives without records. A record that an archive's end cuts off
-raises an error.
+further columns are ignored; an empty table gives archives without records. A header may be of any length; a record
+that an archive's end cuts off, or whose header never ends, raises an error.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def records_in(source, size: int, start: int, end: int) -> Iterator[tuple[dict[s
 def member_at(source, size: int, at: int) -> tuple[tuple[dict[str, str], bytes] | None, int]:
     """The record whose gzip member starts at an offset and where the member ends; None where no WARC record does."""
     source.seek(at)
-    unpack, data, known = zlib.decompressobj(31), bytearray(), False
+    unpack, data, known, seen = zlib.decompressobj(31), bytearray(), False, 0
     while not unpack.eof:
         piece = source.read(CHUNK)
         if not piece:
@@ -136,10 +136,10 @@ def member_at(source, size: int, at: int) -> tuple[tuple[dict[str, str], bytes]
         if not known:
             if len(data) >= 7 and not data.startswith(b"WARC/1."):
                 return None, at
-            known = b"\r\n\r\n" in data
-            if not known and len(data) > 4 * CHUNK:
-                return None, at
+            known, seen = data.find(b"\r\n\r\n", max(0, seen - 3)) >= 0, len(data)
     if not known:
+        if data.startswith(b"WARC/1."):
+            raise ValueError(f"the record at {at} has no end of its header")
         return None, at
     after = source.tell() - len(unpack.unused_data)
     head, _, rest = bytes(data).partition(b"\r\n\r\n")
@@ -187,7 +187,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return ranges.repartition(max(1, min(tasks, MOST_TASKS)), "path", "start").mapInArrow(run, RECORDS)
+    return ranges.repartitionByRange(max(1, min(tasks, MOST_TASKS)), "path", "start").mapInArrow(run, RECORDS)
 
 
 def digest(pages: DataFrame) -> DataFrame:
