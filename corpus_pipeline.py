@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import functools
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm import packing, quality, simhash, substring, toxicity
-from marketlens.llm.common import clear, made, scratch, table
+from marketlens.llm.common import collected, delete, scratch, table
 
-#: The folders that the stage before has left (from made() to made()).
-_left: list[tuple[int, int]] = []
+#: The folders that the stage before has left, of each thread that runs stages.
+_left = threading.local()
 
 
 def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -19,12 +20,9 @@ def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Cal
 
     @functools.wraps(function)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _left:
-            clear(spark, *_left.pop())
-        first = made()
-        out = function(spark, docs, sf_dir)
-        _left.append((first, made()))
-        return out
+        delete(spark, getattr(_left, "folders", []))
+        with collected() as _left.folders:
+            return function(spark, docs, sf_dir)
 
     return stage
 
