@@ -2,13 +2,14 @@
 
 A phrase of k words that occurs often is a pair of phrases of k - 1 words that occur often and stand one word apart. So
 words get ids first, and each further level replaces adjacent ids by the id of their pair, which Spark finds by one
-shuffle over all pairs. A pair's two ids are its parent pointers: through them a phrase finds the counts of all its
+shuffle of all pairs. A pair's two ids are its parent pointers: through them a phrase finds the counts of all its
 beginnings and endings (for the cuts), and the phrases one word longer that hold it (for subsumption; one that is two
 words longer holds one in between that is at least as frequent).
 
 Texts are dealt to chunks of about CHUNK_BYTES of one lang, written once with their words as numbers. A chunk counts its own
-pairs, so that one row for each chunk and pair is shuffled; the ids of frequent pairs come back to the chunks that hold them.
-Nothing is broadcast; a key has at most one row for each chunk.
+pairs and sends them to shards (a pair's shard goes by its ids, their number by the input's size), each shard's in one packed
+row; the shard counts a pair over all chunks and tells those that sent it its id, in the order sent. Nothing is broadcast;
+a pair comes to a shard at most once from each chunk, so no key is hot.
 
 Defined cases: null texts are empty, null langs are `und`; null doc_ids and repeated rows count like others; documents of
 over MOST_WORDS words are split with an overlap of three words, of which no phrase is counted twice; bytes that are no
@@ -29,12 +30,13 @@ from .common import SALTS, as_batch, cut, pa_schema, parts_for, tidy
 
 LEAST, LONGEST, TOP, SUBSUMED = 30, 4, 2000, 80
 SCALE = 2_000_000
-CHUNK_BYTES, MOST_WORDS, PART_BYTES = 8 << 20, 1 << 22, 8 << 20
+CHUNK_BYTES, MOST_WORDS, PART_BYTES = 16 << 20, 1 << 22, 8 << 20
 END = b"\xff"
 #: A-Z to a-z, the separators of pieces to END (which UTF-8 does not have), tabs to blanks.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + END * 10 + b" ")
-CHUNKS = "chunk long, lang string, n long, own long, words array<binary>, counts array<long>, body binary"
-PAIRS = "chunk long, no long, left long, right long, cnt long, own long, body binary"
+CHUNKS = "chunk long, lang string, n long, own long, words array<binary>, counts array<long>, body binary, sizes binary"
+PAIRS = "shard int, chunk long, pairs binary, own long, body binary, sizes binary"
+NAMES = "chunk long, shard int, told binary, id long, left long, right long, f long"
 
 
 class Numbers(dict):
@@ -54,15 +56,25 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def packed(ids: np.ndarray) -> bytes:
-    """32-bit integers as compressed planes of bytes, behind their number."""
-    planes = np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Integers as compressed planes of bytes, behind their number."""
+    planes = np.ascontiguousarray(ids.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
     return len(ids).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpacked(body: bytes) -> np.ndarray:
     size = int.from_bytes(body[:8], "little")
-    planes = np.frombuffer(pa.decompress(body[8:], size * 4, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, size).T).view("<i4").ravel()
+    planes = np.frombuffer(pa.decompress(body[8:], size * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, size).T).view("<i8").ravel()
+
+
+def packed_all(columns: list[np.ndarray]) -> bytes:
+    """Several columns of one length, the first one (ascending) by its differences."""
+    return packed(np.concatenate([np.diff(columns[0], prepend=0), *columns[1:]]) if len(columns[0]) else columns[0]) + len(columns).to_bytes(1, "little")
+
+
+def unpacked_all(body: bytes) -> list[np.ndarray]:
+    first, *rest = np.split(unpacked(body[:-1]), body[-1])
+    return [np.cumsum(first), *rest]
 
 
 class Chunk:
@@ -80,7 +92,7 @@ class Chunk:
         own = len(body) if own is None else own
         counts = np.bincount(body[:own], minlength=len(self.numbers))[1:]
         words = pa.array([list(self.numbers)[1:]], pa.list_(pa.binary()))
-        values = {"chunk": [chunk], "lang": [lang], "n": [int(counts.sum())], "own": [own], "counts": [counts], "body": [packed(body)]}
+        values = {"chunk": [chunk], "lang": [lang], "n": [int(counts.sum())], "own": [own], "counts": [counts], "body": [packed(body)], "sizes": [None]}
         schema = pa_schema(CHUNKS)
         return pa.record_batch([words if f.name == "words" else pa.array(values[f.name], f.type) for f in schema], schema=schema)
 
@@ -119,62 +131,112 @@ def chunks_of(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, most_words:
 
 
 def named(rows: DataFrame, keys: list[str], parts: int, least: int) -> DataFrame:
-    """Rows of frequent keys with the key's count `f` and id; `first` marks one row of each key. A key's rows meet in one task, which takes the least of its row marks for the id."""
+    """Rows of frequent words with the word's count `f` and id; `first` marks one row of each. A word's rows meet in one task, which takes the least of its row marks for the id."""
     same = Window.partitionBy(*keys)
     marked = rows.repartition(parts, *keys).withColumn("mark", F.monotonically_increasing_id())
     counted = marked.withColumn("f", F.sum("cnt").over(same)).withColumn("id", F.min("mark").over(same)).where(F.col("f") >= least)
-    return cut(counted.select("chunk", "no", *keys, "f", "id", (F.col("mark") == F.col("id")).alias("first")), "names")
+    return cut(counted.select("chunk", "no", *keys, "f", "id", (F.col("mark") == F.col("id")).alias("first")), "words")
 
 
-def adjacent(places: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of adjacent numbers (none negative) as first * 2**32 + second, ascending, how often each begins before `own`, and the pair at each place (-1: none)."""
-    if len(places) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    left, right = places[:-1].astype(np.int64), places[1:].astype(np.int64)
-    there = (left >= 0) & (right >= 0)
-    pairs, at = np.unique((left[there] << 32) | right[there], return_inverse=True)
-    begins = np.flatnonzero(there) < own
-    out = np.full(len(left), -1, np.int64)
-    out[there] = at
-    return pairs, np.bincount(at[begins], minlength=len(pairs)), out
+def shard_of(left: np.ndarray, right: np.ndarray, shards: int) -> np.ndarray:
+    """Where a pair of ids is counted."""
+    x = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(shards)).astype(np.int64)
 
 
-def _rows(chunk: int, no: np.ndarray, left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> pa.Table:
-    columns = [np.full(len(no), chunk), no, left, right, counts]
-    return pa.table([*(pa.array(c, pa.int64()) for c in columns), pa.nulls(len(no), pa.int64()), pa.nulls(len(no), pa.binary())], schema=pa_schema(PAIRS))
+def paired(places: np.ndarray, ids: np.ndarray, own: int, shards: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct pairs of adjacent places (none negative) by shard, left and right id: their shards, [left, right, how often each begins before `own`], and the pair at each place (-1: none)."""
+    first, second = places[:-1], places[1:]
+    there = (first >= 0) & (second >= 0)
+    pairs, at = np.unique((first[there] << 32) | second[there], return_inverse=True)
+    left, right = ids[pairs >> 32], ids[pairs & 0xFFFFFFFF]
+    counts = np.bincount(at[np.flatnonzero(there) < own], minlength=len(pairs))
+    shard = shard_of(left, right, shards)
+    order = np.lexsort((right, left, shard))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    found = np.full(len(first), -1, np.int64)
+    found[there] = rank[at]
+    return shard[order], [x[order] for x in (left, right, counts)], found
 
 
-def _step(keep: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Pairs of a chunk whose body has the names' numbers. With `keep` the names are pairs of the body's numbers, and a new body with the found pairs' places goes with the rows."""
+def _step(shards: int, words: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A chunk's pairs, one row for each shard, and its body with the pairs' numbers in the order sent (shard -1, with how many pairs each shard got). What is known of the numbers in the body comes as rows for words, packed by shard for pairs."""
 
     def step(bodies: pa.Table, names: pa.Table) -> pa.Table:
+        schema = pa_schema(PAIRS)
         if not bodies.num_rows or not names.num_rows:
-            return pa_schema(PAIRS).empty_table()
-        chunk, own, body = bodies["chunk"][0].as_py(), bodies["own"][0].as_py(), unpacked(bodies["body"][0].as_py())
-        numbers, ids = names["no"].to_numpy(), names["id"].to_numpy()
-        order = np.argsort(numbers)
-        numbers, ids = numbers[order], ids[order]
-        held = (body[:-1].astype(np.int64) << 32) | body[1:].astype(np.int64) if keep else body.astype(np.int64)
-        if keep:
-            held[(body[:-1] < 0) | (body[1:] < 0)] = -1
-        at = np.minimum(np.searchsorted(numbers, held), len(numbers) - 1)
-        places = np.where(numbers[at] == held, at, -1)
-        pairs, counts, found = adjacent(places, own)
-        a, b = pairs >> 32, pairs & 0xFFFFFFFF
-        if not keep:
-            return _rows(chunk, (numbers[a] << 32) | numbers[b], ids[a], ids[b], counts)
-        rows = _rows(chunk, np.arange(len(pairs)), ids[a], ids[b], counts)
+            return schema.empty_table()
+        chunk, own, body, sizes = (bodies[c][0].as_py() for c in ("chunk", "own", "body", "sizes"))
+        if words:
+            numbers, ids = names["no"].to_numpy(), names["id"].to_numpy()
+        else:
+            starts = np.concatenate([[0], np.cumsum(unpacked(sizes))])
+            told = [(starts[r["shard"]], *unpacked_all(r["told"])) for r in names.to_pylist()]
+            numbers, ids = np.concatenate([start + at for start, at, _ in told]), np.concatenate([i for _, _, i in told])
+        body = unpacked(body)
+        place = np.full(max(int(body.max(initial=0)), int(numbers.max())) + 2, -1, np.int64)
+        place[numbers] = np.arange(len(numbers))
+        shard, columns, found = paired(place[body], ids, own, shards)
+        ends = np.searchsorted(shard, np.arange(shards + 1))
+        used = np.flatnonzero(np.diff(ends))
         stay = found >= 0
         stay[1:] |= stay[:-1].copy()
-        body = {"chunk": [chunk], "no": [-1], "left": [0], "right": [0], "cnt": [0], "own": [int(stay[:own].sum())], "body": [packed(found[stay])]}
-        return pa.concat_tables([rows, pa.Table.from_batches([as_batch(body, pa_schema(PAIRS))])])
+        rows = {
+            "shard": [*used.tolist(), -1], "chunk": [chunk] * (len(used) + 1), "pairs": [*(packed_all([c[ends[k] : ends[k + 1]] for c in columns]) for k in used), None],
+            "own": [*[None] * len(used), int(stay[:own].sum())], "body": [*[None] * len(used), packed(found[stay])], "sizes": [*[None] * len(used), packed(np.diff(ends))],
+        }
+        return pa.Table.from_batches([as_batch(rows, schema)])
 
     return step
 
 
-def pairs_of(bodies: DataFrame, names: DataFrame, parts: int, keep: bool = False) -> DataFrame:
-    sides = [df.repartition(parts, "chunk").groupBy("chunk") for df in (bodies.select("chunk", "own", "body"), names.select("chunk", "no", "id"))]
-    return sides[0].cogroup(sides[1]).applyInArrow(_step(keep), PAIRS)
+def pairs_of(bodies: DataFrame, names: DataFrame, parts: int, words: bool) -> DataFrame:
+    sides = [df.repartition(parts, "chunk").groupBy("chunk") for df in (bodies.select("chunk", "own", "body", "sizes"), names)]
+    return cut(sides[0].cogroup(sides[1]).applyInArrow(_step(parts, words), PAIRS), "pairs")
+
+
+def _named(least: int) -> Callable[[pa.Table], pa.Table]:
+    """Counts the pairs of one shard. Frequent ones get ids; each chunk is told which of those that it sent have one."""
+
+    def name(sent: pa.Table) -> pa.Table:
+        shard, chunks = sent["shard"][0].as_py(), sent["chunk"].to_numpy()
+        blocks = [unpacked_all(p) for p in sent["pairs"].to_pylist()]
+        sizes = [len(b[0]) for b in blocks]
+        left, right, counts = (np.concatenate([b[k] for b in blocks]) for k in range(3))
+        order = np.lexsort((right, left))
+        new = np.ones(len(order), bool)
+        new[1:] = (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])
+        begins = np.flatnonzero(new)
+        f = np.add.reduceat(counts[order], begins)
+        often = f >= least
+        ids = np.where(often, (shard << 32) + np.cumsum(often) - 1, -1)
+        named_ = np.empty(len(order), np.int64)
+        named_[order] = ids[np.cumsum(new) - 1]
+        rows, start = {"chunk": [], "told": []}, 0
+        for chunk, size in zip(chunks.tolist(), sizes):
+            mine = named_[start : start + size]
+            start += size
+            at = np.flatnonzero(mine >= 0)
+            if len(at):
+                rows["chunk"].append(chunk)
+                rows["told"].append(packed_all([at, mine[at]]))
+        told, known = len(rows["chunk"]), order[begins[often]]
+        schema = pa_schema(NAMES)
+        nothing = {c: [None] * told for c in ("id", "left", "right", "f")}
+        back = as_batch({**rows, "shard": [shard] * told, **nothing}, schema)
+        numbers = [pa.array(x, pa.int64()) for x in (ids[often], left[known], right[known], f[often])]
+        kept = pa.record_batch([pa.nulls(len(known), pa.int64()), pa.nulls(len(known), pa.int32()), pa.nulls(len(known), pa.binary()), *numbers], schema=schema)
+        return pa.Table.from_batches([back, kept])
+
+    return name
+
+
+def named_pairs(pairs: DataFrame, parts: int, least: int) -> DataFrame:
+    """What each chunk is told (chunk, shard, told), and the frequent pairs (id, left, right, f)."""
+    sent = pairs.where("shard >= 0").select("shard", "chunk", "pairs").repartition(parts, "shard")
+    return cut(sent.groupBy("shard").applyInArrow(_named(least), NAMES), "names")
 
 
 def scored(grams: DataFrame, words: int) -> DataFrame:
@@ -204,14 +266,15 @@ def mine(documents: DataFrame, least: int = LEAST, top: int = TOP, chunk_bytes:
     words = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "it"))
     words = words.select("chunk", (F.col("at") + 1).cast("long").alias("no"), "lang", F.col("it.words").alias("word"), F.col("it.counts").alias("cnt"))
     one = named(words, ["lang", "word"], parts, least)
-    two = named(pairs_of(chunks, one, parts), ["left", "right"], parts, least)
-    triples = cut(pairs_of(chunks, two, parts, keep=True), "triples")
-    three = named(triples.where("no >= 0"), ["left", "right"], parts, least)
-    four = named(pairs_of(triples.where("no < 0"), three, parts), ["left", "right"], parts, least)
+    pairs, told, levels = chunks, one.select("chunk", "no", "id"), []
+    for level in range(2, LONGEST + 1):
+        pairs = pairs_of(pairs if level == 2 else pairs.where("shard < 0"), told, parts, level == 2)
+        names = named_pairs(pairs, parts, least)
+        levels.append(names.where("chunk is null").select("id", "left", "right", "f"))
+        told = names.where("chunk is not null").select("chunk", "shard", "told")
 
     single = F.array("f")
     known = one.where("first").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", single.alias("pre"), single.alias("suf"))
-    levels = [named_.where("first").select("id", "left", "right", "f") for named_ in (two, three, four)]
     found = None
     for words_, grams in enumerate(levels, 2):
         left = known.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("start"), "pre")

@@ -78,5 +78,9 @@ def test_cuts_are_exact(spark):
 
 
 def test_packing_of_numbers():
-    for ids in (np.zeros(0, np.int32), np.array([0, 1, -1, 1 << 30, -(1 << 31)], np.int32), np.arange(100_000, dtype=np.int32)):
+    for ids in (np.zeros(0, np.int64), np.array([0, 1, -1, 1 << 30, -(1 << 62)]), np.arange(100_000)):
         assert phrases.unpacked(phrases.packed(ids)).tolist() == ids.tolist()
+        assert [c.tolist() for c in phrases.unpacked_all(phrases.packed_all([ids, ids[::-1]]))] == [ids.tolist(), ids[::-1].tolist()]
+    left, right = np.arange(1000) << 40, np.arange(1000)[::-1]
+    shards = phrases.shard_of(left, right, 7)
+    assert set(shards.tolist()) == set(range(7)) and np.bincount(shards).min() > 90
