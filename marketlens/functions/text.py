@@ -79,13 +79,22 @@ def split_card_id(x: Column) -> tuple[Column, Column]:
     return F.coalesce(F.nullif(F.regexp_extract(x, "^(.+)-([^-]*)$", 1), F.lit("")), x), F.regexp_extract(x, "^(.+)-([^-]*)$", 2)
 
 
+#: The entities that are decoded; any other one is a blank.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "nbsp": " "}
+
+
+def decoded(x: Column) -> Column:
+    """Entities in one pass, in upper or lower case, so that what one gives is not read again."""
+    known = F.create_map(*(F.lit(v) for pair in ENTITIES.items() for v in pair))
+    name = lambda p: F.regexp_extract(p, "^([a-zA-Z#0-9]+);", 1)
+    after = lambda p: F.concat(F.coalesce(F.try_element_at(known, F.lower(name(p))), F.lit(" ")), p.substr(F.length(name(p)) + 2, F.length(p)))
+    return F.array_join(F.transform(F.split(x, "&"), lambda p, i: F.when(i == 0, p).when(name(p) != "", after(p)).otherwise(F.concat(F.lit("&"), p))), "")
+
+
 def plain_text(html: Column, limit: int | None = None) -> Column:
     """Text of an HTML page: no scripts, styles or tags, six entities decoded, white space collapsed (F18); the whole of it unless a limit is given."""
-    x = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
-    x = F.regexp_replace(x, "<[^>]*>", " ")
-    for entity, value in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
-        x = F.replace(x, F.lit(entity), F.lit(value))
-    x = F.regexp_replace(x, "&[a-zA-Z0-9#]+;", " ")
+    x = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " ")
+    x = decoded(F.regexp_replace(x, "<[^>]*>", " "))
     x = F.trim(F.regexp_replace(x, r"\s+", " "))
     return x if limit is None else F.substring(x, 1, limit)
 
@@ -139,9 +148,13 @@ def readings(x: Column, source: str, prefixes: Sequence[str] | None = None) -> C
 
     bare = F.regexp_extract(safe, r"^\s*([0-9]{1,4}[A-Za-z]?)\s*$", 1)
     first = F.when(bare != "", F.array(reading(bare, "bare"))).otherwise(F.expr(f"cast(array() as array<{_READING}>)"))
-    pattern = r"(?=[0-9]{1,4}\s*/)(?:(?<=(?:^|\s)(\S{1,40})\s{0,5})|)([0-9]{1,4})\s*/\s*([A-Za-z0-9][A-Za-z0-9-]*)"  # the first group is the word before
-    before, numerator, denominator = (F.regexp_extract_all(safe, F.lit(pattern), i) for i in (1, 2, 3))
-    over = F.filter(F.arrays_zip(before.alias("w"), numerator.alias("n"), denominator.alias("d")), lambda f: ~F.regexp_replace(F.lower(F.coalesce(f["w"], F.lit(""))), "[^a-z]", "").isin(*GRADING_WORDS) & ~F.lower(f["d"]).isin(*NO_SET))
+    pattern = r"([0-9]{1,4})\s*/\s*([A-Za-z0-9][A-Za-z0-9-]*)"
+    # the word before a fraction, however far: the last one of the text between it and the fraction before, or that fraction's own end
+    whole, numerator, denominator = (F.regexp_extract_all(safe, F.lit(pattern), i) for i in (0, 1, 2))
+    placed = F.arrays_zip(F.split(safe, pattern).alias("gap"), whole.alias("whole"), numerator.alias("n"), denominator.alias("d"))
+    word = lambda gap, before: F.regexp_replace(F.lower(F.regexp_extract(F.concat(F.coalesce(before, F.lit("")), gap), r"(\S+)\s*$", 1)), "[^a-z]", "")
+    told = let(placed, lambda all_: F.transform(all_, lambda f, i: F.struct(word(f["gap"], F.when(i > 0, F.get(all_, i - 1)["whole"])).alias("w"), f["n"].alias("n"), f["d"].alias("d"))))
+    over = F.filter(told, lambda f: f["n"].isNotNull() & ~f["w"].isin(*GRADING_WORDS) & ~F.lower(f["d"]).isin(*NO_SET))
     numeric = lambda f: f["d"].rlike("^[0-9]+$")
     fraction = F.transform(over, lambda f: F.when(numeric(f), reading(f["n"], "fraction", total=f["d"].try_cast("int"))).otherwise(reading(f["n"], "fraction", code=F.when(f["d"].rlike("^[A-Za-z][A-Za-z-]+$"), f["d"]), form="promo-fraction")))
     hashed = F.transform(F.regexp_extract_all(safe, F.lit(r"#\s*([0-9]{1,4}[A-Za-z]?)\b"), 1), lambda v: reading(v, "hash"))

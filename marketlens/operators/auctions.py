@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,13 +90,34 @@ def cheapest_shipping(items: DataFrame) -> DataFrame:
     return items.withColumn("shipping_cost", F.array_min(F.filter(costs, lambda c: c.isNotNull())))
 
 
-def funnel(listings: DataFrame, history: DataFrame, coverage: DataFrame, term: str = "term") -> DataFrame:
-    """For each search term: listings, matched, trusted, live, with population, guide and sales."""
-    phases = coverage.groupBy("variant_id").agg(*(F.bool_or((F.col("phase") == p) & (F.col("status") == "processed")).alias(p) for p in ("population", "guide", "sales")))
-    rows = listings.join(current_prices(history).select("listing_id", "price"), "listing_id", "left").join(phases, "variant_id", "left")
-    trusted = trusted_match() & F.col("variant_id").isNotNull()
-    flags = {"matched": F.col("match_status").isin("matched", "manual"), "trusted": trusted, "priced": trusted & F.col("price").isNotNull()} | {p: trusted & F.coalesce(p, F.lit(False)) for p in ("population", "guide", "sales")}
-    return rows.groupBy(term).agg(F.count("*").alias("listings"), *(F.count_if(c).alias(k) for k, c in flags.items()))
+STATES = ("pending", "identity_missing", "raw_missing", "raw_present", "processed", "no_data", "rate_limited", "failed")
+
+
+def listing_states(members: DataFrame, listings: DataFrame, work: DataFrame, coverage: DataFrame, specs: DataFrame, population: DataFrame, prices: DataFrame, sales: DataFrame) -> DataFrame:
+    """Each member of a search with how far it has come: acquisition, identity, and a state of each phase.
+
+    members: keys of their own and item_id; listings: listing_id equal to the item that was fetched. work: item_id, state,
+    last_error. coverage: listing_id, phase, status, created_at, of which the newest known state counts; without one, a
+    listing whose variant has a matched population spec is processed where rows of grade ten (or any population) are there.
+    """
+    done = specs.where(F.col("match_status").isin("matched", "manual") & F.col("variant_id").isNotNull())
+    of = lambda rows, name: rows.select("spec_pk").join(done.select("spec_pk", "variant_id"), "spec_pk").select("variant_id", F.lit(True).alias(name)).distinct()
+    have = {"has_identity": done.where("namespace = 'population'").select("variant_id", F.lit(True).alias("has_identity")).distinct(), "has_population": of(population, "has_population"), "has_guide": of(prices.where("grade_key = '10'"), "has_guide"), "has_sales": of(sales.where("grade_value = 10"), "has_sales")}
+    newest = latest_by(coverage, ["listing_id", "phase"], "created_at").where(F.col("status").isin(*STATES)).groupBy("listing_id").agg(*(F.max(F.when(F.col("phase") == p, F.col("status"))).alias(f"told_{p}") for p in ("population", "guide", "sales")))
+    rows = members.join(listings.select(F.col("listing_id").alias("item_id"), "variant_id", "match_tier", "flagged", F.lit(True).alias("fetched")), "item_id", "left").join(work.select("item_id", "state", "last_error"), "item_id", "left").join(newest.withColumnRenamed("listing_id", "item_id"), "item_id", "left")
+    for df in have.values():
+        rows = rows.join(df, "variant_id", "left")
+    acquisition = first_rule([(F.col("fetched"), "fetched"), (limited(F.col("last_error")), "rate_limited"), (F.col("state") == "permanent_failed", "failed")], "pending")
+    matched = F.coalesce(F.col("match_tier").isin("exact", "strong"), F.lit(False))
+    known = matched & ~F.coalesce("flagged", F.lit(False)) & F.coalesce("has_identity", F.lit(False))
+    phase = lambda p: F.coalesce(F.col(f"told_{p}"), F.when(~known, "identity_missing").when(F.col(f"has_{p}"), "processed").otherwise("raw_missing")).alias(p)
+    return rows.select(*members.columns, "variant_id", "match_tier", acquisition.alias("acquisition"), matched.alias("matched"), F.when(known, "processed").otherwise("identity_missing").alias("identity"), *(phase(p) for p in ("population", "guide", "sales")))
+
+
+def funnel(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Members of each search (filter the states before, by tier, state or text), those fetched, matched, matched without an identity, and with each phase processed."""
+    flags = {"fetched": F.col("acquisition") == "fetched", "matched": F.col("matched"), "identity_missing": F.col("matched") & (F.col("identity") == "identity_missing")} | {p: F.col(p) == "processed" for p in ("population", "guide", "sales")}
+    return states.groupBy(*keys).agg(F.count("*").alias("members"), *(F.count_if(c).alias(k) for k, c in flags.items()))
 
 
 def matched_targets(listings: DataFrame, history: DataFrame, specs: DataFrame, variants: DataFrame, cards: DataFrame, sets: DataFrame, now: Column, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -117,12 +140,25 @@ def snapshot_manifest(manifest: DataFrame, targets: DataFrame) -> DataFrame:
     return both.where(changed).select("spec_id", (F.coalesce("revision", F.lit(0)) + 1).cast("int").alias("revision"), "listings", "next_end")
 
 
-def coverage_status(targets: DataFrame, rows: DataFrame, raw: DataFrame, failures: DataFrame) -> DataFrame:
-    """spec_id, phase, status: processed, raw, failed, rate_limited or pending."""
-    phases = targets.select("spec_id", F.explode(F.array(*map(F.lit, ("population", "guide", "sales")))).alias("phase"))
+def limited(error: Column) -> Column:
+    """An error that tells of a rate limit."""
+    return F.coalesce(error.rlike("(?i)429|rate.?limit"), F.lit(False))
+
+
+def coverage_status(targets: DataFrame, rows: DataFrame, raw: DataFrame, work: DataFrame) -> DataFrame:
+    """target_id, phase, n, status of the population, guide and sales of each target.
+
+    targets: target_id, spec_id, sales_spec_id. rows: spec_id, phase, one for each curated row. raw: spec_id, kind (population
+    or sales) of captured files; a file without rows is raw_present for the population and no_data for the others. work:
+    spec_id, kind, state, last_error of the collectors' items. Without rows and file a permanent failure counts before a
+    rate limit, and that before work that is still to do; what nobody has fetched or asked for is raw_missing.
+    """
+    phases = targets.select("target_id", F.inline(F.array(*(F.struct(F.lit(p).alias("phase"), F.lit("sales" if p == "sales" else "population").alias("kind"), F.col("sales_spec_id" if p == "sales" else "spec_id").alias("spec_id")) for p in ("population", "guide", "sales")))))
     counted = rows.groupBy("spec_id", "phase").agg(F.count("*").alias("n"))
-    have = raw.select("spec_id", "phase", F.lit(True).alias("has_raw")).distinct()
-    failed = failures.groupBy("spec_id", "phase").agg(F.max_by("http_status", "failed_at").alias("http_status"))
-    whole = phases.join(counted, ["spec_id", "phase"], "left").join(have, ["spec_id", "phase"], "left").join(failed, ["spec_id", "phase"], "left")
-    status = first_rule([(F.col("n") > 0, "processed"), (F.col("has_raw"), "raw"), (F.col("http_status") == 429, "rate_limited"), (F.col("http_status").isNotNull(), "failed")], "pending")
-    return whole.select("spec_id", "phase", status.alias("status"))
+    have = raw.select("spec_id", "kind", F.lit(True).alias("has_raw")).distinct()
+    whole = phases.join(counted, ["spec_id", "phase"], "left").join(have, ["spec_id", "kind"], "left").join(work.select("spec_id", "kind", "state", "last_error"), ["spec_id", "kind"], "left")
+    open_ = F.col("state").isin("pending", "leased", "running", "retryable_failed", "partial")
+    status = first_rule([
+        (F.col("n") > 0, "processed"), (F.col("has_raw") & (F.col("phase") == "population"), "raw_present"), (F.col("has_raw"), "no_data"), (F.col("state") == "permanent_failed", "failed"), (limited(F.col("last_error")), "rate_limited"), (open_, "pending"),
+    ], "raw_missing")
+    return whole.select("target_id", "phase", F.coalesce("n", F.lit(0)).cast("long").alias("n"), status.alias("status"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key, normalize_part, variant_key
 from ..functions.values import grade_value, parse_money
 from .latest import top_by
+from .matching import micro_key
 from .metrics import unpivot_population
-from .resolution import narrow
 
 #: German names of print runs and stamps.
 SUBTYPES = {"unbegrenzt": "unlimited", "schattenlos": "shadowless", "schattenlose_rote_wange": "shadowless_red_cheek", "copyright_1999_2000": "1999_2000_copyright"}
 STAMPS = {"1_auflage": "1st_edition", "vorveroffentlichung": "pre_release", "poketour_1999": "poketour_99"}
+#: The source whose variants are the catalogue's own.
+CATALOGUE = "catalogue"
 POPULATION_JSON = "struct<Results:array<struct<Counts:array<map<string,bigint>>>>>"
 
 
@@ -60,6 +62,15 @@ def detailed_parts(v: Column, language: Column, set_id: Column, year: Column, sc
         F.coalesce(F.nullif(normalize_part(v["size"]), F.lit("")), F.lit("standard")).alias("size"), F.when(structural | other & german, none).otherwise(kept).alias("stamps"))
 
 
+def plain_parts(flags: Column) -> Column:
+    """(finish, print_run_marker) of a card with plain flags alone: its finishes, normal where it has none, each also as first edition if there is one."""
+    on = F.coalesce(F.map_keys(F.map_filter(flags, lambda _, x: F.coalesce(x, F.lit(False)))), F.array().cast("array<string>"))
+    finishes = F.array_distinct(F.filter(F.transform(on, normalize_part), lambda f: f.isin("normal", "holo", "reverse")))
+    some = F.when(F.size(finishes) > 0, finishes).otherwise(F.array(F.lit("normal")))
+    runs = F.when(F.arrays_overlap(on, F.array(F.lit("firstEdition"), F.lit("first_edition"))), F.array(F.lit(""), F.lit("first_edition"))).otherwise(F.array(F.lit("")))
+    return F.flatten(F.transform(some, lambda f: F.transform(runs, lambda r: F.struct(f.alias("finish"), r.alias("print_run_marker")))))
+
+
 def variants_of(raw_cards: DataFrame, years: DataFrame) -> DataFrame:
     """One row for each variant key of a card. Detailed variants first, else the plain flags; equal keys are one variant.
 
@@ -77,9 +88,8 @@ def variants_of(raw_cards: DataFrame, years: DataFrame) -> DataFrame:
     parts = detailed_parts(F.coalesce("c", "v"), F.col("language"), F.col("source_set_id"), F.col("year"), scoped)
     here = both.where(F.coalesce(F.size(listed) <= 0, F.lit(True)) | named(listed)).withColumn("p", parts)
     detailed = here.where(~((F.col("language") == "de") & (F.col("source_set_id") == "base1") & (F.col("p.size") != "standard") & ~scoped)).select("language", "source_card_id", "p.*")
-    plain = base.where("variants_detailed is null or size(variants_detailed) = 0").select("language", "source_card_id", "year", F.explode("variants").alias("flag", "on")).where("on")
-    first = F.col("flag") == "firstEdition"
-    flags = plain.select("language", "source_card_id", F.when(first, "normal").otherwise(normalize_part(F.col("flag"))).alias("finish"), F.when(first, "first_edition").when(F.col("year") <= 2003, "unlimited").otherwise("").alias("print_run_marker"), F.lit("").alias("micro_variant"), F.lit("standard").alias("size"), F.array().cast("array<string>").alias("stamps"))
+    plain = base.where("variants_detailed is null or size(variants_detailed) = 0").select("language", "source_card_id", F.inline(plain_parts(F.col("variants"))))
+    flags = plain.withColumns({"micro_variant": F.lit(""), "size": F.lit("standard"), "stamps": F.array().cast("array<string>")})
     keyed = detailed.unionByName(flags).withColumn("variant_key", variant_key(F.col("finish"), F.col("print_run_marker"), F.col("micro_variant"), F.col("size"), F.col("stamps")))
     return keyed.dropDuplicates(["language", "source_card_id", "variant_key"])
 
@@ -108,20 +118,36 @@ def price_rows(raw: DataFrame) -> DataFrame:
     return rows.select("spec_id", F.regexp_replace(grade.cast("string"), r"\.0$", "").alias("grade_key"), parse_money(F.col("r.mostRecentText")).alias("most_recent_price"), parse_money(F.col("r.averageText")).alias("average_price"), parse_money(F.col("r.psaPriceText")).alias("psa_price")).where("grade_key is not null")
 
 
-def resolve_variants(wanted: DataFrame, variants: DataFrame, strict: bool = False) -> DataFrame:
-    """wanted: row_id, card_id, finish, print_run_marker, micro_variant. variant_id of the one variant that is left.
+def resolve_variants(wanted: DataFrame, variants: DataFrame, exact: bool = False) -> DataFrame:
+    """row_id, variant_id: the one variant of a row's card that is left; null where there is none or several are.
 
-    Lenient, a criterion counts only where it leaves some and not all; strict, every criterion must hold and the first catalogue row wins.
+    wanted: row_id, card_id, finish, print_run_marker, micro_variant. variants: variant_id, card_id, the same three, and
+    source where it is known (null or CATALOGUE is the catalogue's own). Forgiving, the catalogue's variants are narrowed by
+    finish, print run and small variant; a wish that is empty or that none meets narrows nothing, so a lone variant is taken
+    unseen. Exact, variants of any source must have the small variant (without words for languages) and the finish, if one
+    is wanted; of several the catalogue's go first, and the print run decides only between those that are still tied.
     """
-    if strict:
-        same = [F.coalesce(F.col(f"w_{c}"), F.lit("")) == F.coalesce(c, F.lit("")) for c in ("finish", "print_run_marker", "micro_variant")]
-        renamed = wanted.select("row_id", "card_id", *(F.col(c).alias(f"w_{c}") for c in ("finish", "print_run_marker", "micro_variant")))
-        return top_by(renamed.join(variants, "card_id").where(same[0] & same[1] & same[2]), ["row_id"], [F.asc("variant_id")]).select("row_id", "variant_id")
-    pools = variants.groupBy("card_id").agg(F.array_sort(F.collect_list(F.struct("variant_id", "finish", "print_run_marker", "micro_variant"))).alias("pool"))
-    rows = wanted.join(pools, "card_id")
-    fits = lambda c: lambda v: F.coalesce(v[c] == F.col(c), F.lit(False))
-    done = narrow(rows, "pool", [fits("finish"), fits("print_run_marker"), fits("micro_variant")])
-    return done.select("row_id", F.when(F.size("pool") == 1, F.col("pool")[0]["variant_id"]).alias("variant_id"))
+    key = lambda c: F.coalesce(normalize_part(F.col(c)), F.lit(""))
+    small = (lambda c: F.coalesce(micro_key(F.col(c)), F.lit(""))) if exact else key
+    parts = {"finish": key, "print_run_marker": key, "micro_variant": small}
+    own = F.coalesce(F.col("source") == CATALOGUE, F.lit(True)) if "source" in variants.columns else F.lit(True)
+    have = variants.select("card_id", "variant_id", own.alias("own"), *(f(c).alias(f"has_{c}") for c, f in parts.items()))
+    rows = wanted.select("row_id", "card_id", *(f(c).alias(f"want_{c}") for c, f in parts.items())).join(have, "card_id")
+    same = Window.partitionBy("row_id")
+    fits = {c: (F.col(f"want_{c}") != "") & (F.col(f"want_{c}") == F.col(f"has_{c}")) for c in parts}
+
+    def narrowed(df: DataFrame, fit: Column) -> DataFrame:
+        return df.withColumn("fit", fit).withColumn("some", F.max("fit").over(same)).where("fit or not some").drop("fit", "some")
+
+    if exact:
+        rows = rows.where((F.col("want_micro_variant") == F.col("has_micro_variant")) & ((F.col("want_finish") == "") | fits["finish"]))
+        steps = [F.col("own"), fits["print_run_marker"]]
+    else:
+        rows, steps = rows.where("own"), list(fits.values())
+    for fit in steps:
+        rows = narrowed(rows, fit)
+    left = rows.groupBy("row_id").agg(F.when(F.count("*") == 1, F.min("variant_id")).alias("variant_id"))
+    return wanted.select("row_id").join(left, "row_id", "left")
 
 
 def mint_specs(listings: DataFrame, cert_specs: DataFrame, specs: DataFrame) -> DataFrame:

@@ -103,11 +103,13 @@ def market(specs: DataFrame, population: DataFrame, prices: DataFrame, sales: Da
 
 
 def population_ladder(specs: DataFrame, population: DataFrame, prices: DataFrame) -> DataFrame:
-    """variant_id with each grade's plain, qualified and half-grade counts and prices, for every variant that has a population spec of its own."""
-    rows = own_specs(specs, population, "population").join(population, "spec_pk").groupBy("variant_id", "spec_pk", "grade_key").agg(
+    """variant_id with each grade's plain, qualified and half-grade counts and prices, for every variant that has a population spec of its own (M6, A16). A grade that has a price alone has a row with null counts."""
+    own = own_specs(specs, population, "population")
+    rows = own.join(population, "spec_pk").groupBy("spec_pk", "grade_key").agg(
         F.max("grade_value").alias("grade_value"), F.sum(F.when(~F.col("qualified"), F.col("population_count")).otherwise(0)).alias("population"),
         F.sum(F.when(F.col("qualified"), F.col("population_count")).otherwise(0)).alias("qualified"), F.max("half_grade_count").alias("half_grades"), F.max("total_population").alias("total_population"))
-    return rows.join(prices.select("spec_pk", "grade_key", "most_recent_price", "average_price", "psa_price"), ["spec_pk", "grade_key"], "left")
+    asked = prices.select("spec_pk", "grade_key", "most_recent_price", "average_price", "psa_price").join(own.select("spec_pk"), "spec_pk", "left_semi")
+    return rows.join(asked, ["spec_pk", "grade_key"], "full_outer").join(own, "spec_pk")
 
 
 def unpivot_population(wide: DataFrame, counts: str, keys: Sequence[str]) -> DataFrame:

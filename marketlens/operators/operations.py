@@ -8,8 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import or_unknown
 from .latest import latest_by
-from .predicates import due, first_rule, trusted_match
+from .predicates import due, first_rule
+
+#: Fixed value: the series of cards that are not printed.
+DIGITAL_SERIES = "Pokémon TCG Pocket"
 
 
 def group_counts(df: DataFrame, *columns: str) -> DataFrame:
@@ -189,14 +193,27 @@ def publication(dirty: Column, last: Column, next_end: Column, now: Column, wait
     return F.when(~dirty, "nothing").when(waited | urgent, "publish").otherwise("debounce")
 
 
-def gate(listings: DataFrame, cards: DataFrame, sets: DataFrame) -> DataFrame:
-    """rule, n: what must be zero before a snapshot is published."""
+def gate(listings: DataFrame, cards: DataFrame, sets: DataFrame, variants: DataFrame | None = None, specs: DataFrame | None = None, campaigns: DataFrame | None = None) -> DataFrame:
+    """rule, n: what must be zero before a snapshot is published.
+
+    Searches that are not complete (campaigns: status, coverage_status); listings in a trusted tier whose variant is not
+    proven, as it is null, flagged or taken over from a cluster; listings without a tier; rows whose parent is missing; and
+    a catalogue without cards.
+    """
     from ..schemas import orphans
 
-    trusted = listings.agg(F.count_if(trusted_match() & F.col("variant_id").isNull()).alias("trusted_without_variant"), F.count_if(F.col("match_tier").isNull()).alias("no_tier")).unpivot([], ["trusted_without_variant", "no_tier"], "rule", "n")
-    lost = orphans(cards, sets, "set_id").agg(F.count("*").alias("n")).select(F.lit("card_without_set").alias("rule"), "n")
-    empty = cards.agg((F.count("*") == 0).cast("long").alias("n")).select(F.lit("empty_catalogue").alias("rule"), "n")
-    return trusted.unionByName(lost).unionByName(empty)
+    unproven = F.col("variant_id").isNull() | F.coalesce("flagged", F.lit(False)) | F.coalesce(F.col("match_method") == "cluster-propagate", F.lit(False))
+    counted = {"trusted_unproven": F.count_if(F.col("match_tier").isin("exact", "strong") & unproven), "no_tier": F.count_if(F.col("match_tier").isNull())}
+    parts = [listings.agg(*(c.alias(k) for k, c in counted.items())).unpivot([], list(counted), "rule", "n")]
+    number = lambda rule, df: df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
+    if campaigns is not None:
+        parts.append(number("campaign_incomplete", campaigns.where(~F.coalesce((F.col("status") == "complete") & (F.col("coverage_status") == "complete"), F.lit(False)))))
+    parts.append(number("card_without_set", orphans(cards, sets, "set_id")))
+    if variants is not None:
+        parts += [number("variant_without_card", orphans(variants, cards, "card_id")), number("listing_without_variant", orphans(listings, variants, "variant_id"))]
+        parts += [number("spec_without_variant", orphans(specs, variants, "variant_id"))] if specs is not None else []
+    parts.append(cards.agg((F.count("*") == 0).cast("long").alias("n")).select(F.lit("empty_catalogue").alias("rule"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def language_summary(sets: DataFrame, cards: DataFrame, variants: DataFrame) -> DataFrame:
@@ -218,8 +235,13 @@ def links_to_images(cards: DataFrame, assets: DataFrame) -> DataFrame:
     return cards.join(newest, "card_id", "left").withColumn("image_url", F.coalesce("image_url", "found_url")).drop("found_url")
 
 
-def specs_by_year(specs: DataFrame, variants: DataFrame, cards: DataFrame, sets: DataFrame, year: int) -> DataFrame:
-    """The sales spec, else the population spec, of cards released up to a year."""
-    old = sets.where(F.year(F.col("release_date").cast("date")) <= year).select("set_id").join(cards.select("set_id", "card_id"), "set_id").join(variants.select("card_id", "variant_id"), "card_id")
-    both = specs.join(old, "variant_id", "left_semi").groupBy("variant_id").agg(F.max(F.when(F.col("namespace") == "sales", F.col("spec_id"))).alias("sales"), F.max("spec_id").alias("any_spec"))
-    return both.select("variant_id", F.coalesce("sales", "any_spec").alias("spec_id"))
+def specs_by_year(specs: DataFrame, variants: DataFrame, cards: DataFrame, sets: DataFrame, year: int | None) -> DataFrame:
+    """One row for each population spec to fetch: of English cards that are printed, up to a year where one is given, with the sales spec of its variant, else its own."""
+    done = specs.where(F.col("match_status").isin("matched", "manual") & F.col("variant_id").isNotNull())
+    wanted = sets.where((F.col("language") == "en") & (F.col("series") != DIGITAL_SERIES))
+    wanted = wanted if year is None else wanted.where(F.col("release_date").cast("string") < f"{year + 1}-01-01")
+    placed = variants.select("variant_id", "card_id", or_unknown(F.col("finish")).alias("finish"), or_unknown(F.col("print_run_marker")).alias("print_run_marker"), F.col("micro_variant"))
+    placed = placed.join(cards.select("card_id", "set_id", "local_id"), "card_id").join(wanted.select("set_id", F.col("source_set_id").alias("release")), "set_id")
+    sold = done.where("namespace = 'sales'").groupBy("variant_id").agg(F.max("spec_id").alias("sales_spec"))
+    rows = done.where("namespace = 'population'").select("spec_id", "variant_id").join(placed, "variant_id").join(sold, "variant_id", "left")
+    return rows.select("spec_id", "release", F.concat_ws("-", "release", "local_id").alias("source_card_id"), "finish", "print_run_marker", "micro_variant", F.coalesce("sales_spec", "spec_id").alias("sales_spec_id"))

@@ -145,12 +145,12 @@ def market_months(spark, sf):
 
 @query("population_ladder", f"""
     {WITH}, {_OWNS}, r AS (SELECT op.variant_id, p.spec_pk, p.grade_key, max(grade_value) AS grade_value, CAST(sum(CASE WHEN NOT qualified THEN population_count ELSE 0 END) AS BIGINT) AS population, CAST(sum(CASE WHEN qualified THEN population_count ELSE 0 END) AS BIGINT) AS qualified,
-        max(half_grade_count) AS half_grades, max(total_population) AS total_population FROM op JOIN population p ON p.spec_pk = op.spec_pk GROUP BY op.variant_id, p.spec_pk, p.grade_key)
-    SELECT r.*, most_recent_price, average_price, psa_price FROM r LEFT JOIN prices g ON g.spec_pk = r.spec_pk AND g.grade_key = r.grade_key""")
+        max(half_grade_count) AS half_grades, max(total_population) AS total_population FROM op JOIN population p ON p.spec_pk = op.spec_pk AND p.grade_key <> '5' GROUP BY op.variant_id, p.spec_pk, p.grade_key), g AS (SELECT spec_pk, grade_key, most_recent_price, average_price, psa_price FROM prices)
+    SELECT op.variant_id, op.spec_pk, x.* EXCLUDE (spec_pk) FROM op JOIN (SELECT spec_pk, grade_key, grade_value, population, qualified, half_grades, total_population, most_recent_price, average_price, psa_price FROM (SELECT * EXCLUDE (variant_id) FROM r) FULL JOIN g USING (spec_pk, grade_key)) x ON x.spec_pk = op.spec_pk""")
 def population_ladder(spark, sf):
-    """Grades with plain, qualified and half counts and prices."""
+    """Grades with plain, qualified and half counts and prices; of grade five, say, prices alone are known."""
     v = views(spark, sf)
-    return metrics.population_ladder(v["specs"], v["population"], v["prices"])
+    return metrics.population_ladder(v["specs"], v["population"].where("grade_key <> '5'"), v["prices"])
 
 
 @query("price_comparison", f"""

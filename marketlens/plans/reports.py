@@ -61,10 +61,12 @@ def verify_store(spark, sf):
     key = F.col("p_partkey")
     objects = table(spark, sf, "part").where("p_partkey % 10 <> 0").select(F.sha2(key.cast("string"), 256).alias("hash"), F.concat(F.lit("o/"), key).alias("storage_path"))
     files = table(spark, sf, "part").where("p_partkey % 7 <> 0").select(F.concat(F.when(key % 20 == 0, "tmp/").otherwise("o/"), key).alias("storage_path"), F.when(key % 9 == 0, "broken").otherwise(key.cast("string")).cast("binary").alias("body"))
+    # contents of the observations, stored under the hash of their text
+    seen = v["observations"].withColumn("hash", F.sha2("hash", 256))
     known = v["observations"].select("hash").where("hash not in ('h3', 'h5')").distinct()
-    found = operations.verify(objects.unionByName(known.withColumn("storage_path", F.concat(F.lit("x/"), "hash"))), files.unionByName(known.select(F.concat(F.lit("x/"), "hash").alias("storage_path"), F.col("hash").cast("binary").alias("body"))), v["observations"], v["work"], table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "F", "complete").alias("status"), F.when(F.col("o_orderkey") % 3 != 0, "page 9").alias("evidence")), _at())
-    extra = known.agg(F.count("*").alias("k"))  # contents named for the observations alone do not hash to their names
-    return found.crossJoin(F.broadcast(extra)).select("problem", (F.col("n") - F.when(F.col("problem") == "mismatch", F.col("k")).otherwise(0)).alias("n"))
+    kept = known.select(F.sha2("hash", 256).alias("hash"), F.concat(F.lit("x/"), "hash").alias("storage_path"))
+    bodies = known.select(F.concat(F.lit("x/"), "hash").alias("storage_path"), F.col("hash").cast("binary").alias("body"))
+    return operations.verify(objects.unionByName(kept), files.unionByName(bodies), seen, v["work"], table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "F", "complete").alias("status"), F.when(F.col("o_orderkey") % 3 != 0, "page 9").alias("evidence")), _at())
 
 
 @query("term_funnels", f"""
@@ -85,16 +87,35 @@ def term_funnels(spark, sf):
     return operations.term_funnels(terms, items, v["listings"], targets, v["history"], coverage, now())
 
 
+_MEMBERS = """m AS (SELECT o_orderkey AS item_id, o_custkey % 10 AS term_id, o_orderkey % 9 = 4 AS missing, CASE o_orderkey % 4 WHEN 0 THEN 'permanent_failed' WHEN 1 THEN 'pending' END AS state, CASE WHEN o_orderkey % 6 = 1 THEN 'HTTP 429' WHEN o_orderkey % 6 = 2 THEN 'Rate Limit' END AS last_error FROM orders),
+    told AS (SELECT o_orderkey AS listing_id, phase, CASE WHEN o_orderkey % 3 = 0 THEN 'processed' WHEN o_orderkey % 3 = 1 THEN 'no_data' ELSE 'strange' END AS status, o_orderdate AS created_at FROM orders CROSS JOIN (SELECT 'population' AS phase UNION ALL SELECT 'guide' UNION ALL SELECT 'sales') x WHERE o_custkey % 4 = 0)"""
+_STATES = """d AS (SELECT * FROM specs WHERE match_status IN ('matched', 'manual')), l AS (SELECT * FROM listings WHERE listing_id % 9 <> 4),
+    s AS (SELECT m.*, l.listing_id IS NOT NULL AS fetched, l.variant_id, l.match_tier, coalesce(l.match_tier IN ('exact', 'strong'), FALSE) AS matched, coalesce(l.match_tier IN ('exact', 'strong') AND NOT l.flagged, FALSE) AND EXISTS (SELECT 1 FROM d WHERE d.variant_id = l.variant_id AND namespace = 'population') AS known,
+        EXISTS (SELECT 1 FROM d JOIN population p ON p.spec_pk = d.spec_pk WHERE d.variant_id = l.variant_id) AS hp, EXISTS (SELECT 1 FROM d JOIN prices p ON p.spec_pk = d.spec_pk WHERE d.variant_id = l.variant_id AND grade_key = '10') AS hg, EXISTS (SELECT 1 FROM d JOIN sales p ON p.spec_pk = d.spec_pk WHERE d.variant_id = l.variant_id AND grade_value = 10) AS hs,
+        max(CASE WHEN t.phase = 'population' AND status <> 'strange' THEN status END) AS tp, max(CASE WHEN t.phase = 'guide' AND status <> 'strange' THEN status END) AS tg, max(CASE WHEN t.phase = 'sales' AND status <> 'strange' THEN status END) AS ts
+        FROM m LEFT JOIN l ON l.listing_id = m.item_id LEFT JOIN told t ON t.listing_id = m.item_id GROUP BY ALL),
+    states AS (SELECT term_id, item_id, variant_id, match_tier, CASE WHEN fetched THEN 'fetched' WHEN state IS NOT NULL AND last_error IS NOT NULL THEN 'rate_limited' WHEN state = 'permanent_failed' THEN 'failed' ELSE 'pending' END AS acquisition, matched, CASE WHEN known THEN 'processed' ELSE 'identity_missing' END AS identity,
+        coalesce(tp, CASE WHEN NOT known THEN 'identity_missing' WHEN hp THEN 'processed' ELSE 'raw_missing' END) AS population, coalesce(tg, CASE WHEN NOT known THEN 'identity_missing' WHEN hg THEN 'processed' ELSE 'raw_missing' END) AS guide, coalesce(ts, CASE WHEN NOT known THEN 'identity_missing' WHEN hs THEN 'processed' ELSE 'raw_missing' END) AS sales FROM s)"""
+
+
+def _listing_states(spark, sf):
+    v = views(spark, sf)
+    rows = {name: spark.sql(f"WITH {_MEMBERS} SELECT * FROM {name}".replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders")) for name in ("m", "told")}
+    return auctions.listing_states(rows["m"].select("term_id", "item_id"), v["listings"].where("listing_id % 9 <> 4"), rows["m"].where("state is not null").select("item_id", "state", "last_error"), rows["told"], v["specs"], v["population"], v["prices"], v["sales"])
+
+
+@query("listing_states", f"{WITH}, {_MEMBERS}, {_STATES} SELECT * FROM states")
+def listing_states(spark, sf):
+    """Every member of a search with acquisition, identity and the state of each phase."""
+    return _listing_states(spark, sf)
+
+
 @query("campaign_funnel", f"""
-    {WITH}, {_LATEST} SELECT term_id, count(*) AS listings, count(*) FILTER (WHERE match_status IN ('matched', 'manual')) AS matched, count(*) FILTER (WHERE {_TRUSTED} AND variant_id IS NOT NULL) AS trusted, count(*) FILTER (WHERE {_TRUSTED} AND variant_id IS NOT NULL AND price IS NOT NULL) AS priced,
-        count(*) FILTER (WHERE {_TRUSTED} AND p_size % 2 = 0) AS population, count(*) FILTER (WHERE {_TRUSTED} AND p_size % 3 = 0) AS guide, count(*) FILTER (WHERE {_TRUSTED} AND p_size % 5 = 0) AS sales
-    FROM listings e LEFT JOIN latest l ON l.listing_id = e.listing_id LEFT JOIN part ON p_partkey * 4 = e.variant_id GROUP BY term_id""")
+    {WITH}, {_MEMBERS}, {_STATES} SELECT term_id, count(*) AS members, count(*) FILTER (WHERE acquisition = 'fetched') AS fetched, count(*) FILTER (WHERE matched) AS matched, count(*) FILTER (WHERE matched AND identity = 'identity_missing') AS identity_missing,
+        count(*) FILTER (WHERE population = 'processed') AS population, count(*) FILTER (WHERE guide = 'processed') AS guide, count(*) FILTER (WHERE sales = 'processed') AS sales FROM states GROUP BY term_id""")
 def campaign_funnel(spark, sf):
-    """Listings of each term from found to processed, in one pass over flags."""
-    v = views(spark, sf)
-    kinds = F.array(*(F.struct(F.lit(p).alias("phase"), F.when(F.col("p_size") % k == 0, "processed").otherwise("raw").alias("status")) for p, k in (("population", 2), ("guide", 3), ("sales", 5))))
-    coverage = table(spark, sf, "part").select((F.col("p_partkey") * 4).alias("variant_id"), F.inline(kinds))
-    return auctions.funnel(v["listings"], v["history"], coverage, "term_id")
+    """Members of each search from found to processed."""
+    return auctions.funnel(_listing_states(spark, sf), ["term_id"])
 
 
 @query("stage_status", f"""
@@ -213,12 +234,16 @@ def stage_decisions(spark, sf):
 
 
 @query("publish_gate", f"""
-    {WITH} SELECT 'trusted_without_variant' AS rule, count(*) AS n FROM listings WHERE {_TRUSTED} AND variant_id IS NULL UNION ALL SELECT 'no_tier', count(*) FROM listings WHERE match_tier IS NULL
-    UNION ALL SELECT 'card_without_set', count(*) FROM cards c WHERE NOT EXISTS (SELECT 1 FROM sets s WHERE s.set_id = c.set_id AND s.set_id <> 3) UNION ALL SELECT 'empty_catalogue', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM cards""")
+    {WITH} SELECT 'trusted_unproven' AS rule, count(*) FILTER (WHERE match_tier IN ('exact', 'strong') AND (variant_id IS NULL OR flagged OR coalesce(match_method = 'cluster-propagate', FALSE))) AS n FROM listings UNION ALL SELECT 'no_tier', count(*) FILTER (WHERE match_tier IS NULL) FROM listings
+    UNION ALL SELECT 'campaign_incomplete', count(*) FROM customer WHERE NOT (c_mktsegment <> 'MACHINERY' AND c_custkey % 7 <> 0)
+    UNION ALL SELECT 'card_without_set', count(*) FROM cards c WHERE NOT EXISTS (SELECT 1 FROM sets s WHERE s.set_id = c.set_id AND s.set_id <> 3) UNION ALL SELECT 'variant_without_card', count(*) FROM variants v WHERE NOT EXISTS (SELECT 1 FROM cards c WHERE c.card_id = v.card_id)
+    UNION ALL SELECT 'listing_without_variant', count(*) FROM listings l WHERE variant_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM variants v WHERE v.variant_id = l.variant_id) UNION ALL SELECT 'spec_without_variant', count(*) FROM specs p WHERE NOT EXISTS (SELECT 1 FROM variants v WHERE v.variant_id = p.variant_id)
+    UNION ALL SELECT 'empty_catalogue', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM cards""")
 def publish_gate(spark, sf):
     """What must be zero before publication."""
     v = views(spark, sf)
-    return operations.gate(v["listings"], v["cards"], v["sets"].where("set_id <> 3"))
+    campaigns = table(spark, sf, "customer").select(F.when(F.col("c_mktsegment") != "MACHINERY", "complete").otherwise("running").alias("status"), F.when(F.col("c_custkey") % 7 != 0, "complete").alias("coverage_status"))
+    return operations.gate(v["listings"], v["cards"], v["sets"].where("set_id <> 3"), v["variants"], v["specs"], campaigns)
 
 
 @query("language_summary", f"{WITH} SELECT s.language, count(DISTINCT s.set_id) AS sets, count(DISTINCT c.card_id) AS cards, count(DISTINCT v.variant_id) AS variants FROM sets s LEFT JOIN cards c ON c.set_id = s.set_id LEFT JOIN variants v ON v.card_id = c.card_id GROUP BY s.language")
@@ -236,19 +261,39 @@ def open_reviews(spark, sf):
     return operations.open_reviews(rows, actions).select("listing_id", "match_tier")
 
 
-@query("image_links", f"{WITH}, a AS (SELECT l_partkey AS card_id, max(l_orderkey) AS newest FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey) SELECT c.card_id, coalesce(image_url, 'http://o/' || newest) AS image_url FROM cards c LEFT JOIN a ON a.card_id = c.card_id")
+@query("image_links", f"{WITH}, a AS (SELECT l_partkey AS card_id, max(l_orderkey) AS newest FROM lineitem GROUP BY l_partkey) SELECT c.card_id, coalesce(image_url, 'http://o/' || newest) AS image_url FROM cards c LEFT JOIN a ON a.card_id = c.card_id")
 def image_links(spark, sf):
     """Cards without a picture take the newest stored one."""
-    assets = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("card_id"), F.col("l_orderkey").alias("stored_at"), F.lit("h").alias("hash"), F.concat(F.lit("http://o/"), "l_orderkey").alias("url"))
+    assets = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("card_id"), F.col("l_orderkey").alias("stored_at"), F.lit("h").alias("hash"), F.concat(F.lit("http://o/"), "l_orderkey").alias("url"))
     return operations.links_to_images(views(spark, sf)["cards"], assets).select("card_id", "image_url")
 
 
 @query("specs_by_year", f"""
-    {WITH} SELECT variant_id, coalesce(max(CASE WHEN namespace = 'sales' THEN spec_id END), max(spec_id)) AS spec_id FROM specs WHERE variant_id IN (SELECT v.variant_id FROM variants v JOIN cards c ON c.card_id = v.card_id JOIN sets s ON s.set_id = c.set_id WHERE CAST(release_date[:4] AS INT) <= 2013) GROUP BY variant_id""")
+    {WITH} SELECT p.spec_id, s.source_set_id AS release, concat(s.source_set_id, '-', c.local_id) AS source_card_id, coalesce(v.finish, 'unknown') AS finish, coalesce(v.print_run_marker, 'unknown') AS print_run_marker, v.micro_variant,
+        coalesce((SELECT max(x.spec_id) FROM specs x WHERE x.namespace = 'sales' AND x.variant_id = p.variant_id AND x.match_status IN ('matched', 'manual')), p.spec_id) AS sales_spec_id
+    FROM specs p JOIN variants v ON v.variant_id = p.variant_id JOIN cards c ON c.card_id = v.card_id JOIN sets s ON s.set_id = c.set_id WHERE p.namespace = 'population' AND p.match_status IN ('matched', 'manual') AND s.language = 'en' AND s.series <> 'SERIES_2' AND s.release_date < '2018-01-01'""")
 def specs_by_year(spark, sf):
-    """Sales, else population specs of cards up to a year."""
+    """Population specs of printed English cards up to a year, with the spec to ask for sales."""
     v = views(spark, sf)
-    return operations.specs_by_year(v["specs"], v["variants"], v["cards"], v["sets"], 2013)
+    sets = v["sets"].withColumn("series", F.when(F.col("series") == "SERIES_2", operations.DIGITAL_SERIES).otherwise(F.col("series")))
+    return operations.specs_by_year(v["specs"], v["variants"], v["cards"], sets, 2017)
+
+
+_COVER = """t AS (SELECT p_partkey AS target_id, concat('P', p_partkey) AS spec_id, CASE WHEN p_size % 4 <> 0 THEN concat('S', p_partkey) END AS sales_spec_id, p_size FROM part),
+    k AS (SELECT spec_id, 'population' AS kind, target_id % 3 = 0 AS has_raw, CASE target_id % 5 WHEN 0 THEN 'permanent_failed' WHEN 1 THEN 'retryable_failed' WHEN 2 THEN 'succeeded' WHEN 3 THEN 'leased' END AS state, CASE WHEN target_id % 7 < 3 THEN 'HTTP 429' WHEN target_id % 7 = 3 THEN 'Rate-limit hit' ELSE 'timeout' END AS last_error FROM t
+        UNION ALL SELECT sales_spec_id, 'sales', p_size % 2 = 0, CASE p_size % 6 WHEN 0 THEN 'permanent_failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'cancelled' END, CASE WHEN p_size % 5 = 0 THEN 'rate limit' END FROM t WHERE sales_spec_id IS NOT NULL),
+    r AS (SELECT concat('P', l_partkey) AS spec_id, 'population' AS phase FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT concat('P', l_partkey), 'guide' FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 20 UNION ALL SELECT concat('S', l_partkey), 'sales' FROM lineitem WHERE l_quantity > 45)"""
+
+
+@query("coverage_states", f"""
+    WITH {_COVER}, p AS (SELECT target_id, 'population' AS phase, 'population' AS kind, spec_id FROM t UNION ALL SELECT target_id, 'guide', 'population', spec_id FROM t UNION ALL SELECT target_id, 'sales', 'sales', sales_spec_id FROM t),
+    c AS (SELECT p.target_id, p.phase, (SELECT count(*) FROM r WHERE r.spec_id = p.spec_id AND r.phase = p.phase) AS n, k.* EXCLUDE (spec_id, kind) FROM p LEFT JOIN k ON k.spec_id = p.spec_id AND k.kind = p.kind)
+    SELECT target_id, phase, n, CASE WHEN n > 0 THEN 'processed' WHEN has_raw AND phase = 'population' THEN 'raw_present' WHEN has_raw THEN 'no_data' WHEN state = 'permanent_failed' THEN 'failed' WHEN state IS NOT NULL AND regexp_matches(coalesce(last_error, ''), '(?i)429|rate.?limit') THEN 'rate_limited'
+        WHEN state IN ('pending', 'leased', 'running', 'retryable_failed', 'partial') THEN 'pending' ELSE 'raw_missing' END AS status FROM c""")
+def coverage_states(spark, sf):
+    """How far each phase of every target is."""
+    rows = {name: spark.sql(f"WITH {_COVER} SELECT * FROM {name}".replace("FROM part", "FROM {part}").replace("FROM lineitem", "FROM {lineitem}"), part=table(spark, sf, "part"), lineitem=table(spark, sf, "lineitem")) for name in ("t", "k", "r")}
+    return auctions.coverage_status(rows["t"], rows["r"], rows["k"].where("has_raw"), rows["k"].where("state is not null"))
 
 
 @query("title_clusters", f"""
@@ -293,25 +338,46 @@ def paired_specs(spark, sf):
     return curation.paired_specs(rows)
 
 
+_WANTED = """own AS (SELECT *, variant_id % 5 <> 0 AS own, coalesce(micro_variant, '') AS micro, coalesce(print_run_marker, '') AS run FROM variants),
+    w AS (SELECT o_orderkey AS row_id, o_custkey % 100 AS card_id, CASE WHEN o_orderkey % 6 = 5 THEN '' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'holo' ELSE 'reverse' END END AS finish, CASE WHEN o_orderkey % 4 = 1 THEN 'first_edition' WHEN o_orderkey % 4 = 2 THEN 'unlimited' ELSE '' END AS run,
+        CASE WHEN o_orderkey % 5 = 1 THEN 'full_art' ELSE '' END AS micro FROM orders)"""
+_STAGE = "{a} AS (SELECT *, bool_or({fit}) OVER (PARTITION BY row_id) AS met FROM {b}), {c} AS (SELECT * EXCLUDE (met) FROM {a} WHERE ({fit}) OR NOT met)"
+
+
+def _wanted(spark, sf):
+    k = F.col("o_orderkey")
+    finish = F.when(k % 6 == 5, "").when(k % 3 == 0, "Normal").when(k % 3 == 1, "holo").otherwise("reverse")
+    wanted = table(spark, sf, "orders").select(k.alias("row_id"), (F.col("o_custkey") % 100).alias("card_id"), finish.alias("finish"), F.when(k % 4 == 1, "First Edition").when(k % 4 == 2, "unlimited").alias("print_run_marker"), F.when(k % 5 == 1, "German-Full Art").when(k % 5 == 2, "Japanese").alias("micro_variant"))
+    return wanted, views(spark, sf)["variants"].withColumn("source", F.when(F.col("variant_id") % 5 == 0, "report").when(F.col("variant_id") % 5 == 1, curation.CATALOGUE))
+
+
 @query("strict_variants", f"""
-    {WITH}, w AS (SELECT o_orderkey AS row_id, o_custkey % 100 AS card_id, CASE o_orderkey % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'holo' ELSE 'reverse' END AS finish, CASE WHEN o_orderkey % 3 = 1 THEN 'first_edition' END AS run FROM orders)
-    SELECT row_id, min(variant_id) AS variant_id FROM w JOIN variants v ON v.card_id = w.card_id AND v.finish = w.finish AND coalesce(v.print_run_marker, '') = coalesce(run, '') AND coalesce(v.micro_variant, '') = '' GROUP BY row_id""")
+    {WITH}, {_WANTED}, p AS (SELECT w.row_id, w.run AS wish, o.variant_id, o.own, o.run FROM w JOIN own o ON o.card_id = w.card_id AND o.micro = w.micro AND (w.finish = '' OR o.finish = w.finish)),
+    {_STAGE.format(a="p1", b="p", c="p2", fit="own")}, {_STAGE.format(a="p3", b="p2", c="p4", fit="wish <> '' AND run = wish")}
+    SELECT w.row_id, CASE WHEN count(p4.row_id) = 1 THEN min(variant_id) END AS variant_id FROM w LEFT JOIN p4 ON p4.row_id = w.row_id GROUP BY w.row_id""")
 def strict_variants(spark, sf):
-    """The variant whose every part is as wanted."""
-    k = F.col("o_orderkey")
-    wanted = table(spark, sf, "orders").select(k.alias("row_id"), (F.col("o_custkey") % 100).alias("card_id"), F.when(k % 3 == 0, "normal").when(k % 3 == 1, "holo").otherwise("reverse").alias("finish"), F.when(k % 3 == 1, "first_edition").alias("print_run_marker"), F.lit(None).cast("string").alias("micro_variant"))
-    return curation.resolve_variants(wanted, views(spark, sf)["variants"], strict=True)
+    """The variant that a row describes exactly: small variant and finish must be as wanted, the catalogue's go first, the print run decides between those still tied."""
+    return curation.resolve_variants(*_wanted(spark, sf), exact=True)
+
+
+@query("lenient_variants", f"""
+    {WITH}, {_WANTED}, p AS (SELECT w.row_id, w.finish AS f, w.run AS r, CASE WHEN w.row_id % 5 = 1 THEN 'german_full_art' WHEN w.row_id % 5 = 2 THEN 'japanese' ELSE '' END AS m, o.variant_id, o.finish, o.run, o.micro FROM w JOIN own o ON o.card_id = w.card_id AND o.own),
+    {_STAGE.format(a="p1", b="p", c="p2", fit="f <> '' AND finish = f")}, {_STAGE.format(a="p3", b="p2", c="p4", fit="r <> '' AND run = r")}, {_STAGE.format(a="p5", b="p4", c="p6", fit="m <> '' AND micro = m")}
+    SELECT w.row_id, CASE WHEN count(p6.row_id) = 1 THEN min(variant_id) END AS variant_id FROM w LEFT JOIN p6 ON p6.row_id = w.row_id GROUP BY w.row_id""")
+def lenient_variants(spark, sf):
+    """The catalogue's variant that is left when wishes that somebody meets narrow."""
+    return curation.resolve_variants(*_wanted(spark, sf))
 
 
 @query("report_rows", f"""
-    {WITH}, r AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, concat('S', min(l_suppkey) % 9) AS source_set_id, CASE l_linenumber WHEN 1 THEN 'de' WHEN 2 THEN NULL ELSE 'en' END AS language, CAST(min(l_partkey) % 12 AS STRING) AS number FROM lineitem WHERE l_quantity = 7 GROUP BY l_orderkey, l_linenumber),
+    {WITH}, r AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, concat('S', min(l_suppkey) % 9) AS source_set_id, CASE l_linenumber WHEN 1 THEN 'de' WHEN 2 THEN NULL ELSE 'en' END AS language, CAST(min(l_partkey) % 12 AS STRING) AS number FROM lineitem GROUP BY l_orderkey, l_linenumber),
     m AS (SELECT DISTINCT r.row_id, c.card_id FROM r JOIN sets s ON s.source_set_id = r.source_set_id AND s.language = r.language JOIN cards c ON c.set_id = s.set_id AND c.local_id = r.number)
     SELECT DISTINCT row_id, CASE WHEN r.language IS NULL THEN 'skipped' WHEN m.card_id IS NOT NULL THEN 'matched' ELSE 'unmatched' END AS match_status, m.card_id FROM r LEFT JOIN m USING (row_id)""")
 def report_rows(spark, sf):
     """Report rows to cards by number within their set and language."""
     v = views(spark, sf)
     line = F.col("l_linenumber")
-    rows = table(spark, sf, "lineitem").where("l_quantity = 7").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey")).select(
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey")).select(
         (F.col("l_orderkey") * 10 + line).alias("row_id"), F.concat(F.lit("S"), F.col("l_suppkey") % 9).alias("source_set_id"), F.lit("en").alias("language"), F.lit("Pikachu-Holo").alias("subject"),
         F.when(line == 1, "German-Secret").when(line == 2, "French").alias("variety"), F.lpad((F.col("l_partkey") % 12).cast("string"), 3, "0").alias("number"))
     return matching.match_report_rows(rows, v["cards"], v["sets"]).select("row_id", "match_status", "card_id")

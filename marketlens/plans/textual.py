@@ -49,8 +49,10 @@ def extract_numbers(spark, sf):
 
 
 @query("plain_text", r"""
-    WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS x FROM pages),
-    b AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&[a-zA-Z0-9#]+;', ' ', 'g') AS x FROM a)
+    WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS x FROM pages),
+    p AS (SELECT page_id, string_split(x, '&') AS parts FROM a),
+    b AS (SELECT page_id, parts[1] || array_to_string(list_transform(parts[2:], lambda t: CASE WHEN NOT regexp_matches(t, '^[a-zA-Z#0-9]+;') THEN '&' || t ELSE
+        CASE lower(regexp_extract(t, '^([a-zA-Z#0-9]+);', 1)) WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN '"' WHEN '#39' THEN '''' ELSE ' ' END || regexp_replace(t, '^[a-zA-Z#0-9]+;', '') END), '') AS x FROM p)
     SELECT page_id, trim(regexp_replace(x, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS plain FROM b""")
 def plain_text(spark, sf):
     """The whole text of pages."""

@@ -112,11 +112,11 @@ def test_curation(spark):
         "language string, id string, sid string, variants map<string,boolean>, variants_detailed array<struct<type:string,subtype:string,size:string,stamp:array<string>>>").withColumn("set", F.struct(F.col("sid").alias("id")))
     years = spark.createDataFrame([("de", "base1", 1999), ("en", "x", 2020)], "language string, source_set_id string, year int")
     got = {(r.language, r.variant_key) for r in curation.variants_of(cards, years).collect()}
-    assert got == {("de", "normal|first_edition||standard|"), ("de", "normal|unlimited||standard|"), ("en", "holo|||standard|"), ("en", "normal|first_edition||standard|")}
+    assert got == {("de", "normal|first_edition||standard|"), ("de", "normal|unlimited||standard|"), ("en", "holo|||standard|"), ("en", "holo|first_edition||standard|")}
     wanted = spark.createDataFrame([(1, 1, "holo", "first", None), (2, 1, "other", None, None)], "row_id long, card_id long, finish string, print_run_marker string, micro_variant string")
     variants = spark.createDataFrame([(1, 1, "holo", "unlimited", ""), (2, 1, "holo", "first", "")], "variant_id long, card_id long, finish string, print_run_marker string, micro_variant string")
     assert {r.row_id: r.variant_id for r in curation.resolve_variants(wanted, variants).collect()} == {1: 2, 2: None}
-    assert {r.row_id: r.variant_id for r in curation.resolve_variants(wanted, variants, strict=True).collect()} == {1: 2}
+    assert {r.row_id: r.variant_id for r in curation.resolve_variants(wanted, variants, exact=True).collect()} == {1: 2, 2: None}
     listings = spark.createDataFrame([(1, "c1", 10), (2, "c1", 20), (3, "c2", 30), (4, None, 40)], "listing_id long, cert string, variant_id long")
     minted = curation.mint_specs(listings, spark.createDataFrame([("c1", "s1"), ("c2", "s2")], "cert string, spec_id string"), spark.createDataFrame([("s2",)], "spec_id string"))
     assert [(r.spec_id, r.variant_id) for r in minted.collect()] == [("s1", 10)]
@@ -194,10 +194,11 @@ def test_search_and_operations(spark, market, live):
     detail = search.card_detail(base, variants, 1).head()
     assert len(detail.variants) == 2 and [tuple(x) for x in detail.also_printed] == [(4, "de")]
     listings = live[0]
-    assert {r.rule: r.n for r in operations.gate(listings, cards, sets).collect()} == {"trusted_without_variant": 0, "no_tier": 0, "card_without_set": 0, "empty_catalogue": 0}
-    schemas.require(operations.gate(listings, cards, sets))
+    assert {r.rule: r.n for r in operations.gate(listings, cards, sets).collect()} == {"trusted_unproven": 2, "no_tier": 0, "card_without_set": 0, "empty_catalogue": 0}
+    proven = listings.where("not (match_tier in ('exact', 'strong') and (flagged or variant_id is null or match_method = 'cluster-propagate'))")
+    schemas.require(operations.gate(proven, cards, sets))
     with pytest.raises(ValueError, match="card_without_set"):
-        schemas.require(operations.gate(listings, cards, sets.where("set_id = 2")))
+        schemas.require(operations.gate(proven, cards, sets.where("set_id = 2")))
     assert {(r.dimension, r.value): r.n for r in operations.match_report(listings).collect()}[("match_tier", "strong")] == 4
     assert {r.language: (r.sets, r.cards, r.variants) for r in operations.language_summary(sets, cards, variants).collect()} == {"en": (1, 3, 3), "de": (1, 1, 0)}
     stages = spark.createDataFrame([("a", True, dt.datetime(2030, 1, 1), None), ("b", None, dt.datetime(2030, 1, 1), None), ("c", None, None, dt.datetime(2030, 1, 1)), ("d", None, None, None)], "stage string, poked boolean, parked_until timestamp, next_tick_at timestamp")
