@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable, Sequence
 
@@ -14,25 +15,51 @@ from .vocabulary import FORM_WEIGHTS, GRADING_WORDS, KNOWN_LABELS, NO_PREFIX, NO
 NO_DATA = ("", "-", "–", "n/a", "N/A")
 
 
-def _decomposing() -> tuple[str, str, str]:
-    """Letters that NFKD parts into an ASCII letter or digit and marks, all that it maps to an ASCII letter or digit, and these."""
-    marked, source, target = [], [], []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0xFF10, 0xFF5B)]:
-        parts = unicodedata.normalize("NFKD", chr(code).lower())
-        if len(chr(code).lower()) == 1 and parts[0].isascii() and parts[0].isalnum() and all(unicodedata.combining(c) for c in parts[1:]):
-            source.append(chr(code))
-            target.append(parts[0])
-            if len(parts) > 1:
-                marked.append(chr(code))
-    return "".join(marked), "".join(source), "".join(target)
-
-
-_MARKED, _SOURCE, _TARGET = _decomposing()
-
-
-def _decomposed(x: Column) -> Column:
-    """Marks come out as underscores, as ascii_key() makes of them."""
-    return F.translate(F.regexp_replace(x, f"([{_MARKED}])", "$1_"), _SOURCE, _TARGET)
+def _compact(codes: list[int]) -> str:
+    """A character class of code points, in ranges."""
+    out, i = [], 0
+    while i < len(codes):
+        j = i
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        out.append(chr(codes[i]) if i == j else f"{chr(codes[i])}-{chr(codes[j])}")
+        i = j + 1
+    return "".join(out)
+
+
+@functools.cache
+def _decompositions() -> tuple[str, str, str, str]:
+    """Characters that decompose to one, these ones, the class of those that decompose to several, and pairs of them. Hangul goes by its rule."""
+    source, target, several, pairs = [], [], [], []
+    for code in range(0x80, 0x110000):
+        if 0xAC00 <= code < 0xD7A4 or 0xD800 <= code < 0xE000:
+            continue
+        plain = unicodedata.normalize("NFKD", chr(code))
+        if plain != chr(code):
+            if len(plain) == 1:
+                source.append(chr(code))
+                target.append(plain)
+            else:
+                several.append(code)
+                pairs.append(f"{chr(code)}\x02{plain}")
+    return "".join(source), "".join(target), _compact(several), "\x01".join(pairs)
+
+
+def nfkd(x: Column) -> Column:
+    """Every code point as its compatibility decomposition. Marks of one letter keep their order."""
+    source, target, several, pairs = _decompositions()
+    known = F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
+    leads, vowels, tails = ("".join(map(chr, range(first, first + count))) for first, count in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+    def syllable(c: Column) -> Column:
+        index = F.ascii(c) - 0xAC00
+        part = lambda of, at: F.substring(F.lit(of), at.cast("int") + 1, F.lit(1))
+        tail = index % 28
+        return F.concat(part(leads, F.floor(index / 588)), part(vowels, F.floor(index % 588 / 28)), F.when(tail > 0, part(tails, tail - 1)).otherwise(""))
+
+    pieces = F.regexp_extract_all(F.translate(x, source, target), F.lit(f"(?s)[{several}]|[\uac00-\ud7a3]|[^{several}\uac00-\ud7a3]+"), 0)
+    each = lambda c: F.when(c.between("\uac00", "\ud7a3") & (F.length(c) == 1), syllable(c)).when(F.length(c) == 1, F.coalesce(F.try_element_at(known, c), c)).otherwise(c)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(pieces, each), "")).otherwise(x)
 
 
 def ascii_key(x: Column) -> Column:
@@ -40,8 +67,8 @@ def ascii_key(x: Column) -> Column:
 
 
 def normalize_part(x: Column) -> Column:
-    """Lower-case key of letters and digits joined by underscores; letters with marks are decomposed first, others go (F1)."""
-    return F.when(x.rlike(r"[^\x00-\x7F]"), ascii_key(_decomposed(x))).otherwise(ascii_key(x))
+    """Lower-case key of letters and digits joined by underscores; characters are decomposed first, what is no ASCII letter or digit then goes (F1)."""
+    return F.when(x.rlike(r"[^\x00-\x7F]"), ascii_key(nfkd(x))).otherwise(ascii_key(x))
 
 
 def variant_key(finish: Column, print_run: Column, micro: Column, size: Column, stamps: Column) -> Column:
@@ -51,8 +78,8 @@ def variant_key(finish: Column, print_run: Column, micro: Column, size: Column,
 
 
 def natural_key(x: Column, width: int = 12) -> Column:
-    """Lower-cased text with every run of digits padded, so that text order is natural order."""
-    low = F.lower(x)
+    """Decomposed, lower-cased text with every run of digits padded, so that text order is natural order."""
+    low = F.lower(nfkd(x))
     digits, others = F.regexp_extract_all(low, F.lit(r"(\d+)"), 1), F.split(low, r"\d+")
     padded = F.transform(digits, lambda d: F.when(F.length(d) < width, F.lpad(d, width, "0")).otherwise(d))
     return F.array_join(F.transform(others, lambda o, i: F.concat(o, F.coalesce(F.get(padded, i), F.lit("")))), "")

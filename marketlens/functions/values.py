@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import NO_DATA
+from .text import NO_DATA, let
 from .vocabulary import KEPT_ATTRIBUTES, PRICE_BANDS
 
 
@@ -161,3 +161,39 @@ def guide_rows(summary: Column) -> Column:
     text = lambda x: F.coalesce(number_text(x), F.lit(""))
     graded = F.filter(summary, lambda g: g.isNotNull() & g["metrics"].isNotNull())
     return F.transform(graded, lambda g: F.struct(g["grade"].cast("string").alias("gradeText"), text(g["metrics"]["latestPrice"]).alias("mostRecentText"), text(g["metrics"]["averagePrice"]).alias("averageText"), text(g["metrics"]["averagePrice"]).alias("psaPriceText")))
+
+
+def json_set(x: Column, path: str, value: Column) -> Column:
+    """x, a text of JSON, with the member at a path of names ($.a.b) set to value (F29). Objects that the path lacks are made; a member keeps its place, a new one comes last.
+
+    Null for null or broken texts; a text that is no object, and a path through something that is none, stays as it is.
+    """
+    names = path.removeprefix("$").strip(".").split(".")
+    empty = F.create_map().cast("map<string,variant>")
+
+    # whatever is used more than once is bound, as it would be computed as often otherwise
+    def put(members: Column, rest: list[str]) -> Column:
+        name = F.lit(rest[0])
+
+        def told(m: Column) -> Column:
+            if len(rest) == 1:
+                return value.cast("variant")
+            held = F.try_element_at(m, name)
+            below = lambda x: put(F.coalesce(x["inside"], empty), rest[1:])
+            return let(F.struct(held.alias("held"), held.try_cast("map<string,variant>").alias("inside")), lambda x: F.when(x["held"].isNotNull() & x["inside"].isNull(), x["held"]).otherwise(F.to_variant_object(below(x))))
+
+        def set_(x: Column) -> Column:
+            changed = F.transform_values(x["m"], lambda k, v: F.when(k == name, x["told"]).otherwise(v))
+            return F.when(F.map_contains_key(x["m"], name), changed).otherwise(F.map_concat(x["m"], F.create_map(name, x["told"])))
+
+        return let(members, lambda m: let(F.struct(m.alias("m"), told(m).alias("told")), set_))
+
+    parsed = F.try_parse_json(x)
+    return let(F.struct(x.alias("x"), parsed.alias("parsed"), parsed.try_cast("map<string,variant>").alias("whole")), lambda t: F.when(t["whole"].isNotNull(), F.to_json(put(t["whole"], names))).when(t["parsed"].isNotNull(), t["x"]))
+
+
+def json_each(df: DataFrame, column: str, keep: Sequence[str], path: str = "$") -> DataFrame:
+    """One row for each member of the array or object at a path of a column's JSON: the kept columns, at, key (null in arrays), value as JSON (F29). No schema is needed; texts without such give no rows."""
+    inside = F.try_variant_get(F.try_parse_json(F.col(column)), path, "variant")
+    rows = df.select(*keep, inside.alias("inside")).where("inside is not null")
+    return rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("inside").outer())).select(*keep, F.col("pos").alias("at"), "key", F.to_json("value").alias("value"))

@@ -24,18 +24,24 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], vali
         validate({table: spark.read.parquet(f"{folder}/{name}/{table}") for table in tables})
     before = generations(spark, folder)
     names = [name, *before][:keep]
+    point(spark, folder, {"current": name, "generations": names, "tables": sorted(tables)})
+    jvm, files, _ = _files(spark, folder)
+    for old in before[keep - 1 :]:
+        files.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}"), True)
+    return name
+
+
+def point(spark: SparkSession, folder: str, what: dict) -> None:
+    """Replaces the pointer file by a rename, so a reader finds the old or the new one."""
     jvm, files, part = _files(spark, f"{folder}/.current.{uuid.uuid4().hex}")
     out = files.create(part)
-    out.write(bytearray(json.dumps({"current": name, "generations": names, "tables": sorted(tables)}).encode()))
+    out.write(bytearray(json.dumps(what).encode()))
     out.close()
     pointer = jvm.org.apache.hadoop.fs.Path(f"{folder}/current.json")
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(files.makeQualified(part), files.makeQualified(pointer), overwrite)
-    for old in before[keep - 1 :]:
-        files.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}"), True)
-    return name
 
 
 def _pointer(spark: SparkSession, folder: str) -> dict:

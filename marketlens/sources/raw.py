@@ -116,21 +116,30 @@ def infobox_image(wikitext: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(wikitext, r"\|\s*bild\s*=\s*([^\n|}]+)", 1)), F.lit(""))
 
 
-def canonical_titles(titles: DataFrame, redirects: DataFrame) -> DataFrame:
-    """title, canonical: redirects are followed to their end, in a cycle to the first title met again.
+#: How far a chain of redirects may go; longer ones are an error.
+MOST_HOPS = 1000
+_CHAINS = """
+    WITH RECURSIVE walk (title, at, seen, step) MAX RECURSION LEVEL {most} AS (
+        SELECT title, title, array(title), 0 FROM {{titles}}
+        UNION ALL SELECT w.title, r.target, array_append(w.seen, r.target), w.step + 1 FROM walk w JOIN {{redirects}} r ON r.source = w.at WHERE NOT array_contains(slice(w.seen, 1, w.step), w.at))
+    SELECT title, max_by(at, step) AS canonical, max(step) AS hops, max_by(seen, step) AS chain FROM walk GROUP BY title"""
+
+
+def redirect_chains(titles: DataFrame, redirects: DataFrame) -> DataFrame:
+    """title, canonical, hops, chain: redirects followed to their end, in a cycle to the first title met again.
 
-    Each round's rows are checkpointed; spark.checkpoint.dir names the folder.
+    One recursive query; a title leaves the walk when it stands on a title that its chain has had. A source that has several
+    targets goes to the smallest. Rows are bounded by titles times hops, so Spark's own limit of rows is lifted.
     """
-    hops = redirects.select(F.col("source").alias("canonical"), "target")
-    out = titles.select("title", F.col("title").alias("canonical"), F.array().cast("array<string>").alias("seen"))
-    while True:
-        moves = F.col("target").isNotNull() & ~F.array_contains("seen", F.col("canonical"))
-        step = out.join(hops, "canonical", "left").withColumn("moves", F.coalesce(moves, F.lit(False)))
-        seen = F.when(F.col("moves"), F.concat("seen", F.array("canonical"))).otherwise(F.col("seen"))
-        step = step.select("title", F.when(F.col("moves"), F.col("target")).otherwise(F.col("canonical")).alias("canonical"), seen.alias("seen"), "moves").checkpoint()
-        out = step.drop("moves")
-        if step.where("moves").isEmpty():
-            return out.drop("seen")
+    spark = titles.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    one = redirects.where("source is not null and target is not null").groupBy("source").agg(F.min("target").alias("target"))
+    return spark.sql(_CHAINS.format(most=MOST_HOPS), titles=titles.select("title").distinct(), redirects=one)
+
+
+def canonical_titles(titles: DataFrame, redirects: DataFrame) -> DataFrame:
+    """title, canonical: where each title's redirects end."""
+    return redirect_chains(titles, redirects).select("title", "canonical")
 
 
 def asset_urls(cards: DataFrame, folders: DataFrame, stems: DataFrame, base: str) -> DataFrame:
