@@ -164,7 +164,7 @@ def guide_rows(summary: Column) -> Column:
 
 
 def json_set(x: Column, path: str, value: Column) -> Column:
-    """x, a text of JSON, with the member at a path of names ($.a.b) set to value (F29). Objects that the path lacks are made; a member keeps its place, a new one comes last.
+    """x, a text of JSON, with the member at a path of names ($.a.b) set to value (F29). Objects that the path lacks are made; members stand by name, as VARIANT keeps them.
 
     Null for null or broken texts; a text that is no object, and a path through something that is none, stays as it is.
     """
