@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import or_unknown
 from .latest import latest_by
+from .merge import transition, upsert
 from .predicates import due, first_rule
 
 #: Fixed value: the series of cards that are not printed.
@@ -168,13 +169,22 @@ def coverage_matrix(coverage: DataFrame) -> DataFrame:
 
 def reset(tables: dict[str, DataFrame], changes: dict[str, tuple[Column, dict[str, object]]], dry_run: bool = True) -> dict[str, DataFrame] | DataFrame:
     """For each table the rows to rewrite and their new values: a dry run counts them (table_name, n), otherwise the tables as they become are returned."""
-    from .merge import transition
-
     if dry_run:
         return reduce(DataFrame.unionByName, (tables[t].agg(F.count_if(when).alias("n")).select(F.lit(t).alias("table_name"), "n") for t, (when, _) in changes.items()))
     return {t: transition(df, changes[t][0], **changes[t][1]) if t in changes else df for t, df in tables.items()}
 
 
+def cancel(work: DataFrame, which: Column) -> DataFrame:
+    """Work that is not done is cancelled and its leases end, where there are such columns."""
+    ended = {c: None for c in ("lease_owner", "lease_expires_at") if c in work.columns}
+    return transition(work, which & (F.col("state") != "succeeded"), state="cancelled", **ended)
+
+
+def resume(work: DataFrame, which: Column, **values: object) -> DataFrame:
+    """Cancelled work is pending again, with other columns as given (attempts set back, say)."""
+    return transition(work, which & (F.col("state") == "cancelled"), state="pending", **values)
+
+
 def cooldowns(attempts: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, after: int) -> DataFrame:
     """Each row with `run`, its number of failures in a row, which a success and a cooldown set back to zero, and whether a cooldown follows."""
     from .latest import islands
@@ -235,6 +245,24 @@ def links_to_images(cards: DataFrame, assets: DataFrame) -> DataFrame:
     return cards.join(newest, "card_id", "left").withColumn("image_url", F.coalesce("image_url", "found_url")).drop("found_url")
 
 
+def link_assets(cards: DataFrame, assets: DataFrame, observations: DataFrame, attempts: DataFrame, objects: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """(cards, assets) after the pictures that a source has found are linked.
+
+    The newest observation of each scope `card:N` counts, with the url and kind of match of the last attempt that gave its
+    content. Only cards without a picture take one; it becomes the card's primary asset, other urls of the card lose the flag.
+    assets: card_id, hash, url, rendition, media_type, is_primary. observations: observation_id, work_item_id, scope_key,
+    hash; attempts: attempt_id, work_item_id, hash, url, match_kind; objects: hash, media_type.
+    """
+    newest = latest_by(observations, ["scope_key"], "observation_id").select("work_item_id", "hash", F.regexp_extract("scope_key", "^card:([0-9]+)$", 1).try_cast("long").alias("card_id"))
+    tried = latest_by(attempts, ["work_item_id", "hash"], "attempt_id").select("work_item_id", "hash", "url", F.concat(F.lit(f"{source}:"), F.coalesce("match_kind", F.lit("exact"))).alias("rendition"))
+    bare = cards.where("image_url is null").select("card_id")
+    found = newest.where("card_id > 0").join(tried, ["work_item_id", "hash"]).join(objects.select("hash", "media_type"), "hash").join(bare, "card_id", "left_semi").select("card_id", "hash", "url", "rendition", "media_type", F.lit(True).alias("is_primary"))
+    taken = found.select("card_id", F.col("url").alias("new_url"))
+    kept = assets.join(taken, "card_id", "left").withColumn("is_primary", F.col("is_primary") & (F.col("new_url").isNull() | (F.col("new_url") == F.col("url")))).drop("new_url")
+    linked = upsert(kept.select(*found.columns), found, ["card_id", "url", "rendition"])
+    return cards.join(taken, "card_id", "left").withColumn("image_url", F.coalesce("image_url", "new_url")).drop("new_url"), linked
+
+
 def specs_by_year(specs: DataFrame, variants: DataFrame, cards: DataFrame, sets: DataFrame, year: int | None) -> DataFrame:
     """One row for each population spec to fetch: of English cards that are printed, up to a year where one is given, with the sales spec of its variant, else its own."""
     done = specs.where(F.col("match_status").isin("matched", "manual") & F.col("variant_id").isNotNull())

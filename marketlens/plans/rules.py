@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import reviews
+from ..operators import operations, reviews
 from ..sources import buckets, raw
 from ..sources.shared import shared_folder
 from ..sources.tables import table
@@ -102,3 +102,40 @@ def bucketed_catalogue(spark, sf):
     fresh = touched.where("card_id % 100 = 7").select((F.col("card_id") * 4 + 3).alias("variant_id"), "card_id", F.lit("etched").alias("finish"))
     store.replace(fresh, touched)
     return store.read()
+
+
+_FOUND = """f_obs AS (SELECT event_id AS observation_id, event_id % 700 AS work_item_id, CASE WHEN event_id % 29 = 0 THEN 'set:1' ELSE concat('card:', event_id * 7 % 400) END AS scope_key, concat('h', event_id % 90) AS hash FROM {events} WHERE event_type <> 'view'),
+    f_att AS (SELECT event_id AS attempt_id, event_id % 700 AS work_item_id, concat('h', event_id % 90) AS hash, concat('http://found/', event_id) AS url, CASE WHEN event_id % 3 = 0 THEN 'fallback' END AS match_kind FROM {events} WHERE event_type <> 'signup'),
+    f_obj AS (SELECT DISTINCT concat('h', event_id % 90) AS hash, CASE WHEN event_id % 90 < 40 THEN 'image/png' ELSE 'image/webp' END AS media_type FROM {events} WHERE event_id % 90 <> 11),
+    f_assets AS (SELECT p_partkey AS card_id, 'old' AS hash, concat('http://old/', p_partkey) AS url, 'wiki' AS rendition, 'image/png' AS media_type, p_partkey % 2 = 0 AS is_primary FROM {part})"""
+_LINKED = f"""{_FOUND.format(events="events", part="part")},
+    newest AS (SELECT *, TRY_CAST(regexp_extract(scope_key, '^card:([0-9]+)$', 1) AS BIGINT) AS card_id FROM f_obs o WHERE NOT EXISTS (SELECT 1 FROM f_obs n WHERE n.scope_key = o.scope_key AND n.observation_id > o.observation_id)),
+    linked AS (SELECT n.card_id, n.hash, a.url, concat('finder:', coalesce(match_kind, 'exact')) AS rendition, media_type FROM newest n JOIN f_att a ON a.attempt_id = (SELECT max(attempt_id) FROM f_att x WHERE x.work_item_id = n.work_item_id AND x.hash = n.hash) JOIN f_obj b ON b.hash = n.hash JOIN cards c ON c.card_id = n.card_id AND c.image_url IS NULL WHERE n.card_id > 0)"""
+
+
+def _linked(spark, sf):
+    known = {"events": table(spark, sf, "events"), "part": table(spark, sf, "part")}
+    rows = {name: spark.sql(f"WITH {_FOUND} SELECT * FROM {name}", **known) for name in ("f_obs", "f_att", "f_obj", "f_assets")}
+    return operations.link_assets(views(spark, sf)["cards"], rows["f_assets"], rows["f_obs"], rows["f_att"], rows["f_obj"], "finder")
+
+
+@query("linked_assets", f"""
+    {WITH}, {_LINKED} SELECT a.card_id, a.hash, a.url, a.rendition, a.media_type, a.is_primary AND NOT EXISTS (SELECT 1 FROM linked l WHERE l.card_id = a.card_id AND l.url <> a.url) AS is_primary FROM f_assets a UNION ALL SELECT *, TRUE FROM linked""")
+def linked_assets(spark, sf):
+    """Assets of cards after a source's pictures are linked: one primary for each card that took one."""
+    return _linked(spark, sf)[1]
+
+
+@query("linked_cards", f"{WITH}, {_LINKED} SELECT c.card_id, coalesce(c.image_url, l.url) AS image_url FROM cards c LEFT JOIN linked l ON l.card_id = c.card_id")
+def linked_cards(spark, sf):
+    """Cards with the pictures that they took."""
+    return _linked(spark, sf)[0].select("card_id", "image_url")
+
+
+@query("work_transitions", f"""
+    {WITH}, w AS (SELECT work_item_id, queue, CASE WHEN queue IN ('q1', 'q2') AND state NOT IN ('succeeded') THEN 'cancelled' ELSE state END AS state, priority FROM work)
+    SELECT work_item_id, queue, CASE WHEN queue = 'q2' AND state = 'cancelled' THEN 'pending' ELSE state END AS state, CASE WHEN queue = 'q2' AND state = 'cancelled' THEN 0 ELSE priority END AS priority FROM w""")
+def work_transitions(spark, sf):
+    """Work of two queues is cancelled, then one of them is resumed with its attempts set back."""
+    work = views(spark, sf)["work"].select("work_item_id", "queue", "state", "priority")
+    return operations.resume(operations.cancel(work, F.col("queue").isin("q1", "q2")), F.col("queue") == "q2", priority=0)
