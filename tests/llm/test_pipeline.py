@@ -81,12 +81,10 @@ def test_repeated_and_null_ids(spark):
 
 
 def test_a_stage_clears_the_one_before(spark):
-    from marketlens.llm import common
-
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     stages["quality"](spark, docs, SMALL).count()
-    first = common._made[corpus_pipeline._left[-1][0]].removeprefix("file://")
+    first = corpus_pipeline._left.folders[0].removeprefix("file://")
     assert os.path.isdir(first)
     stages["near_duplicates"](spark, docs, SMALL).count()
     assert not os.path.exists(first)
