@@ -188,8 +188,10 @@ def json_set(x: Column, path: str, value: Column) -> Column:
 
         return let(members, lambda m: let(F.struct(m.alias("m"), told(m).alias("told")), set_))
 
-    parsed = F.try_parse_json(x)
-    return let(F.struct(x.alias("x"), parsed.alias("parsed"), parsed.try_cast("map<string,variant>").alias("whole")), lambda t: F.when(t["whole"].isNotNull(), F.to_json(put(t["whole"], names))).when(t["parsed"].isNotNull(), t["x"]))
+    def rewritten(x: Column, parsed: Column) -> Column:
+        return let(parsed.try_cast("map<string,variant>"), lambda whole: F.when(whole.isNotNull(), F.to_json(put(whole, names))).when(parsed.isNotNull(), x))
+
+    return let(x, lambda text: let(F.try_parse_json(text), lambda parsed: rewritten(text, parsed)))
 
 
 def json_each(df: DataFrame, column: str, keep: Sequence[str], path: str = "$") -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import values
+from ..functions import text, values
 from ..operators import operations, reviews
 from ..sources import buckets, raw
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, spread
 from ..sources.tables import table
 from .registry import query
 from .views import WITH, views
@@ -73,10 +73,11 @@ def json_rewrites(spark, sf):
     k = F.get_json_object("props", "$.k").cast("long")
     nested = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit('{"k": '), k, F.lit(', "deep": {"k": 0, "x": [1, {"y": null}]}}'))).otherwise(F.col("props"))
     out = values.json_set(values.json_set(nested, "$.campaignId", F.concat(F.lit("c"), "user_id")), "$.refreshDetails", F.col("event_id") % 2)
-    out = F.when(F.col("user_id") % 3 == 0, values.json_set(out, "$.deep.k", k + 1)).otherwise(out)
-    out = values.json_set(out, "$.a.b.c", F.lit("new"))
+    deep = lambda x: F.when(F.col("user_id") % 3 == 0, values.json_set(x, "$.deep.k", k + 1)).otherwise(x)
+    out = values.json_set(text.let(out, deep), "$.a.b.c", F.lit("new"))
     got = lambda path: F.get_json_object("done", path)
-    return rows.select("event_id", out.alias("done")).select("event_id", got("$.k").cast("long").alias("k"), got("$.campaignId").alias("campaign"), got("$.refreshDetails").cast("long").alias("refresh"), F.when(got("$.deep.x[1].y").isNull(), got("$.deep.k").cast("long")).alias("inner_k"), got("$.a.b.c").alias("made"))
+    # few files hold many events
+    return spread(rows).select("event_id", out.alias("done")).select("event_id", got("$.k").cast("long").alias("k"), got("$.campaignId").alias("campaign"), got("$.refreshDetails").cast("long").alias("refresh"), F.when(got("$.deep.x[1].y").isNull(), got("$.deep.k").cast("long")).alias("inner_k"), got("$.a.b.c").alias("made"))
 
 
 @query("json_members", """
