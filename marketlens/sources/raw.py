@@ -9,6 +9,7 @@ from ..functions.text import first_match, links
 from ..functions.vocabulary import SPEC_PATTERNS
 from ..operators.latest import top_by
 from ..operators.merge import insert_or_ignore
+from .shared import settled
 
 IMAGE_QUALITIES, IMAGE_FORMATS = ("low", "high"), ("webp", "png", "jpg")
 
@@ -121,7 +122,7 @@ MOST_HOPS = 1000
 _CHAINS = """
     WITH RECURSIVE walk (title, at, seen, step) MAX RECURSION LEVEL {most} AS (
         SELECT title, title, array(title), 0 FROM {{titles}}
-        UNION ALL SELECT w.title, r.target, array_append(w.seen, r.target), w.step + 1 FROM walk w JOIN {{redirects}} r ON r.source = w.at WHERE NOT array_contains(slice(w.seen, 1, w.step), w.at))
+        UNION ALL SELECT /*+ MERGE(r) */ w.title, r.target, array_append(w.seen, r.target), w.step + 1 FROM walk w JOIN {{redirects}} r ON r.source = w.at WHERE NOT array_contains(slice(w.seen, 1, w.step), w.at))
     SELECT title, max_by(at, step) AS canonical, max(step) AS hops, max_by(seen, step) AS chain FROM walk GROUP BY title"""
 
 
@@ -129,11 +130,13 @@ def redirect_chains(titles: DataFrame, redirects: DataFrame) -> DataFrame:
     """title, canonical, hops, chain: redirects followed to their end, in a cycle to the first title met again.
 
     One recursive query; a title leaves the walk when it stands on a title that its chain has had. A source that has several
-    targets goes to the smallest. Rows are bounded by titles times hops, so Spark's own limit of rows is lifted.
+    targets goes to the smallest. Rows are bounded by titles times hops, so Spark's own limit of rows is lifted. Every hop is a
+    join of its own: the redirects are written once for all of them and met by merge, as each broadcast of what looks small
+    goes through the driver, and there is one for each hop.
     """
     spark = titles.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    one = redirects.where("source is not null and target is not null").groupBy("source").agg(F.min("target").alias("target"))
+    one = settled(redirects.where("source is not null and target is not null").groupBy("source").agg(F.min("target").alias("target")), "redirects")
     return spark.sql(_CHAINS.format(most=MOST_HOPS), titles=titles.select("title").distinct(), redirects=one)
 
 
