@@ -119,11 +119,14 @@ def level_for(count: int) -> int:
 
 
 def links(points: DataFrame, level: int | None = None) -> DataFrame:
-    """Pairs a < b of distinct fingerprints at RADIUS or fewer differing bits."""
+    """Pairs a < b of distinct fingerprints at RADIUS or fewer differing bits.
+
+    Spark sizes what an explode gives by the rows before it, 34 to 340 times too low here, and would broadcast it: both sides are merged.
+    """
     level = level_for(points.count()) if level is None else level
     a, b = homes(points, level).withColumnRenamed("fp", "a"), replicas(points, level).withColumnRenamed("fp", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    return a.join(b, "anchor").where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return a.join(b.hint("merge"), "anchor").where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -89,3 +89,11 @@ def test_folders_of_a_thread(spark):
     with pytest.raises(Exception):
         spark.read.parquet(mark).count()
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_no_side_of_the_anchor_join_goes_through_the_driver(spark, tmp_path):
+    spark.range(3000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/classes")
+    for level in (0, 3):
+        found = simhash.links(spark.read.parquet(f"{tmp_path}/classes"), level)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [anchor" in plan and "Broadcast" not in plan, plan
